@@ -158,18 +158,21 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
             (~cell_equal(prep, i)).alias("differs"),
             C.display(F.col("hi_l")[c]).alias("left_value"),
             C.display(F.col("hi_r")[c]).alias("right_value"),
+            side_canon(prep, "l", i).alias("ls"),
+            side_canon(prep, "r", i).alias("rs"),
         )
         for i, c in enumerate(prep.value_cols)
     ]
     if not cells:
         return pk.select(KEY, F.lit(0).alias("ci"), F.lit("").alias("column_name"),
                          F.lit("").alias("left_value"), F.lit("").alias("right_value"),
+                         F.lit("").alias("ls"), F.lit("").alias("rs"),
                          pairs().alias("pairs")).where(F.lit(False))
     p = pairs()
     return (
         pk.where((p > 0) & uniform())
         .select(KEY, p.alias("pairs"), F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
-        .select(KEY, "ci", "column_name", "left_value", "right_value", "pairs")
+        .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", "pairs")
     )
 
 

@@ -113,6 +113,7 @@ def differences(prep: Prepared, vc: DataFrame, limit: int) -> DataFrame:
         .select(
             KEY, "ci", F.element_at(names, F.col("ci") + 1).alias("column_name"),
             C.display(F.col("lv")).alias("left_value"), C.display(F.col("rv")).alias("right_value"),
+            F.col("lv").alias("ls"), F.col("rv").alias("rs"),
             (F.col("cl") * F.col("cr")).alias("pairs"),
         )
     )

@@ -183,16 +183,16 @@ class Reconciliation:
         return d.select(
             F.lit(self.name).alias("table_name"), "column_name", KEY,
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
-            "left_value", "right_value", F.col("pairs").cast("long").alias("pairs"),
+            "left_value", "right_value", F.col("pairs").cast("long").alias("pairs"), "ls", "rs",
         )
 
     def top_differences(self, limit: Optional[int] = None) -> DataFrame:
         """First ``limit`` differences per column in key order (then values)."""
         limit = self.cfg.max_differences if limit is None else limit
         w = Window.partitionBy("column_name").orderBy(
-            F.col(KEY).asc_nulls_first(), F.col("left_value"), F.col("right_value"))
+            F.col(KEY).asc_nulls_first(), F.col("ls").asc_nulls_first(), F.col("rs").asc_nulls_first())
         return (self.all_differences().withColumn("rn", F.row_number().over(w))
-                .where(F.col("rn") <= limit).drop(KEY))
+                .where(F.col("rn") <= limit).drop(KEY, "ls", "rs"))
 
     def record_verdicts(self) -> DataFrame:
         return CMP.record_verdicts(self.prep, self.per_key()).select(

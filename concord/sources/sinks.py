@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# A NULL marker distinct from the empty string, so '' survives a round trip.
+NULL_MARK = "\\N"
+
+
 def checkpoint_root(spark: SparkSession) -> Optional[str]:
     """The shared folder the session names in ``spark.checkpoint.dir``."""
     value = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +50,8 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
     (diffs.select("table_name", "column_name", "record_id", "left_value", "right_value")
      .write.mode("overwrite")
      .option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("nullValue", NULL_MARK)
      .partitionBy("table_name", "column_name")
      .csv(path))
 
@@ -53,7 +59,8 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
 def read_differences_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = "record_id string, left_value string, right_value string, table_name string, column_name string"
     return (spark.read.option("header", True).option("escape", '"')
-            .option("basePath", path).schema(schema).csv(path))
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("nullValue", NULL_MARK).option("basePath", path).schema(schema).csv(path))
 
 
 def latest_runs(results: DataFrame, keep: int = 10, run_col: str = "run_id") -> DataFrame:
