@@ -27,8 +27,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: what counts as outer whitespace (Unicode-aware, like str.strip).
-_OUTER_SPACE = r"(?U)^\s+|\s+$"
+# Outer whitespace is exactly what Python's ``str.strip()`` removes: every
+# code point for which ``str.isspace()`` holds (29 of them), derived here by
+# that rule rather than listed. ``btrim`` strips them without a regex.
+WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -81,14 +83,28 @@ def align(col: Column, src: T.DataType, target: T.DataType) -> Column:
 
 
 def canon(col: Column, dtype: T.DataType) -> Column:
-    """Canonical comparison string of an aligned value; NULL for NULL/NaN."""
+    """Canonical comparison value of an aligned value; NULL for NULL/NaN.
+
+    Strings lose their outer whitespace; floating values lose NaN (-> NULL)
+    and the sign of zero; everything else is its own canonical value. Both
+    sides of a column share the aligned type, so typed equality here is the
+    same test as equality of the string forms, without formatting strings.
+    """
     if isinstance(dtype, T.StringType):
-        return F.regexp_replace(col, _OUTER_SPACE, "")
+        return F.btrim(col, F.lit(WHITESPACE))
     if isinstance(dtype, _FLOATING):
-        return F.when(~F.isnan(col), col.cast("string"))
+        return F.when(~F.isnan(col), col + F.lit(0.0).cast(dtype))
+    return col
+
+
+def canon_text(col: Column, dtype: T.DataType) -> Column:
+    """The canonical value as text, for places mixing columns of many types."""
+    c = canon(col, dtype)
+    if isinstance(dtype, T.StringType):
+        return c
     if isinstance(dtype, T.BinaryType):
-        return F.hex(col)
-    return col.cast("string")
+        return F.hex(c)
+    return c.cast("string")
 
 
 def is_blank(col: Column, dtype: T.DataType) -> Column:

@@ -92,11 +92,26 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     """Every total of the pair in one aggregate over the keyed pass.
 
     Per-column counters cover the uniform keys; mixed keys (``mixed_keys`` >
-    0) are added by :mod:`concord.operators.multiset`.
+    0) are added by :mod:`concord.operators.multiset`. Each key's canonical
+    values are computed once, in a projection, and only weights and flags
+    reach the aggregate.
     """
+    n = len(prep.value_cols)
     p = pairs()
-    uni = (p > 0) & uniform()
-    n_l, n_r = F.col("n_l"), F.col("n_r")
+    flags = pk.select(
+        "n_l", "n_r", p.alias("p"), uniform().alias("u"),
+        *[side_canon(prep, "l", i).alias(f"cl_{i}") for i in range(n)],
+        *[side_canon(prep, "r", i).alias(f"cr_{i}") for i in range(n)],
+    ).select(
+        "n_l", "n_r", "p",
+        F.when((F.col("p") > 0) & F.col("u"), F.col("p")).otherwise(F.lit(0)).alias("w"),
+        ((F.col("p") > 0) & ~F.col("u")).alias("mixed"),
+        *[F.col(f"cl_{i}").eqNullSafe(F.col(f"cr_{i}")).alias(f"e_{i}") for i in range(n)],
+        *[F.col(f"cl_{i}").isNull().alias(f"zl_{i}") for i in range(n)],
+        *[F.col(f"cr_{i}").isNull().alias(f"zr_{i}") for i in range(n)],
+    )
+    w, n_l, n_r = F.col("w"), F.col("n_l"), F.col("n_r")
+    every = reduce(lambda a, b: a & b, [F.col(f"e_{i}") for i in range(n)], F.lit(True))
     cols = [
         F.sum(n_l).alias("left_rows"),
         F.sum(n_r).alias("right_rows"),
@@ -105,18 +120,18 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.count_if((n_l > 0) & (n_r == 0)).alias(MISSING_IN_RIGHT),
         F.count_if((n_r > 0) & (n_l == 0)).alias(MISSING_IN_LEFT),
         F.count_if((n_l > 1) | (n_r > 1)).alias("duplicate_keys"),
-        F.sum(p).alias("joined_pairs"),
-        F.count_if(p > 0).alias("joined_keys"),
-        F.count_if((p > 0) & ~uniform()).alias("mixed_keys"),
-        _weighted((p > 0) & ~uniform(), p).alias("mixed_pairs"),
-        _weighted(uni & all_equal(prep), p).alias("uniform_matching"),
-        _weighted(uni, p).alias("uniform_pairs"),
+        F.sum("p").alias("joined_pairs"),
+        F.count_if(F.col("p") > 0).alias("joined_keys"),
+        F.count_if("mixed").alias("mixed_keys"),
+        _weighted(F.col("mixed"), F.col("p")).alias("mixed_pairs"),
+        _weighted(every, w).alias("uniform_matching"),
+        F.sum(w).alias("uniform_pairs"),
     ]
-    for i, _ in enumerate(prep.value_cols):
-        cols.append(_weighted(uni & cell_equal(prep, i), p).alias(f"m_{i}"))
-        cols.append(_weighted(uni & side_canon(prep, "l", i).isNull(), p).alias(f"nl_{i}"))
-        cols.append(_weighted(uni & side_canon(prep, "r", i).isNull(), p).alias(f"nr_{i}"))
-    out = pk.agg(*cols)
+    for i in range(n):
+        cols.append(_weighted(F.col(f"e_{i}"), w).alias(f"m_{i}"))
+        cols.append(_weighted(F.col(f"zl_{i}"), w).alias(f"nl_{i}"))
+        cols.append(_weighted(F.col(f"zr_{i}"), w).alias(f"nr_{i}"))
+    out = flags.agg(*cols)
     # sums over an empty input are NULL: report zeros instead
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
 
@@ -158,8 +173,8 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
             (~cell_equal(prep, i)).alias("differs"),
             C.display(F.col("hi_l")[c]).alias("left_value"),
             C.display(F.col("hi_r")[c]).alias("right_value"),
-            side_canon(prep, "l", i).alias("ls"),
-            side_canon(prep, "r", i).alias("rs"),
+            C.canon_text(F.col("hi_l")[c], prep.aligned[i]).alias("ls"),
+            C.canon_text(F.col("hi_r")[c], prep.aligned[i]).alias("rs"),
         )
         for i, c in enumerate(prep.value_cols)
     ]

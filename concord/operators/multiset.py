@@ -38,7 +38,7 @@ def mixed_rows(prep: Prepared, pk: DataFrame) -> DataFrame:
 def value_counts(prep: Prepared, rows: DataFrame) -> DataFrame:
     """(key, ci, v) -> (cl, cr): rows per side holding canonical value v."""
     cells = F.array(*[
-        F.struct(F.lit(i).alias("ci"), C.canon(F.col(TUPLE)[c], prep.aligned[i]).alias("v"))
+        F.struct(F.lit(i).alias("ci"), C.canon_text(F.col(TUPLE)[c], prep.aligned[i]).alias("v"))
         for i, c in enumerate(prep.value_cols)
     ])
     s = F.col(SIDE)
@@ -74,7 +74,7 @@ def column_counts(prep: Prepared, vc: DataFrame) -> DataFrame:
 
 def matching_record_pairs(prep: Prepared, rows: DataFrame) -> DataFrame:
     """One row: record pairs of mixed keys that match on every column."""
-    tup = F.struct(*[C.canon(F.col(TUPLE)[c], prep.aligned[i]).alias(c)
+    tup = F.struct(*[C.canon_text(F.col(TUPLE)[c], prep.aligned[i]).alias(c)
                      for i, c in enumerate(prep.value_cols)])
     s = F.col(SIDE)
     per_tuple = rows.select(KEY, SIDE, tup.alias("ct")).groupBy(KEY, "ct").agg(

@@ -177,7 +177,7 @@ def top_differences(p: Pair, limit: int = 100) -> str:
     return f"""with {p.ctes}, {p.joined()}, {differences_body(p)}
 select '{p.name}' as table_name, column_name, {p.rid()} as record_id, left_value, right_value,
   cast(pairs as bigint) as pairs,
-  cast(row_number() over (partition by column_name order by {order}, ls nulls first, rs nulls first) as integer) as rn
+  cast(row_number() over (partition by column_name order by {order}, cast(ls as varchar) nulls first, cast(rs as varchar) nulls first) as integer) as rn
 from d qualify rn <= {limit}"""
 
 
