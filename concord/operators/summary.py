@@ -7,6 +7,8 @@ can be written next to its details.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,25 @@ from concord.functions import format as FM
 
 def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_totals: DataFrame,
                   scenarios: DataFrame, retention: DataFrame, status: DataFrame) -> DataFrame:
-    """One row per table, joined on ``table_name``.
+    """One row per table, folded from the per-table results.
 
-    ``has_mismatch``: counts differ or some joined record differs (the
-    reference's flag; it ignores missing rows). ``perfect_match``: counts
-    equal, scenarios equal, nothing missing either way, every joined record
-    matching.
+    The parts are unioned and grouped by ``table_name`` (each column is set
+    by exactly one part), so no join is needed. ``has_mismatch``: counts
+    differ or some joined record differs (the reference's flag; it ignores
+    missing rows). ``perfect_match``: counts equal, scenarios equal, nothing
+    missing either way, every joined record matching.
     """
-    scen = scenarios.groupBy("table_name").agg(
-        F.bool_and(F.col("difference") == 0).alias("scenarios_equal"))
-    ret = retention.select("table_name", "not_deleted")
-    t = (record_counts.join(record_stats, "table_name")
-         .join(missing_totals, "table_name")
-         .join(scen, "table_name", "left")
-         .join(ret, "table_name", "left")
-         .join(status, "table_name", "left"))
+    parts = [
+        record_counts.select("table_name", "left_total", "right_total", "status_counts"),
+        record_stats.select("table_name", "total_records", "matching_records", "mismatched_records"),
+        missing_totals.select("table_name", "missing_in_right", "missing_in_left"),
+        scenarios.groupBy("table_name").agg(F.bool_and(F.col("difference") == 0).alias("scenarios_equal")),
+        retention.select("table_name", "not_deleted"),
+        status.select("table_name", "status"),
+    ]
+    folded = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    value_cols = [c for c in folded.columns if c != "table_name"]
+    t = folded.groupBy("table_name").agg(*[F.max(c).alias(c) for c in value_cols])
     counts_differ = F.col("left_total") != F.col("right_total")
     has_mismatch = counts_differ | (F.col("mismatched_records") > 0)
     perfect = (

@@ -121,7 +121,8 @@ class Reconciliation:
     # -- counts ---------------------------------------------------------------
     def side_counts(self) -> DataFrame:
         if self._counts is None:
-            self._counts = CNT.side_counts(self.prep)
+            # one row; kept so counts and scenarios share one scan per side
+            self._counts = CNT.side_counts(self.prep).cache()
         return self._counts
 
     def record_counts(self) -> DataFrame:
@@ -222,7 +223,7 @@ class Reconciliation:
 
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
-        for df in (self._pk, self._summary_df):
+        for df in (self._pk, self._summary_df, self._counts):
             if df is not None:
                 df.unpersist()
         if self._mixed is not None:
