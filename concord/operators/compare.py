@@ -99,13 +99,15 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     n = len(prep.value_cols)
     p = pairs()
     flags = pk.select(
-        "n_l", "n_r", p.alias("p"), uniform().alias("u"),
+        KEY, "n_l", "n_r", p.alias("p"), uniform().alias("u"),
         *[side_canon(prep, "l", i).alias(f"cl_{i}") for i in range(n)],
         *[side_canon(prep, "r", i).alias(f"cr_{i}") for i in range(n)],
     ).select(
         "n_l", "n_r", "p",
         F.when((F.col("p") > 0) & F.col("u"), F.col("p")).otherwise(F.lit(0)).alias("w"),
         ((F.col("p") > 0) & ~F.col("u")).alias("mixed"),
+        # size of the mixed-key set, measured (sizes its broadcast)
+        F.when((F.col("p") > 0) & ~F.col("u"), F.octet_length(F.to_json(F.col(KEY)))).alias("kb"),
         *[F.col(f"cl_{i}").eqNullSafe(F.col(f"cr_{i}")).alias(f"e_{i}") for i in range(n)],
         *[F.col(f"cl_{i}").isNull().alias(f"zl_{i}") for i in range(n)],
         *[F.col(f"cr_{i}").isNull().alias(f"zr_{i}") for i in range(n)],
@@ -123,6 +125,7 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.sum("p").alias("joined_pairs"),
         F.count_if(F.col("p") > 0).alias("joined_keys"),
         F.count_if("mixed").alias("mixed_keys"),
+        F.sum("kb").alias("mixed_key_bytes"),
         _weighted(F.col("mixed"), F.col("p")).alias("mixed_pairs"),
         _weighted(every, w).alias("uniform_matching"),
         F.sum(w).alias("uniform_pairs"),

@@ -30,8 +30,30 @@ from concord.operators.compare import pairs, uniform
 from concord.plans.prepare import KEY, SIDE, TUPLE, Prepared
 
 
-def mixed_rows(prep: Prepared, pk: DataFrame) -> DataFrame:
+# Per-row overhead added to the measured key bytes when sizing a broadcast.
+ROW_OVERHEAD_BYTES = 32
+
+
+def broadcast_limit(spark) -> int:
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        return int(value)
+    except ValueError:  # e.g. "10MB"
+        return 10 * 1024 * 1024
+
+
+def mixed_rows(prep: Prepared, pk: DataFrame, mixed_keys: int, mixed_key_bytes: int) -> DataFrame:
+    """Rows of both sides whose key is mixed.
+
+    The summary measured that key set exactly (count and JSON bytes), so it
+    is broadcast only when the measured size fits under the session's
+    broadcast threshold; otherwise the semi join shuffles, and AQE may
+    split a skewed partition of the row side.
+    """
     keys = pk.where((pairs() > 0) & ~uniform()).select(KEY)
+    est = mixed_key_bytes + mixed_keys * ROW_OVERHEAD_BYTES
+    if 0 <= est <= broadcast_limit(pk.sparkSession):
+        keys = F.broadcast(keys)
     return prep.both_tagged().join(keys, KEY, "left_semi")
 
 

@@ -113,7 +113,8 @@ class Reconciliation:
     def _mixed_parts(self):
         """Value counts and matching record pairs of mixed keys (kept once)."""
         if self._mixed is None:
-            rows = MS.mixed_rows(self.prep, self.per_key())
+            s = self.summary()
+            rows = MS.mixed_rows(self.prep, self.per_key(), s["mixed_keys"], s["mixed_key_bytes"])
             vc = materialize(MS.value_counts(self.prep, rows), self.cfg.materialize)
             self._mixed = (vc, MS.matching_record_pairs(self.prep, rows))
         return self._mixed

@@ -1 +1,8 @@
+"""Streaming.
 
+The compared system is a one-shot batch job: it reads no stream, keeps no
+state between runs and registers no functions. There is therefore no
+streaming operator here. A periodic reconciliation is a batch run with a new
+``as_of`` (see :mod:`concord.plans.run`), and runs are kept as Parquet
+partitions by ``run_id`` (see :func:`concord.sources.sinks.latest_runs`).
+"""
