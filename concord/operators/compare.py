@@ -43,11 +43,18 @@ MISSING_IN_LEFT = "missing_in_left"
 
 
 def per_key(prep: Prepared) -> DataFrame:
-    """The keyed pass: one row per distinct key (NULL-safe) over both sides."""
+    """The keyed pass: one row per distinct key (NULL-safe) over both sides.
+
+    Right after the aggregation (same stage) the row is flattened: the
+    ``lo`` tuples only decide ``u`` (uniform) and are dropped, each side's
+    values become flat columns ``l_i`` / ``r_i``, and the per-column flags
+    ``e_i`` (cells equal), ``zl_i`` / ``zr_i`` (cell NULL) are computed once,
+    so every later reader works on flat booleans and longs.
+    """
     tagged = prep.both_tagged()
     s, t = F.col(SIDE), F.col(TUPLE)
     on_left, on_right = s == 0, s == 1
-    return tagged.groupBy(KEY).agg(
+    agg = tagged.groupBy(KEY).agg(
         F.count_if(on_left).alias("n_l"),
         F.count_if(on_right).alias("n_r"),
         F.min(F.when(on_left, t)).alias("lo_l"),
@@ -55,6 +62,19 @@ def per_key(prep: Prepared) -> DataFrame:
         F.min(F.when(on_right, t)).alias("lo_r"),
         F.max(F.when(on_right, t)).alias("hi_r"),
     )
+    n = len(prep.value_cols)
+    flat = agg.select(
+        KEY, "n_l", "n_r",
+        (F.col("lo_l").eqNullSafe(F.col("hi_l")) & F.col("lo_r").eqNullSafe(F.col("hi_r"))).alias("u"),
+        *[F.col("hi_l")[c].alias(f"l_{i}") for i, c in enumerate(prep.value_cols)],
+        *[F.col("hi_r")[c].alias(f"r_{i}") for i, c in enumerate(prep.value_cols)],
+    )
+    return flat.select(
+        "*",
+        *[side_canon(prep, "l", i).eqNullSafe(side_canon(prep, "r", i)).alias(f"e_{i}") for i in range(n)],
+        *[side_canon(prep, "l", i).isNull().alias(f"zl_{i}") for i in range(n)],
+        *[side_canon(prep, "r", i).isNull().alias(f"zr_{i}") for i in range(n)],
+    )
 
 
 # -- per-key expressions ------------------------------------------------------
@@ -65,16 +85,19 @@ def pairs() -> Column:
 
 def uniform() -> Column:
     """All rows of the key agree on every value, on each side separately."""
-    return F.col("lo_l").eqNullSafe(F.col("hi_l")) & F.col("lo_r").eqNullSafe(F.col("hi_r"))
+    return F.col("u")
+
+
+def value(side: str, i: int) -> Column:
+    return F.col(f"{side}_{i}")
 
 
 def side_canon(prep: Prepared, side: str, i: int) -> Column:
-    c = prep.value_cols[i]
-    return C.canon(F.col(f"hi_{side}")[c], prep.aligned[i])
+    return C.canon(value(side, i), prep.aligned[i])
 
 
 def cell_equal(prep: Prepared, i: int) -> Column:
-    return side_canon(prep, "l", i).eqNullSafe(side_canon(prep, "r", i))
+    return F.col(f"e_{i}")
 
 
 def all_equal(prep: Prepared) -> Column:
@@ -92,28 +115,14 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     """Every total of the pair in one aggregate over the keyed pass.
 
     Per-column counters cover the uniform keys; mixed keys (``mixed_keys`` >
-    0) are added by :mod:`concord.operators.multiset`. Each key's canonical
-    values are computed once, in a projection, and only weights and flags
-    reach the aggregate.
+    0) are added by :mod:`concord.operators.multiset`. Only weights and the
+    precomputed flags reach the aggregate.
     """
     n = len(prep.value_cols)
     p = pairs()
-    flags = pk.select(
-        KEY, "n_l", "n_r", p.alias("p"), uniform().alias("u"),
-        *[side_canon(prep, "l", i).alias(f"cl_{i}") for i in range(n)],
-        *[side_canon(prep, "r", i).alias(f"cr_{i}") for i in range(n)],
-    ).select(
-        "n_l", "n_r", "p",
-        F.when((F.col("p") > 0) & F.col("u"), F.col("p")).otherwise(F.lit(0)).alias("w"),
-        ((F.col("p") > 0) & ~F.col("u")).alias("mixed"),
-        # size of the mixed-key set, measured (sizes its broadcast)
-        F.when((F.col("p") > 0) & ~F.col("u"), F.octet_length(F.to_json(F.col(KEY)))).alias("kb"),
-        *[F.col(f"cl_{i}").eqNullSafe(F.col(f"cr_{i}")).alias(f"e_{i}") for i in range(n)],
-        *[F.col(f"cl_{i}").isNull().alias(f"zl_{i}") for i in range(n)],
-        *[F.col(f"cr_{i}").isNull().alias(f"zr_{i}") for i in range(n)],
-    )
-    w, n_l, n_r = F.col("w"), F.col("n_l"), F.col("n_r")
-    every = reduce(lambda a, b: a & b, [F.col(f"e_{i}") for i in range(n)], F.lit(True))
+    mixed = (p > 0) & ~uniform()
+    w = F.when((p > 0) & uniform(), p).otherwise(F.lit(0))
+    n_l, n_r = F.col("n_l"), F.col("n_r")
     cols = [
         F.sum(n_l).alias("left_rows"),
         F.sum(n_r).alias("right_rows"),
@@ -122,19 +131,20 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.count_if((n_l > 0) & (n_r == 0)).alias(MISSING_IN_RIGHT),
         F.count_if((n_r > 0) & (n_l == 0)).alias(MISSING_IN_LEFT),
         F.count_if((n_l > 1) | (n_r > 1)).alias("duplicate_keys"),
-        F.sum("p").alias("joined_pairs"),
-        F.count_if(F.col("p") > 0).alias("joined_keys"),
-        F.count_if("mixed").alias("mixed_keys"),
-        F.sum("kb").alias("mixed_key_bytes"),
-        _weighted(F.col("mixed"), F.col("p")).alias("mixed_pairs"),
-        _weighted(every, w).alias("uniform_matching"),
+        F.sum(p).alias("joined_pairs"),
+        F.count_if(p > 0).alias("joined_keys"),
+        F.count_if(mixed).alias("mixed_keys"),
+        # size of the mixed-key set, measured (sizes its broadcast)
+        F.sum(F.when(mixed, F.octet_length(F.to_json(F.col(KEY))))).alias("mixed_key_bytes"),
+        _weighted(mixed, p).alias("mixed_pairs"),
+        _weighted(all_equal(prep), w).alias("uniform_matching"),
         F.sum(w).alias("uniform_pairs"),
     ]
     for i in range(n):
         cols.append(_weighted(F.col(f"e_{i}"), w).alias(f"m_{i}"))
         cols.append(_weighted(F.col(f"zl_{i}"), w).alias(f"nl_{i}"))
         cols.append(_weighted(F.col(f"zr_{i}"), w).alias(f"nr_{i}"))
-    out = flags.agg(*cols)
+    out = pk.agg(*cols)
     # sums over an empty input are NULL: report zeros instead
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
 
@@ -174,10 +184,10 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
             F.lit(i).alias("ci"),
             F.lit(c).alias("column_name"),
             (~cell_equal(prep, i)).alias("differs"),
-            C.display(F.col("hi_l")[c]).alias("left_value"),
-            C.display(F.col("hi_r")[c]).alias("right_value"),
-            C.canon_text(F.col("hi_l")[c], prep.aligned[i]).alias("ls"),
-            C.canon_text(F.col("hi_r")[c], prep.aligned[i]).alias("rs"),
+            C.display(value("l", i)).alias("left_value"),
+            C.display(value("r", i)).alias("right_value"),
+            C.canon_text(value("l", i), prep.aligned[i]).alias("ls"),
+            C.canon_text(value("r", i), prep.aligned[i]).alias("rs"),
         )
         for i, c in enumerate(prep.value_cols)
     ]
@@ -219,7 +229,7 @@ def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
         if name is None:
             return F.lit("N/A")
         i = prep.value_cols.index(name)
-        return TC.fmt_time(F.col(f"hi_{side}")[name], prep.aligned[i])
+        return TC.fmt_time(value(side, i), prep.aligned[i])
 
     n_l, n_r = F.col("n_l"), F.col("n_r")
     in_right = F.lit(MISSING_IN_RIGHT)

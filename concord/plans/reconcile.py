@@ -115,7 +115,9 @@ class Reconciliation:
         if self._mixed is None:
             s = self.summary()
             rows = MS.mixed_rows(self.prep, self.per_key(), s["mixed_keys"], s["mixed_key_bytes"])
-            vc = materialize(MS.value_counts(self.prep, rows), self.cfg.materialize)
+            # short lineage (mixed rows -> one aggregate): keep in executors
+            mode = "none" if self.cfg.materialize == "none" else "persist"
+            vc = materialize(MS.value_counts(self.prep, rows), mode)
             self._mixed = (vc, MS.matching_record_pairs(self.prep, rows))
         return self._mixed
 
