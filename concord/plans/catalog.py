@@ -115,7 +115,7 @@ def q_column_mapping(spark, d):
 
 
 def q_composite_key_missing(spark, d):
-    return Reconciliation(FX.lineitem_pair(spark, d), cfg()).missing().drop("__k")
+    return Reconciliation.for_missing(FX.lineitem_pair(spark, d), cfg()).missing().drop("__k")
 
 
 def q_dup_key_column_stats(spark, d):
@@ -151,20 +151,24 @@ def q_matched_records(spark, d):
         "table_name", "record_id", "pairs", (F.col("differing_columns") == 0).alias("all_match"))
 
 
+def _orders_missing(spark, d) -> Reconciliation:
+    return Reconciliation.for_missing(FX.orders_pair(spark, d), cfg())
+
+
 def q_missing_in_right(spark, d):
-    return _orders(spark, d).missing().where(F.col("side") == "missing_in_right").drop("__k")
+    return _orders_missing(spark, d).missing().where(F.col("side") == "missing_in_right").drop("__k")
 
 
 def q_missing_in_left(spark, d):
-    return _orders(spark, d).missing().where(F.col("side") == "missing_in_left").drop("__k")
+    return _orders_missing(spark, d).missing().where(F.col("side") == "missing_in_left").drop("__k")
 
 
 def q_missing_totals(spark, d):
-    return _orders(spark, d).missing_totals()
+    return _orders_missing(spark, d).missing_totals()
 
 
 def q_missing_sample(spark, d):
-    return _orders(spark, d).missing_sample()
+    return _orders_missing(spark, d).missing_sample()
 
 
 def q_record_match_stats(spark, d):

@@ -15,7 +15,7 @@ pushed into each side's scan):
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Optional
+from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +81,10 @@ class Prepared:
         return df.schema[name].dataType
 
 
-def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None) -> Prepared:
+def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
+            columns: Optional[Sequence[str]] = None) -> Prepared:
+    """Resolve ``pair`` under ``cfg``; ``columns`` optionally restricts the
+    compared columns (the keys and time columns are still resolved)."""
     left = pair.left
     right = apply_mapping(pair.right, pair.column_mapping)
     common = common_columns(left, right)
@@ -114,6 +117,9 @@ def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None) ->
             right = right.filter(TC.in_window(F.col(created), rt, start, end))
 
     value_cols = [c for c in common if c not in keys]
+    if columns is not None:
+        wanted = set(columns)
+        value_cols = [c for c in value_cols if c in wanted]
     lts = [left.schema[c].dataType for c in value_cols]
     rts = [right.schema[c].dataType for c in value_cols]
     aligned = [C.aligned_type(a, b, pair.bool_as_int) for a, b in zip(lts, rts)]

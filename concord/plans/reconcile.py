@@ -16,7 +16,7 @@ Only one-row summaries reach the driver.
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import Optional, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,21 +30,27 @@ from concord.operators import counts as CNT
 from concord.operators import multiset as MS
 from concord.plans.prepare import (EMPTY_BOTH, EMPTY_LEFT, EMPTY_RIGHT, KEY, OK, Prepared,
                                    prepare)
-from concord.sources.sinks import checkpoint_root
+from concord.sources.sinks import checkpoint_root, shared_dir
 
 
 def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Keep ``df`` for reuse by several jobs.
 
-    ``checkpoint`` writes it to the session's shared checkpoint folder and
-    cuts the lineage (survives lost executors without recomputation);
-    ``persist`` keeps it in executor memory and local disk (lost blocks
-    are recomputed from lineage). ``auto`` checkpoints when the session
-    names a checkpoint folder.
+    ``table`` writes it as Parquet under the session's shared checkpoint
+    folder and reads it back: one job, lineage cut (survives lost
+    executors), and later readers prune to the columns they need.
+    ``checkpoint`` is Spark's reliable checkpoint into the same folder.
+    ``persist`` keeps it in executor memory and local disk (lost blocks are
+    recomputed from lineage). ``auto`` picks ``table`` when the session
+    names a checkpoint folder, else ``persist``.
     """
     spark = df.sparkSession
     if mode == "auto":
-        mode = "checkpoint" if checkpoint_root(spark) else "persist"
+        mode = "table" if checkpoint_root(spark) else "persist"
+    if mode == "table":
+        path = shared_dir(spark, "concord-keyed")
+        df.write.mode("error").parquet(path)
+        return spark.read.parquet(path)
     if mode == "checkpoint":
         root = checkpoint_root(spark)
         if root and spark.sparkContext.getCheckpointDir() is None:
@@ -60,10 +66,11 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
 class Reconciliation:
     """Lazy result tables of one pair; the keyed pass runs at most once."""
 
-    def __init__(self, pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None):
+    def __init__(self, pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
+                 columns: Optional[Sequence[str]] = None):
         self.pair = pair
         self.cfg = cfg
-        self.prep: Prepared = prepare(pair, cfg, windowed)
+        self.prep: Prepared = prepare(pair, cfg, windowed, columns)
         self._pk: Optional[DataFrame] = None
         self._summary_df: Optional[DataFrame] = None
         self._summary = None
@@ -224,6 +231,14 @@ class Reconciliation:
         return (self.missing().withColumn("rn", F.row_number().over(w))
                 .where(F.col("rn") <= limit).drop(KEY))
 
+    @classmethod
+    def for_missing(cls, pair: TablePair, cfg: RunConfig) -> "Reconciliation":
+        """A narrow reconciliation for missing records only: the keyed pass
+        carries the key and the created / modified columns, nothing else."""
+        full = prepare(pair, cfg)
+        cols = [c for c in (full.created, full.modified) if c is not None]
+        return cls(pair, cfg, columns=cols)
+
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
         for df in (self._pk, self._summary_df, self._counts):
