@@ -37,8 +37,11 @@ def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a result table back; pass ``schema`` to read a table that may
+    have no rows yet (an empty partitioned write leaves no files)."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def export_differences_csv(diffs: DataFrame, path: str) -> None:
