@@ -25,7 +25,8 @@ from concord.sources import fixtures as FX  # noqa: E402
 HEADLINE = (
     "column_stats", "fused_reconcile", "missing_totals", "record_counts_window",
     "date_scenarios_window", "top_differences", "missing_sample", "retention_count",
-    "dup_key_column_stats", "dup_key_record_stats", "composite_key_missing", "run_report",
+    "dup_key_column_stats", "dup_key_record_stats", "hot_key_column_stats", "composite_key_missing",
+    "run_report",
 )
 
 

@@ -130,6 +130,14 @@ def q_dup_key_differences(spark, d):
     return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg()).top_differences()
 
 
+def q_hot_key_column_stats(spark, d):
+    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).column_stats()
+
+
+def q_hot_key_record_stats(spark, d):
+    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).record_stats()
+
+
 def q_retention_count(spark, d):
     return RET.retention_count(FX.orders_pair(spark, d), cfg(45))
 
@@ -258,6 +266,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_key_column_stats": q_dup_key_column_stats,
     "dup_key_record_stats": q_dup_key_record_stats,
     "dup_key_differences": q_dup_key_differences,
+    "hot_key_column_stats": q_hot_key_column_stats,
+    "hot_key_record_stats": q_hot_key_record_stats,
     "retention_count": q_retention_count,
     "retention_sample": q_retention_sample,
     "null_empty_profile": q_null_empty_profile,

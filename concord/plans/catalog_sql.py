@@ -94,6 +94,58 @@ def lineitem_drift() -> Pair:
                 FS.LINEITEM_VALUE_COLUMNS)
 
 
+def lineitem_hot() -> Pair:
+    return Pair("lineitem_hot", FS.LINEITEM_HOT_PAIR, "ll", "lr", ["l_orderkey"],
+                FS.LINEITEM_HOT_VALUE_COLUMNS)
+
+
+# -- counting formulation (no pairs formed) ---------------------------------------
+
+def _counted(p: Pair) -> str:
+    """CTEs of per-key row counts ``nl`` / ``nr`` and ``pairs``."""
+    k = ", ".join(p.keys)
+    on = " and ".join(f"a.{x} is not distinct from b.{x}" for x in p.keys)
+    return (f"nl as (select {k}, count(*) as n from lw group by all),\n"
+            f" nr as (select {k}, count(*) as n from rw group by all),\n"
+            f" pairs as (select coalesce(sum(a.n * b.n), 0) as p from nl a join nr b on {on})")
+
+
+def column_stats_counted(p: Pair) -> str:
+    """Column statistics from value multiplicities: sum L(k,v) * R(k,v)."""
+    k = ", ".join(p.keys)
+    on = " and ".join(f"a.{x} is not distinct from b.{x}" for x in p.keys)
+    ctes, rows = [], []
+    for i, c in enumerate(p.cols):
+        ctes.append(f"lc{i} as (select {k}, {canon(c, c)} as v, count(*) as n from lw group by all)")
+        ctes.append(f"rc{i} as (select {k}, {canon(c, c)} as v, count(*) as n from rw group by all)")
+        m = f"(select coalesce(sum(a.n * b.n), 0) from lc{i} a join rc{i} b on {on} and a.v is not distinct from b.v)"
+        zl = f"(select coalesce(sum(a.n * b.n), 0) from lc{i} a join nr b on {on} where a.v is null)"
+        zr = f"(select coalesce(sum(a.n * b.n), 0) from rc{i} a join nl b on {on} where a.v is null)"
+        rows.append(f"select '{c}' as column_name, {m} as m, (select p from pairs) as t, {zl} as nl, {zr} as nr")
+    r = rate("m", "t")
+    return f"""with {p.ctes}, {_counted(p)}, {', '.join(ctes)},
+s as ({' union all '.join(rows)})
+select '{p.name}' as table_name, column_name, cast(m as bigint) as matches, cast(t - m as bigint) as mismatches,
+  cast(nl as bigint) as null_left, cast(nr as bigint) as null_right, {r} as match_rate,
+  {band(r)} as band, {r} < 95.0 as failed
+from s"""
+
+
+def record_stats_counted(p: Pair) -> str:
+    """Record statistics from tuple multiplicities: sum L(k,t) * R(k,t)."""
+    k = ", ".join(p.keys)
+    vals = ", ".join(f"{canon(c, c)} as v{i}" for i, c in enumerate(p.cols))
+    on = " and ".join([f"a.{x} is not distinct from b.{x}" for x in p.keys] +
+                      [f"a.v{i} is not distinct from b.v{i}" for i in range(len(p.cols))])
+    return f"""with {p.ctes}, {_counted(p)},
+lt as (select {k}, {vals}, count(*) as n from lw group by all),
+rt as (select {k}, {vals}, count(*) as n from rw group by all),
+m as (select coalesce(sum(a.n * b.n), 0) as m from lt a join rt b on {on})
+select '{p.name}' as table_name, cast(p as bigint) as total_records, cast(m as bigint) as matching_records,
+  cast(p - m as bigint) as mismatched_records
+from pairs, m"""
+
+
 # -- building blocks --------------------------------------------------------------
 
 def column_counts_body(p: Pair) -> str:
@@ -263,6 +315,14 @@ def sql_dup_key_differences():
     return top_differences(lineitem_drift())
 
 
+def sql_hot_key_column_stats():
+    return column_stats_counted(lineitem_hot())
+
+
+def sql_hot_key_record_stats():
+    return record_stats_counted(lineitem_hot())
+
+
 def sql_retention_count():
     return f"""with {orders().ctes}
 select 'orders' as table_name, 45 as retention_days, count(*) as not_deleted, 'OK' as status
@@ -450,6 +510,8 @@ SQL = {
     "dup_key_column_stats": sql_dup_key_column_stats,
     "dup_key_record_stats": sql_dup_key_record_stats,
     "dup_key_differences": sql_dup_key_differences,
+    "hot_key_column_stats": sql_hot_key_column_stats,
+    "hot_key_record_stats": sql_hot_key_record_stats,
     "retention_count": sql_retention_count,
     "retention_sample": sql_retention_sample,
     "null_empty_profile": sql_null_empty_profile,

@@ -68,3 +68,20 @@ lr as (
 
 LINEITEM_VALUE_COLUMNS = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                           "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+LINEITEM_HOT_PAIR = """
+ll as (select case when l_orderkey%3=0 then cast(0 as bigint) else l_orderkey end as l_orderkey,
+         l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+         l_returnflag, l_linestatus, l_shipdate from lineitem),
+lr as (
+  select case when l_orderkey%3=0 then cast(0 as bigint) else l_orderkey end as l_orderkey,
+    l_partkey, l_suppkey, l_linenumber,
+    case when l_partkey%7=0 then l_quantity + 1.0 else l_quantity end as l_quantity,
+    l_extendedprice,
+    case when l_suppkey%5=0 then 0.0 else l_discount end as l_discount,
+    l_tax, l_returnflag, l_linestatus, l_shipdate
+  from lineitem where year(l_shipdate) <> 1999)
+"""
+
+LINEITEM_HOT_VALUE_COLUMNS = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")

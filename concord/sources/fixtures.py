@@ -122,3 +122,19 @@ def lineitem_drift_pair(spark: SparkSession, sf_dir: str) -> TablePair:
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
     return TablePair(name="lineitem", left=li, right=right, keys=("l_orderkey", "l_linenumber"))
+
+
+def lineitem_hot_pair(spark: SparkSession, sf_dir: str) -> TablePair:
+    """A third of all rows under one key: orders whose key % 3 = 0 are folded
+    into order 0, on both sides, with the drift of ``lineitem_drift_pair``.
+
+    Keyed on ``l_orderkey`` alone, so key 0 holds a third of each side and
+    its copies differ: the skewed, duplicate-key case at full size.
+    """
+    base = lineitem_drift_pair(spark, sf_dir)
+
+    def fold(df: DataFrame) -> DataFrame:
+        k = F.col("l_orderkey")
+        return df.withColumn("l_orderkey", F.when(k % 3 == 0, F.lit(0).cast("bigint")).otherwise(k))
+
+    return TablePair(name="lineitem_hot", left=fold(base.left), right=fold(base.right), keys=("l_orderkey",))
