@@ -39,12 +39,17 @@ def old_rows(pair: TablePair, cfg: RunConfig):
 def retention_count(pair: TablePair, cfg: RunConfig) -> DataFrame:
     status, rows = old_rows(pair, cfg)
     days = F.lit(int(cfg.retention_days or 0)).alias("retention_days")
+    # every old row is counted as not deleted; nothing on the left side can
+    # show a deletion, so ``deleted_records`` is 0 by construction
     if rows is None:
         return pair.left.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(pair.name).alias("table_name"), days, F.lit(None).cast("long").alias("not_deleted"),
+            F.lit(pair.name).alias("table_name"), days, F.lit(None).cast("long").alias("total_old_records"),
+            F.lit(None).cast("long").alias("deleted_records"), F.lit(None).cast("long").alias("not_deleted"),
             F.lit(status).alias("status"))
-    return rows.agg(F.count(F.lit(1)).alias("not_deleted")).select(
-        F.lit(pair.name).alias("table_name"), days, F.col("not_deleted").cast("long").alias("not_deleted"),
+    n = F.col("n").cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(pair.name).alias("table_name"), days, n.alias("total_old_records"),
+        F.lit(0).cast("long").alias("deleted_records"), n.alias("not_deleted"),
         F.lit(status).alias("status"))
 
 

@@ -54,9 +54,10 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
     )
 
 
-def run_summary(tables: DataFrame) -> DataFrame:
-    """Run totals over the per-table summary rows (A7, A9b)."""
-    return tables.agg(
+def run_summary(tables: DataFrame, cfg=None) -> DataFrame:
+    """Run totals over the per-table summary rows (A7, A9b), with the run's
+    time window (enabled, start, end, days) when ``cfg`` is given."""
+    out = tables.agg(
         F.count(F.lit(1)).alias("total_tables"),
         F.count_if(F.col("has_mismatch")).alias("tables_with_mismatches"),
         F.sum("left_total").cast("long").alias("total_left_records"),
@@ -65,6 +66,18 @@ def run_summary(tables: DataFrame) -> DataFrame:
         F.sum("missing_in_left").cast("long").alias("total_missing_in_left"),
         F.coalesce(F.sum("not_deleted"), F.lit(0)).cast("long").alias("total_not_deleted"),
     )
+    if cfg is None:
+        return out
+    start, end = cfg.window_bounds()
+    fmt = "%Y-%m-%d %H:%M:%S"
+    return out.select(
+        "*",
+        F.lit(bool(cfg.window_enabled)).alias("window_enabled"),
+        F.lit(start.strftime(fmt) if start else None).cast("string").alias("window_start"),
+        F.lit(end.strftime(fmt) if end else None).cast("string").alias("window_end"),
+        F.lit(int(end.timestamp() - start.timestamp()) // 86400 if start else None).cast("int")
+        .alias("window_days"),
+    )
 
 
 def column_failure_stats(column_stats: DataFrame) -> DataFrame:

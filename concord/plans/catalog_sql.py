@@ -325,7 +325,8 @@ def sql_hot_key_record_stats():
 
 def sql_retention_count():
     return f"""with {orders().ctes}
-select 'orders' as table_name, 45 as retention_days, count(*) as not_deleted, 'OK' as status
+select 'orders' as table_name, 45 as retention_days, count(*) as total_old_records,
+  cast(0 as bigint) as deleted_records, count(*) as not_deleted, 'OK' as status
 from l where {retention_where()}"""
 
 
@@ -446,7 +447,9 @@ select count(*) as total_tables, count(*) filter (where has_mismatch) as tables_
   cast(sum(left_total) as bigint) as total_left_records, cast(sum(right_total) as bigint) as total_right_records,
   cast(sum(missing_in_right) as bigint) as total_missing_in_right,
   cast(sum(missing_in_left) as bigint) as total_missing_in_left,
-  cast(coalesce(sum(not_deleted), 0) as bigint) as total_not_deleted, {RUN_ID} as run_id
+  cast(coalesce(sum(not_deleted), 0) as bigint) as total_not_deleted, {RUN_ID} as run_id,
+  true as window_enabled, strftime({AS_OF} - interval 45 day, {TS_FMT}) as window_start,
+  strftime({AS_OF}, {TS_FMT}) as window_end, 45 as window_days
 from t"""
 
 

@@ -73,8 +73,9 @@ def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig) -> tuple[di
         out["retention_violations"] = RET.retention_sample(pair, cfg)
     else:
         out["retention_count"] = spark.createDataFrame(
-            [(pair.name, 0, None, "DISABLED")],
-            "table_name string, retention_days int, not_deleted long, status string")
+            [(pair.name, 0, None, None, None, "DISABLED")],
+            "table_name string, retention_days int, total_old_records long, deleted_records long, "
+            "not_deleted long, status string")
     out["table_status"] = _status_row(spark, pair.name, rec.status(), rec.prep.window_status, "")
     return out, rec
 
@@ -104,7 +105,7 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
             frames["record_stats"], frames["missing_totals"], frames["date_scenarios"],
             frames["retention_count"], status)
         frames["table_summary"] = tables
-        frames["run_summary"] = SUM.run_summary(tables)
+        frames["run_summary"] = SUM.run_summary(tables, cfg)
         frames["table_kpis"] = SUM.table_kpis(tables)
         frames["column_failure_stats"] = SUM.column_failure_stats(frames["column_stats"])
     frames = {name: df.withColumn("run_id", F.lit(run_id)) for name, df in frames.items()}
