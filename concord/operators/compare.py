@@ -54,7 +54,7 @@ def per_key(prep: Prepared) -> DataFrame:
     tagged = prep.both_tagged()
     s, t = F.col(SIDE), F.col(TUPLE)
     on_left, on_right = s == 0, s == 1
-    agg = tagged.groupBy(KEY).agg(
+    agg = tagged.groupBy(*prep.flat_keys()).agg(
         F.count_if(on_left).alias("n_l"),
         F.count_if(on_right).alias("n_r"),
         F.min(F.when(on_left, t)).alias("lo_l"),
@@ -64,7 +64,7 @@ def per_key(prep: Prepared) -> DataFrame:
     )
     n = len(prep.value_cols)
     flat = agg.select(
-        KEY, "n_l", "n_r",
+        prep.key_from_flat(), "n_l", "n_r",
         (F.col("lo_l").eqNullSafe(F.col("hi_l")) & F.col("lo_r").eqNullSafe(F.col("hi_r"))).alias("u"),
         *[F.col("hi_l")[c].alias(f"l_{i}") for i, c in enumerate(prep.value_cols)],
         *[F.col("hi_r")[c].alias(f"r_{i}") for i, c in enumerate(prep.value_cols)],

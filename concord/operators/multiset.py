@@ -54,7 +54,9 @@ def mixed_rows(prep: Prepared, pk: DataFrame, mixed_keys: int, mixed_key_bytes:
     est = mixed_key_bytes + mixed_keys * ROW_OVERHEAD_BYTES
     if 0 <= est <= broadcast_limit(pk.sparkSession):
         keys = F.broadcast(keys)
-    return prep.both_tagged().join(keys, KEY, "left_semi")
+    # the struct key makes the semi join NULL-safe with plain equality
+    rows = prep.both_tagged().withColumn(KEY, prep.key_from_flat())
+    return rows.join(keys, KEY, "left_semi").drop(KEY)
 
 
 def value_counts(prep: Prepared, rows: DataFrame) -> DataFrame:
@@ -64,10 +66,12 @@ def value_counts(prep: Prepared, rows: DataFrame) -> DataFrame:
         for i, c in enumerate(prep.value_cols)
     ])
     s = F.col(SIDE)
+    flat = prep.flat_keys()
     return (
-        rows.select(KEY, SIDE, F.inline(cells))
-        .groupBy(KEY, "ci", "v")
+        rows.select(*flat, SIDE, F.inline(cells))
+        .groupBy(*flat, "ci", "v")
         .agg(F.count_if(s == 0).alias("cl"), F.count_if(s == 1).alias("cr"))
+        .select(prep.key_from_flat(), "ci", "v", "cl", "cr")
     )
 
 
@@ -99,7 +103,8 @@ def matching_record_pairs(prep: Prepared, rows: DataFrame) -> DataFrame:
     tup = F.struct(*[C.canon(F.col(TUPLE)[c], prep.aligned[i]).alias(c)
                      for i, c in enumerate(prep.value_cols)])
     s = F.col(SIDE)
-    per_tuple = rows.select(KEY, SIDE, tup.alias("ct")).groupBy(KEY, "ct").agg(
+    flat = prep.flat_keys()
+    per_tuple = rows.select(*flat, SIDE, tup.alias("ct")).groupBy(*flat, "ct").agg(
         F.count_if(s == 0).alias("cl"), F.count_if(s == 1).alias("cr"))
     return per_tuple.agg(F.coalesce(F.sum(F.col("cl") * F.col("cr")), F.lit(0)).cast("long").alias("mixed_matching"))
 

@@ -61,15 +61,28 @@ class Prepared:
     def key_struct(self) -> Column:
         return F.struct(*[F.col(k) for k in self.keys]).alias(KEY)
 
+    def flat_keys(self) -> list[str]:
+        """Internal names of the key columns in tagged rows (never clash)."""
+        return [f"__k{i}" for i in range(len(self.keys))]
+
+    def key_from_flat(self) -> Column:
+        """The key struct rebuilt from the flat key columns, after grouping."""
+        return F.struct(*[F.col(f).alias(k) for f, k in zip(self.flat_keys(), self.keys)]).alias(KEY)
+
     def tagged(self, side: int) -> DataFrame:
-        """(key struct, side, aligned value struct) rows of one side."""
+        """(flat key columns, side, aligned value struct) rows of one side.
+
+        Keys stay flat so aggregations group and sort on plain columns
+        (prefix / radix sort); grouping is NULL-safe by itself.
+        """
         df, types = (self.left, self.left_types) if side == 0 else (self.right, self.right_types)
         values = [
             C.align(F.col(c), src, tgt).alias(c)
             for c, src, tgt in zip(self.value_cols, types, self.aligned)
         ]
         tuple_col = F.struct(*values) if values else F.struct(F.lit(None).cast("string").alias("__none"))
-        return df.select(self.key_struct(), F.lit(side).cast("tinyint").alias(SIDE), tuple_col.alias(TUPLE))
+        keys = [F.col(k).alias(f) for k, f in zip(self.keys, self.flat_keys())]
+        return df.select(*keys, F.lit(side).cast("tinyint").alias(SIDE), tuple_col.alias(TUPLE))
 
     def both_tagged(self) -> DataFrame:
         return self.tagged(0).unionByName(self.tagged(1))
