@@ -38,8 +38,8 @@ def cfg(days: Optional[int] = None, **kw) -> RunConfig:
                      window_days=days if days is not None else 45, **kw)
 
 
-def _orders(spark, sf_dir, days=None) -> Reconciliation:
-    return Reconciliation(FX.orders_pair(spark, sf_dir), cfg(days))
+def _orders(spark, sf_dir, days=None, keep=True) -> Reconciliation:
+    return Reconciliation(FX.orders_pair(spark, sf_dir), cfg(days), keep=keep)
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -63,7 +63,7 @@ def _run(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 def q_column_stats(spark, d):
-    return _orders(spark, d).column_stats()
+    return _orders(spark, d, keep=False).column_stats()
 
 
 def q_record_counts(spark, d):
@@ -111,7 +111,7 @@ def q_column_mapping(spark, d):
     pair = FX.orders_pair(spark, d)
     pair = replace(pair, right=pair.right.withColumnRenamed("cust", "customer_id"),
                    column_mapping={"cust": "customer_id"})
-    return Reconciliation(pair, cfg()).column_stats()
+    return Reconciliation(pair, cfg(), keep=False).column_stats()
 
 
 def q_composite_key_missing(spark, d):
@@ -119,11 +119,11 @@ def q_composite_key_missing(spark, d):
 
 
 def q_dup_key_column_stats(spark, d):
-    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg()).column_stats()
+    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg(), keep=False).column_stats()
 
 
 def q_dup_key_record_stats(spark, d):
-    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg()).record_stats()
+    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg(), keep=False).record_stats()
 
 
 def q_dup_key_differences(spark, d):
@@ -131,11 +131,11 @@ def q_dup_key_differences(spark, d):
 
 
 def q_hot_key_column_stats(spark, d):
-    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).column_stats()
+    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg(), keep=False).column_stats()
 
 
 def q_hot_key_record_stats(spark, d):
-    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).record_stats()
+    return Reconciliation(FX.lineitem_hot_pair(spark, d), cfg(), keep=False).record_stats()
 
 
 def q_retention_count(spark, d):
@@ -172,7 +172,7 @@ def q_missing_in_left(spark, d):
 
 
 def q_missing_totals(spark, d):
-    return _orders_missing(spark, d).missing_totals()
+    return Reconciliation.for_missing(FX.orders_pair(spark, d), cfg(), keep=False).missing_totals()
 
 
 def q_missing_sample(spark, d):
@@ -180,7 +180,7 @@ def q_missing_sample(spark, d):
 
 
 def q_record_match_stats(spark, d):
-    return _orders(spark, d).record_stats()
+    return _orders(spark, d, keep=False).record_stats()
 
 
 def q_top_differences(spark, d):
@@ -192,7 +192,7 @@ def q_search_differences(spark, d):
 
 
 def q_fused_reconcile(spark, d):
-    r = _orders(spark, d, 45)
+    r = _orders(spark, d, 45, keep=False)
     return r.summary_df().select(
         F.lit(r.name).alias("table_name"),
         F.col("left_rows").alias("left_total"), F.col("right_rows").alias("right_total"),
@@ -227,7 +227,7 @@ def q_column_failure_stats(spark, d):
 
 def q_hash_sample(spark, d):
     pair = SAMPLE.hash_sample(FX.orders_pair(spark, d), 10)
-    return Reconciliation(pair, cfg()).column_stats()
+    return Reconciliation(pair, cfg(), keep=False).column_stats()
 
 
 def q_persist_run(spark, d):

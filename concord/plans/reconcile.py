@@ -67,9 +67,16 @@ class Reconciliation:
     """Lazy result tables of one pair; the keyed pass runs at most once."""
 
     def __init__(self, pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
-                 columns: Optional[Sequence[str]] = None):
+                 columns: Optional[Sequence[str]] = None, keep: bool = True):
+        """``keep``: materialize the keyed pass (``cfg.materialize``) before
+        the first output, for reuse by several outputs (the default). A
+        caller that reads only the one-row summary passes ``keep=False``:
+        the keyed pass is then persisted lazily, filled as a side effect of
+        the summary job (one job, no separate write), and re-read only when
+        mixed duplicate keys need it."""
         self.pair = pair
         self.cfg = cfg
+        self.keep = keep
         self.prep: Prepared = prepare(pair, cfg, windowed, columns)
         self._pk: Optional[DataFrame] = None
         self._summary_df: Optional[DataFrame] = None
@@ -88,7 +95,8 @@ class Reconciliation:
     # -- the keyed pass -------------------------------------------------------
     def per_key(self) -> DataFrame:
         if self._pk is None:
-            self._pk = materialize(CMP.per_key(self.prep), self.cfg.materialize)
+            mode = self.cfg.materialize if self.keep else "persist"
+            self._pk = materialize(CMP.per_key(self.prep), mode)
         return self._pk
 
     def summary_df(self) -> DataFrame:
@@ -232,12 +240,12 @@ class Reconciliation:
                 .where(F.col("rn") <= limit).drop(KEY))
 
     @classmethod
-    def for_missing(cls, pair: TablePair, cfg: RunConfig) -> "Reconciliation":
+    def for_missing(cls, pair: TablePair, cfg: RunConfig, keep: bool = True) -> "Reconciliation":
         """A narrow reconciliation for missing records only: the keyed pass
         carries the key and the created / modified columns, nothing else."""
         full = prepare(pair, cfg)
         cols = [c for c in (full.created, full.modified) if c is not None]
-        return cls(pair, cfg, columns=cols)
+        return cls(pair, cfg, columns=cols, keep=keep)
 
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
