@@ -30,7 +30,7 @@ from concord.operators import counts as CNT
 from concord.operators import multiset as MS
 from concord.plans.prepare import (EMPTY_BOTH, EMPTY_LEFT, EMPTY_RIGHT, KEY, OK, Prepared,
                                    prepare)
-from concord.sources.sinks import checkpoint_root, shared_dir
+from concord.sources.sinks import checkpoint_root, delete_path, shared_dir
 
 
 def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
@@ -50,7 +50,9 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     if mode == "table":
         path = shared_dir(spark, "concord-keyed")
         df.write.mode("error").parquet(path)
-        return spark.read.parquet(path)
+        kept = spark.read.parquet(path)
+        _WRITTEN[id(kept)] = path
+        return kept
     if mode == "checkpoint":
         root = checkpoint_root(spark)
         if root and spark.sparkContext.getCheckpointDir() is None:
@@ -63,6 +65,21 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     raise ValueError(f"unknown materialize mode {mode!r}")
 
 
+# scratch tables written by ``materialize``, removed by ``release``
+_WRITTEN: dict[int, str] = {}
+
+
+def release(df: Optional[DataFrame]) -> None:
+    """Undo ``materialize``: unpersist, or delete the written scratch table."""
+    if df is None:
+        return
+    path = _WRITTEN.pop(id(df), None)
+    if path is not None:
+        delete_path(df.sparkSession, path)
+    else:
+        df.unpersist()
+
+
 class Reconciliation:
     """Lazy result tables of one pair; the keyed pass runs at most once."""
 
@@ -250,7 +267,8 @@ class Reconciliation:
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
         for df in (self._pk, self._summary_df, self._counts):
-            if df is not None:
-                df.unpersist()
+            release(df)
         if self._mixed is not None:
-            self._mixed[0].unpersist()
+            release(self._mixed[0])
+        self._pk = self._summary_df = self._counts = self._mixed = None
+        self._summary = None

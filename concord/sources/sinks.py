@@ -32,6 +32,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a scratch folder this engine wrote (through Hadoop's file
+    system, so it works on any shared storage the session can write)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True))
+
+
 def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str = "append") -> None:
     """Persist one result table, partitioned by run (one folder per run)."""
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
