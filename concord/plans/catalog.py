@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.config import RunConfig
-from concord.functions import canon as C
 from concord.operators import profile as PROF
 from concord.operators import retention as RET
 from concord.operators import sample as SAMPLE
@@ -24,7 +23,6 @@ from concord.plans.prepare import prepare
 from concord.plans.reconcile import Reconciliation
 from concord.plans.run import run
 from concord.session import ensure_checkpoint_dir
-from concord.sources import fixture_sql as FS
 from concord.sources import fixtures as FX
 from concord.sources import schema as SCH
 from concord.sources import sinks

@@ -2,8 +2,6 @@
 
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from concord import Reconciliation, TablePair
 from helpers import cfg
 

@@ -6,7 +6,6 @@ import os
 from concord import Reconciliation, TablePair
 from concord.cli import main
 from concord.plans.run import RESULT_TABLES, run
-from concord.session import ensure_checkpoint_dir
 from concord.sources import sinks
 from helpers import cfg
 from tests_paths import SF001
