@@ -9,20 +9,20 @@ Plan: instead of a join, both sides are tagged and unioned, then grouped by
 the key once::
 
     per key:  n_l, n_r                      rows on each side
-              lo_l, hi_l, lo_r, hi_r        min / max of the aligned value
-                                            tuple on each side
+              per column and side           non-NULL count, min, max of the
+                                            aligned value
 
 * One shuffle for both tables, with map-side partial aggregation, so a key
   holding a third of all rows arrives at its reducer as one partial buffer
   per map task rather than as its rows.
 * No pair is ever materialised: a key with ``n_l`` and ``n_r`` rows stands
   for ``n_l * n_r`` pairs, and every counter is weighted by that product.
-* When every row of a key on each side carries the same values
-  (``lo = hi``: unique keys, or exact copies), the key's pairs are all alike
-  and one comparison of ``hi_l`` with ``hi_r`` decides all of them.
-* Keys whose copies differ among themselves ("mixed" keys) are resolved
-  exactly by :mod:`concord.operators.multiset`, which counts values rather
-  than pairs. Typical tables have none and skip that step.
+* When every row of a key on each side carries one value in a column
+  (unique keys, exact copies, or versions differing in other columns), all
+  the key's pairs agree on that column and one comparison decides them.
+* Cells where a key's copies differ among themselves ("mixed" keys) are
+  resolved exactly by :mod:`concord.operators.multiset`, which counts values
+  rather than pairs. Typical tables have none and skip that step.
 * Missing keys are the groups with ``n_r = 0`` (or ``n_l = 0``), so the
   same pass also yields both anti-joins and their exact distinct totals.
 """
@@ -45,32 +45,40 @@ MISSING_IN_LEFT = "missing_in_left"
 def per_key(prep: Prepared) -> DataFrame:
     """The keyed pass: one row per distinct key (NULL-safe) over both sides.
 
-    Right after the aggregation (same stage) the row is flattened: the
-    ``lo`` tuples only decide ``u`` (uniform) and are dropped, each side's
-    values become flat columns ``l_i`` / ``r_i``, and the per-column flags
-    ``e_i`` (cells equal), ``zl_i`` / ``zr_i`` (cell NULL) are computed once,
-    so every later reader works on flat booleans and longs.
+    Per side and column the aggregate keeps the non-NULL count, min and max
+    of the aligned value. A column is *uniform* for a key (``uc_i``) when, on
+    each side, its values are all NULL or all one value; the key is uniform
+    (``u``) when all its columns are. Right after the aggregation (same
+    stage) the flags ``e_i`` (cells equal), ``zl_i`` / ``zr_i`` (cell NULL)
+    are computed once from the max values ``l_i`` / ``r_i``, and the min
+    values are dropped, so every later reader works on flat columns.
     """
     tagged = prep.both_tagged()
     s, t = F.col(SIDE), F.col(TUPLE)
-    on_left, on_right = s == 0, s == 1
-    agg = tagged.groupBy(*prep.flat_keys()).agg(
-        F.count_if(on_left).alias("n_l"),
-        F.count_if(on_right).alias("n_r"),
-        F.min(F.when(on_left, t)).alias("lo_l"),
-        F.max(F.when(on_left, t)).alias("hi_l"),
-        F.min(F.when(on_right, t)).alias("lo_r"),
-        F.max(F.when(on_right, t)).alias("hi_r"),
-    )
+    sides = (("l", s == 0), ("r", s == 1))
+    aggs = [F.count_if(s == 0).alias("n_l"), F.count_if(s == 1).alias("n_r")]
+    for i, c in enumerate(prep.value_cols):
+        for side, on in sides:
+            v = F.when(on, t[c])
+            aggs += [F.count(v).alias(f"c{side}_{i}"), F.min(v).alias(f"lo{side}_{i}"),
+                     F.max(v).alias(f"{side}_{i}")]
+    agg = tagged.groupBy(*prep.flat_keys()).agg(*aggs)
+
+    def one_value(side: str, i: int) -> Column:
+        cnt, n = F.col(f"c{side}_{i}"), F.col(f"n_{side}")
+        return (cnt == 0) | ((cnt == n) & F.col(f"lo{side}_{i}").eqNullSafe(F.col(f"{side}_{i}")))
+
     n = len(prep.value_cols)
+    ucs = [(one_value("l", i) & one_value("r", i)).alias(f"uc_{i}") for i in range(n)]
     flat = agg.select(
         prep.key_from_flat(), "n_l", "n_r",
-        (F.col("lo_l").eqNullSafe(F.col("hi_l")) & F.col("lo_r").eqNullSafe(F.col("hi_r"))).alias("u"),
-        *[F.col("hi_l")[c].alias(f"l_{i}") for i, c in enumerate(prep.value_cols)],
-        *[F.col("hi_r")[c].alias(f"r_{i}") for i, c in enumerate(prep.value_cols)],
+        *[F.col(f"{side}_{i}") for side in ("l", "r") for i in range(n)],
+        *ucs,
     )
+    every = reduce(lambda a, b: a & b, [F.col(f"uc_{i}") for i in range(n)], F.lit(True))
     return flat.select(
         "*",
+        every.alias("u"),
         *[side_canon(prep, "l", i).eqNullSafe(side_canon(prep, "r", i)).alias(f"e_{i}") for i in range(n)],
         *[side_canon(prep, "l", i).isNull().alias(f"zl_{i}") for i in range(n)],
         *[side_canon(prep, "r", i).isNull().alias(f"zr_{i}") for i in range(n)],
@@ -88,6 +96,11 @@ def uniform() -> Column:
     return F.col("u")
 
 
+def column_uniform(i: int) -> Column:
+    """All rows of the key agree on column ``i``, on each side separately."""
+    return F.col(f"uc_{i}")
+
+
 def value(side: str, i: int) -> Column:
     return F.col(f"{side}_{i}")
 
@@ -114,9 +127,10 @@ def _weighted(cond: Column, weight: Column) -> Column:
 def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     """Every total of the pair in one aggregate over the keyed pass.
 
-    Per-column counters cover the uniform keys; mixed keys (``mixed_keys`` >
-    0) are added by :mod:`concord.operators.multiset`. Only weights and the
-    precomputed flags reach the aggregate.
+    Per-column counters cover every (key, column) where the column is
+    uniform; the rest (cells of mixed keys) are added by
+    :mod:`concord.operators.multiset`. Record counters cover uniform keys.
+    Only weights and the precomputed flags reach the aggregate.
     """
     n = len(prep.value_cols)
     p = pairs()
@@ -141,9 +155,13 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.sum(w).alias("uniform_pairs"),
     ]
     for i in range(n):
-        cols.append(_weighted(F.col(f"e_{i}"), w).alias(f"m_{i}"))
-        cols.append(_weighted(F.col(f"zl_{i}"), w).alias(f"nl_{i}"))
-        cols.append(_weighted(F.col(f"zr_{i}"), w).alias(f"nr_{i}"))
+        # a column is settled here for every key where it is uniform, even
+        # when other columns of that key make the key as a whole mixed
+        wc = F.when((p > 0) & column_uniform(i), p).otherwise(F.lit(0))
+        cols.append(_weighted(F.col(f"e_{i}"), wc).alias(f"m_{i}"))
+        cols.append(F.sum(wc).alias(f"up_{i}"))
+        cols.append(_weighted(F.col(f"zl_{i}"), wc).alias(f"nl_{i}"))
+        cols.append(_weighted(F.col(f"zr_{i}"), wc).alias(f"nr_{i}"))
     out = pk.agg(*cols)
     # sums over an empty input are NULL: report zeros instead
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
@@ -161,7 +179,7 @@ def uniform_column_counts(prep: Prepared, summary_df: DataFrame) -> DataFrame:
             F.lit(i).alias("ci"),
             F.lit(c).alias("column_name"),
             F.col(f"m_{i}").alias("matches"),
-            (F.col("uniform_pairs") - F.col(f"m_{i}")).alias("mismatches"),
+            (F.col(f"up_{i}") - F.col(f"m_{i}")).alias("mismatches"),
             F.col(f"nl_{i}").alias("null_left"),
             F.col(f"nr_{i}").alias("null_right"),
         )
@@ -173,7 +191,7 @@ def uniform_column_counts(prep: Prepared, summary_df: DataFrame) -> DataFrame:
 # -- differences of uniform keys ---------------------------------------------------
 
 def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Mismatching cells of uniform joined keys: one row per (key, column).
+    """Mismatching cells of uniform (key, column)s: one row per (key, column).
 
     Cells are filtered inside the array before ``inline``, so matching
     cells never become rows. ``pairs`` is the number of row pairs the line
@@ -183,7 +201,7 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.struct(
             F.lit(i).alias("ci"),
             F.lit(c).alias("column_name"),
-            (~cell_equal(prep, i)).alias("differs"),
+            (column_uniform(i) & ~cell_equal(prep, i)).alias("differs"),
             C.display(value("l", i)).alias("left_value"),
             C.display(value("r", i)).alias("right_value"),
             C.canon_text(value("l", i), prep.aligned[i]).alias("ls"),
@@ -198,7 +216,7 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
                          pairs().alias("pairs")).where(F.lit(False))
     p = pairs()
     return (
-        pk.where((p > 0) & uniform())
+        pk.where(p > 0)
         .select(KEY, p.alias("pairs"), F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
         .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", "pairs")
     )
@@ -222,8 +240,8 @@ def record_verdicts(prep: Prepared, pk: DataFrame) -> DataFrame:
 def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
     """Keys present on one side only, with that side's created / modified.
 
-    For a key with several rows the values come from its greatest value
-    tuple, so the choice is deterministic.
+    For a key with several rows each shown value is that column's greatest
+    value among them, so the choice is deterministic.
     """
     def time_of(side: str, name):
         if name is None:

@@ -15,9 +15,10 @@ count is an aggregation with map-side combine, shuffled by ``(k, c, v)`` or
 ``(k, t)``: a hot key spreads over its distinct values, and its identical
 copies collapse before the shuffle.
 
-Only rows of mixed keys enter (a semi join against the mixed key set; AQE
-broadcasts that set when its measured size allows, and splits skewed
-partitions otherwise).
+Only rows of mixed keys enter, and only the columns on which the key's
+copies disagree are counted (columns where they agree are settled by the
+keyed pass). The mixed key set is broadcast when its measured size allows;
+otherwise the join shuffles and AQE can split skewed partitions.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import canon as C
-from concord.operators.compare import pairs, uniform
+from concord.operators.compare import column_uniform, pairs, uniform
 from concord.plans.prepare import KEY, SIDE, TUPLE, Prepared
 
 
@@ -42,29 +43,36 @@ def broadcast_limit(spark) -> int:
         return 10 * 1024 * 1024
 
 
+MIXED_MASK = "__nu"   # per mixed key: which columns are not uniform
+
+
 def mixed_rows(prep: Prepared, pk: DataFrame, mixed_keys: int, mixed_key_bytes: int) -> DataFrame:
-    """Rows of both sides whose key is mixed.
+    """Rows of both sides whose key is mixed, each with its key's mask of
+    non-uniform columns (only those cells need value counts).
 
     The summary measured that key set exactly (count and JSON bytes), so it
     is broadcast only when the measured size fits under the session's
-    broadcast threshold; otherwise the semi join shuffles, and AQE may
-    split a skewed partition of the row side.
+    broadcast threshold; otherwise the join shuffles, and AQE may split a
+    skewed partition of the row side.
     """
-    keys = pk.where((pairs() > 0) & ~uniform()).select(KEY)
-    est = mixed_key_bytes + mixed_keys * ROW_OVERHEAD_BYTES
+    mask = F.array(*[~column_uniform(i) for i in range(len(prep.value_cols))]) \
+        if prep.value_cols else F.array().cast("array<boolean>")
+    keys = pk.where((pairs() > 0) & ~uniform()).select(KEY, mask.alias(MIXED_MASK))
+    est = mixed_key_bytes + mixed_keys * (ROW_OVERHEAD_BYTES + len(prep.value_cols))
     if 0 <= est <= broadcast_limit(pk.sparkSession):
         keys = F.broadcast(keys)
     # the struct key makes the semi join NULL-safe with plain equality
     rows = prep.both_tagged().withColumn(KEY, prep.key_from_flat())
-    return rows.join(keys, KEY, "left_semi").drop(KEY)
+    return rows.join(keys, KEY, "inner").drop(KEY)
 
 
 def value_counts(prep: Prepared, rows: DataFrame) -> DataFrame:
-    """(key, ci, v) -> (cl, cr): rows per side holding canonical value v."""
-    cells = F.array(*[
+    """(key, ci, v) -> (cl, cr): rows per side holding canonical value v,
+    for the non-uniform columns of each mixed key only."""
+    cells = F.filter(F.array(*[
         F.struct(F.lit(i).alias("ci"), C.canon_text(F.col(TUPLE)[c], prep.aligned[i]).alias("v"))
         for i, c in enumerate(prep.value_cols)
-    ])
+    ]), lambda x: F.element_at(F.col(MIXED_MASK), x["ci"] + 1))
     s = F.col(SIDE)
     flat = prep.flat_keys()
     return (
