@@ -11,6 +11,12 @@ from concord.sources.fixtures import orders_pair
 from tests_paths import SF001
 
 
+@pytest.fixture(autouse=True)
+def no_cached_plans(spark):
+    # earlier tests may have persisted identical frames; plan from scratch
+    spark.catalog.clearCache()
+
+
 def plan_of(df, mode="formatted") -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
@@ -18,7 +24,7 @@ def plan_of(df, mode="formatted") -> str:
 def test_keyed_pass_is_one_shuffle_with_partial_aggregation(spark):
     rec = Reconciliation(orders_pair(spark, SF001), cfg(45))
     plan = plan_of(CMP.per_key(rec.prep), "simple")
-    assert plan.count("Exchange hashpartitioning(__k") == 1
+    assert plan.count("Exchange hashpartitioning(__k") == 1, plan
     assert "partial_count" in plan and "partial_max" in plan
     assert "Join" not in plan                     # no join, so no pairs
 
