@@ -81,24 +81,3 @@ def test_composite_keys_missing(spark):
     assert m.missing_in_left == 0
     sample = {r.record_id for r in rec.missing().collect()}
     assert sample == {f"{a}|{b}" for a, b in left_keys - right_keys}
-
-
-def test_copies_differing_in_one_column(spark):
-    # CDC-style duplicates: versions of a row that differ only in 'ver'
-    left = [(1, "a", 10, 1), (1, "a", 10, 2), (1, "a", 10, 3), (2, "b", 20, 1), (3, "c", 30, 1)]
-    right = [(1, "a", 11, 1), (1, "a", 11, 2), (2, "b", 20, 1), (2, "b", 20, 9), (3, "c", 31, 1)]
-    schema = "id int, s string, x int, ver int"
-    p = TablePair("t", spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
-    rec = Reconciliation(p, cfg())
-    pairs, matching, stats = brute_force(left, right, 0, [1, 2, 3])
-    s = rec.record_stats().collect()[0]
-    assert (s.total_records, s.matching_records) == (pairs, matching)
-    got = {r.column_name: (r.matches, r.mismatches, r.null_left, r.null_right)
-           for r in rec.column_stats().collect()}
-    assert got == {"s": tuple(stats[1]), "x": tuple(stats[2]), "ver": tuple(stats[3])}
-    diffs = {(r.record_id, r.column_name, r.left_value, r.right_value, r.pairs)
-             for r in rec.all_differences().collect()}
-    # 'x' is uniform within key 1 on each side: one line standing for 3 * 2 pairs
-    assert ("1", "x", "10", "11", 6) in diffs
-    assert ("3", "x", "30", "31", 1) in diffs
-    assert not any(c == "s" for _, c, *_ in diffs)
