@@ -63,3 +63,17 @@ def test_cli_runs_a_config(spark, tmp_path, capsys):
     assert printed["tables"][0]["status"] == "OK"
     assert printed["summary"]["tables_with_mismatches"] == 0
     assert os.path.isdir(os.path.join(out, "column_stats"))
+
+
+def test_cli_exit_code_on_failed_table(spark, tmp_path, capsys):
+    conf = {
+        "as_of": "2001-08-01 00:00:00",
+        "tables": [{"name": "bad", "keys": ["no_such_key"],
+                    "left": {"parquet": f"{SF001}/customer.parquet"},
+                    "right": {"parquet": f"{SF001}/customer.parquet"}}],
+    }
+    path = tmp_path / "bad.json"
+    path.write_text(json.dumps(conf))
+    assert main([str(path)]) == 1
+    printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert printed["tables"][0]["status"] == "ERROR"
