@@ -69,3 +69,18 @@ def test_capped_lists_are_prefixes(spark, orders):
     full_set = {(r.column_name, r.record_id) for r in full}
     assert all((r.column_name, r.record_id) in full_set for r in capped)
     assert max(r.rn for r in capped) <= 5
+
+
+def test_hash_sample_keeps_the_same_keys_on_both_sides(spark, orders):
+    from concord.operators.sample import hash_sample, key_hash_bucket
+    sampled = hash_sample(orders, 10)
+    full = Reconciliation(orders, cfg())
+    part = Reconciliation(sampled, cfg())
+    # exactly the full run's missing keys whose bucket is in the sample
+    in_sample = full.missing().where(key_hash_bucket(["__k.id"], 100) < 10)
+    want = {(r.side, r.record_id) for r in in_sample.select("side", "record_id").collect()}
+    got = {(r.side, r.record_id) for r in part.missing().select("side", "record_id").collect()}
+    assert got == want
+    # and both sides keep a similar share of their rows (about 10 %)
+    n_left = sampled.left.count()
+    assert 0 < n_left < orders.left.count() * 0.2
