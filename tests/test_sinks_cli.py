@@ -77,3 +77,10 @@ def test_cli_exit_code_on_failed_table(spark, tmp_path, capsys):
     assert main([str(path)]) == 1
     printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert printed["tables"][0]["status"] == "ERROR"
+
+
+def test_jdbc_partitioned_read_needs_bounds(spark):
+    import pytest
+    from concord.sources.readers import read_jdbc
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:postgresql://example.invalid/db", "t", partition_column="id")
