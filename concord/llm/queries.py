@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .common import table
+from .decontaminate import contamination
 from .linededup import line_dedup
 from .simhash import hex_fingerprint, simhash_groups
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary()).drop("text_key")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), width=3, max_bits=2)
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,7 +36,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def vocabulary() -> str:
+    """Place of the production vocabulary file (a public tokenizer that every machine has)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
+    "op3_winnowing": op3_winnowing,
+    "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
 }
@@ -48,6 +69,29 @@ fin as (select doc_id, n_lines, n_removed,
 select doc_id, n_lines, n_removed, length(kept) n_chars_kept, sha256(kept) kept_sha256 from fin
 """
 
+SQL_OP3 = r"""
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+           from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+      from benchmark),
+bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') g
+       from (select item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0)),
+ns as (select distinct n from bw),
+dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') g
+       from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from t, ns where len(w) >= n)),
+hit as (select doc_id, item_id, i, dw.n from dw join bw using (n, g)),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hit) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(id, ',' order by id) ids
+          from (select distinct doc_id, item_id::varchar id from hit) group by doc_id)
+select t.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from t left join words using (doc_id) left join items using (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op3_winnowing": SQL_OP3,
     "op7_line_dedup": SQL_OP7,
 }
