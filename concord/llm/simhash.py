@@ -117,7 +117,9 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """Spanning links ``(a, b)`` between distinct fingerprints ``fp`` at most ``max_bits`` apart."""
     if not 1 <= max_bits <= 2:
         raise ValueError("max_bits is 1 or 2: larger distances leave too many free bytes in a posting")
-    posted = (prints.select("fp", F.explode(_postings(F.col("fp"), max_bits)).alias("p"))
+    # a row becomes 28: deal the rows out by the configured number of partitions first
+    spread = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    posted = (spread.select("fp", F.explode(_postings(F.col("fp"), max_bits)).alias("p"))
               .groupBy("p.c", "p.shared").agg(F.collect_list("fp").alias("members"))
               .where(F.size("members") > 1).select("members"))
 
