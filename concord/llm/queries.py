@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import table
+from .common import remainder, table
 from .decontaminate import contamination
+from .langid import identify
 from .linededup import line_dedup
 from .simhash import hex_fingerprint, simhash_groups
+from .toxicity import toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    out = toxicity(docs, docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +27,13 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    out = identify(docs, docs.where(~held_out).select("text", "lang"))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary()).drop("text_key")
 
@@ -44,6 +60,8 @@ def vocabulary() -> str:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_rank_order": op4_rank_order,
     "op3_winnowing": op3_winnowing,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
