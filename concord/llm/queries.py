@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import remainder, table
+from .common import remainder, scratch, table
 from .decontaminate import contamination
 from .langid import identify
 from .linededup import line_dedup
+from .quality import quality
 from .simhash import hex_fingerprint, simhash_groups
 from .toxicity import toxicity
+from .warc import page_of, read_warc, write_warc
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch(spark, "warc")
+    write_warc(pages, path)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return read_warc(spark, path).where("kind = 'record'").select(
+        page_of(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), page_of(F.col("refers_to"), kind).alias("refers_to"))
+
+
 def vocabulary() -> str:
     """Place of the production vocabulary file (a public tokenizer that every machine has)."""
     import public_tokenizers
@@ -60,6 +78,8 @@ def vocabulary() -> str:
 
 
 QUERIES = {
+    "op9_gam": op9_gam,
+    "op10_warc": op10_warc,
     "op2_toxicity": op2_toxicity,
     "op4_rank_order": op4_rank_order,
     "op3_winnowing": op3_winnowing,
