@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import remainder, scratch, table
 from .decontaminate import contamination
+from .imatch import as_text, fingerprints, likeness
 from .langid import identify
+from .pii import KINDS, listed, personal_data
 from .linededup import line_dedup
 from .quality import quality
 from .simhash import hex_fingerprint, simhash_groups
@@ -16,6 +18,14 @@ from .toxicity import toxicity
 from .warc import page_of, read_warc, write_warc
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
+                      as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+                      likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                      likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -54,6 +64,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    of = lambda i: lambda x: x["k"] == i
+    return out.select("doc_id", *[F.size(F.filter("spans", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+                      F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op9_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -78,6 +95,8 @@ def vocabulary() -> str:
 
 
 QUERIES = {
+    "op1_imatch": op1_imatch,
+    "op8_pii": op8_pii,
     "op9_gam": op9_gam,
     "op10_warc": op10_warc,
     "op2_toxicity": op2_toxicity,
