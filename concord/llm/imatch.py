@@ -164,19 +164,20 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     the smallest text key stands for its id. An empty table gives no rows;
     other columns are ignored.
     """
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text_key(F.col("text")).alias("text_key"), "text")
-    nxt = cut(successors(src.select("doc_id", "text_key")))
-    want = src.select("doc_id", "id", "text_key", F.floor(F.char_length("text") / 4).cast("int").alias("k")).join(
-        nxt.withColumnRenamed("doc_id", "_id"), _same("doc_id", "_id")).where("k > 0").select(
-        F.col("id").alias("w_id"), F.col("text_key").alias("w_key"), "k",
-        F.coalesce(F.col("next_id").cast("string"), F.lit("")).alias("id"), F.col("next_key").alias("text_key"))
+    # the id as a struct is NULL-safe in joins; both joins read the same exchange of texts
+    src = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).select(
+        "id", text_key(F.col("text")).alias("text_key"), "text")
+    nxt = cut(successors(src.select("id.doc_id", "text_key")))
+    want = src.select("id", "text_key", F.floor(F.char_length("text") / 4).cast("int").alias("k")).join(
+        nxt.select(F.struct("doc_id").alias("id"), F.struct(F.col("next_id").alias("doc_id")).alias("next"), "next_key"), "id").where(
+        "k > 0").select(F.col("id").alias("w_id"), F.col("text_key").alias("w_key"), "k", F.col("next").alias("id"),
+                        F.col("next_key").alias("text_key"))
     heads = src.join(want, ["id", "text_key"]).select(
         "w_id", "w_key", F.substring("text", F.lit(1), F.col("k")).alias("head")).groupBy("w_id", "w_key").agg(F.first("head").alias("head"))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("head", F.lit("")))
     rows = src.join(heads.select(F.col("w_id").alias("id"), F.col("w_key").alias("text_key"), "head"), ["id", "text_key"], "left").select(
-        "id", "text_key", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+        "id", "text_key", F.col("id.doc_id").alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.select("id", "text_key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
     rows = cut(_in_lexicon(rows, lexicon(src, least, most)).select(
