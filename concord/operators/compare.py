@@ -228,6 +228,8 @@ def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
     def time_of(side: str, name):
         if name is None:
             return F.lit("N/A")
+        if name in prep.keys:
+            return TC.fmt_time(F.col(KEY)[name], prep.left.schema[name].dataType)
         i = prep.value_cols.index(name)
         return TC.fmt_time(value(side, i), prep.aligned[i])
 

@@ -22,6 +22,9 @@ partitions otherwise).
 
 from __future__ import annotations
 
+import re
+from typing import Optional
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,12 @@ ROW_OVERHEAD_BYTES = 32
 
 
 def broadcast_limit(spark) -> int:
+    """The session's broadcast threshold in bytes; sizes may have a suffix (``64k``, ``10MB``)."""
     value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        return int(value)
-    except ValueError:  # e.g. "10MB"
-        return 10 * 1024 * 1024
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", value.lower())
+    if not m:
+        return -1  # not a size: nothing is broadcast on its account
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
 
 
 def mixed_rows(prep: Prepared, pk: DataFrame, mixed_keys: int, mixed_key_bytes: int) -> DataFrame:
@@ -109,8 +113,8 @@ def matching_record_pairs(prep: Prepared, rows: DataFrame) -> DataFrame:
     return per_tuple.agg(F.coalesce(F.sum(F.col("cl") * F.col("cr")), F.lit(0)).cast("long").alias("mixed_matching"))
 
 
-def differences(prep: Prepared, vc: DataFrame, limit: int) -> DataFrame:
-    """Differing value combinations of mixed keys, enough for a first-``limit`` list.
+def differences(prep: Prepared, vc: DataFrame, limit: Optional[int] = None) -> DataFrame:
+    """Differing value combinations of mixed keys: all, or enough for a first-``limit`` list.
 
     Within one (key, column), the first ``limit`` differing (left, right)
     value combinations in value order always lie among the first
@@ -121,15 +125,12 @@ def differences(prep: Prepared, vc: DataFrame, limit: int) -> DataFrame:
     Each line carries ``pairs`` = how many row pairs it stands for.
     """
     by_kc_value = Window.partitionBy(KEY, "ci").orderBy(F.col("v").asc_nulls_first())
-    keep = limit + 1
 
     def side(count_col: str, value_alias: str, count_alias: str) -> DataFrame:
-        return (
-            vc.where(F.col(count_col) > 0)
-            .withColumn("rk", F.row_number().over(by_kc_value))
-            .where(F.col("rk") <= keep)
-            .select(KEY, "ci", F.col("v").alias(value_alias), F.col(count_col).alias(count_alias))
-        )
+        own = vc.where(F.col(count_col) > 0)
+        if limit is not None:
+            own = own.withColumn("rk", F.row_number().over(by_kc_value)).where(F.col("rk") <= limit + 1)
+        return own.select(KEY, "ci", F.col("v").alias(value_alias), F.col(count_col).alias(count_alias))
 
     left = side("cl", "lv", "cl")
     right = side("cr", "rv", "cr")

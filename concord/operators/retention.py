@@ -15,13 +15,12 @@ from concord.config import RunConfig, TablePair
 from concord.functions import canon as C
 from concord.functions import timecols as TC
 from concord.plans.prepare import NO_TIME_COLUMNS, OK
-from concord.sources.schema import common_columns, apply_mapping
 
 
 def _resolve(pair: TablePair):
-    common = common_columns(pair.left, apply_mapping(pair.right, pair.column_mapping))
-    created = pair.created_col or TC.detect(common, TC.CREATED_CANDIDATES)
-    modified = pair.modified_col or TC.detect(common, TC.MODIFIED_CANDIDATES)
+    # only the left side is read, so only its columns matter
+    created = pair.created_col or TC.detect(pair.left.columns, TC.CREATED_CANDIDATES)
+    modified = pair.modified_col or TC.detect(pair.left.columns, TC.MODIFIED_CANDIDATES)
     return created, modified
 
 
@@ -38,11 +37,11 @@ def old_rows(pair: TablePair, cfg: RunConfig):
 
 def retention_count(pair: TablePair, cfg: RunConfig) -> DataFrame:
     status, rows = old_rows(pair, cfg)
-    days = F.lit(int(cfg.retention_days or 0)).alias("retention_days")
+    days = F.lit((cfg.as_of_s - cfg.retention_threshold()).days).alias("retention_days")  # as applied
     # every old row is counted as not deleted; nothing on the left side can
     # show a deletion, so ``deleted_records`` is 0 by construction
     if rows is None:
-        return pair.left.agg(F.count(F.lit(1)).alias("rows")).select(
+        return pair.left.sparkSession.range(1).select(
             F.lit(pair.name).alias("table_name"), days, F.lit(None).cast("long").alias("total_old_records"),
             F.lit(None).cast("long").alias("deleted_records"), F.lit(None).cast("long").alias("not_deleted"),
             F.lit(status).alias("status"))

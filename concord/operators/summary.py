@@ -39,8 +39,9 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
     t = folded.groupBy("table_name").agg(*[F.max(c).alias(c) for c in value_cols])
     counts_differ = F.col("left_total") != F.col("right_total")
     has_mismatch = counts_differ | (F.col("mismatched_records") > 0)
+    failed = F.col("status") == "ERROR"  # nothing was compared: neither a rate nor a clean bill
     perfect = (
-        ~counts_differ
+        ~failed & ~counts_differ
         & F.coalesce(F.col("scenarios_equal"), F.lit(True))
         & (F.col("missing_in_right") == 0) & (F.col("missing_in_left") == 0)
         & (F.col("mismatched_records") == 0)
@@ -48,9 +49,9 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
     return t.select(
         "table_name", "status", "left_total", "right_total", F.col("status_counts").alias("count_status"),
         "total_records", "matching_records", "mismatched_records",
-        FM.match_rate(F.col("matching_records"), F.col("total_records")).alias("record_match_rate"),
+        F.when(~failed, FM.match_rate(F.col("matching_records"), F.col("total_records"))).alias("record_match_rate"),
         "missing_in_right", "missing_in_left", "scenarios_equal", "not_deleted",
-        has_mismatch.alias("has_mismatch"), perfect.alias("perfect_match"),
+        has_mismatch.alias("has_mismatch"), F.when(failed, False).otherwise(perfect).alias("perfect_match"),
     )
 
 
@@ -75,8 +76,7 @@ def run_summary(tables: DataFrame, cfg=None) -> DataFrame:
         F.lit(bool(cfg.window_enabled)).alias("window_enabled"),
         F.lit(start.strftime(fmt) if start else None).cast("string").alias("window_start"),
         F.lit(end.strftime(fmt) if end else None).cast("string").alias("window_end"),
-        F.lit(int(end.timestamp() - start.timestamp()) // 86400 if start else None).cast("int")
-        .alias("window_days"),
+        F.lit((end - start).days if start else None).cast("int").alias("window_days"),
     )
 
 

@@ -210,12 +210,17 @@ class Reconciliation:
             (F.col("joined_pairs") - matching).cast("long").alias("mismatched_records"),
         )
 
-    def all_differences(self) -> DataFrame:
-        """Every differing (record, column), uncapped, with pair multiplicity."""
+    def all_differences(self, first: Optional[int] = None) -> DataFrame:
+        """Every differing (record, column), uncapped, with pair multiplicity.
+
+        For a duplicated key whose copies differ, a line per differing value
+        combination. ``first`` is for lists of that length per column: such
+        keys then give the combinations among which the first ``first`` lie.
+        """
         d = CMP.uniform_differences(self.prep, self.per_key())
         if self.has_mixed():
             vc, _ = self._mixed_parts()
-            d = d.unionByName(MS.differences(self.prep, vc, self.cfg.max_differences))
+            d = d.unionByName(MS.differences(self.prep, vc, first))
         return d.select(
             F.lit(self.name).alias("table_name"), "column_name", KEY,
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
@@ -227,7 +232,7 @@ class Reconciliation:
         limit = self.cfg.max_differences if limit is None else limit
         w = Window.partitionBy("column_name").orderBy(
             F.col(KEY).asc_nulls_first(), F.col("ls").asc_nulls_first(), F.col("rs").asc_nulls_first())
-        return (self.all_differences().withColumn("rn", F.row_number().over(w))
+        return (self.all_differences(limit).withColumn("rn", F.row_number().over(w))
                 .where(F.col("rn") <= limit).drop(KEY, "ls", "rs"))
 
     def record_verdicts(self) -> DataFrame:

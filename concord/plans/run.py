@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from concord.config import RunConfig, TablePair
 from concord.operators import retention as RET
 from concord.operators import summary as SUM
+from concord.plans.prepare import NO_COMMON_COLUMNS
 from concord.plans.reconcile import Reconciliation
 from concord.sources import sinks
 
@@ -37,10 +38,16 @@ class RunResult:
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
-    def write(self, root: str, mode: str = "append") -> None:
-        """One Parquet table per kind under ``root``, partitioned by run."""
+    def write(self, root: str, mode: str = "overwrite", keep_runs: Optional[int] = None) -> None:
+        """One Parquet table per kind under ``root``, partitioned by run.
+
+        Writing a run again replaces that run's partitions only. With
+        ``keep_runs`` the partitions of all but that many newest runs go.
+        """
         for name, df in self.frames.items():
             sinks.write_results(df, f"{root}/{name}", mode=mode)
+            if keep_runs is not None:
+                sinks.prune_runs(df.sparkSession, f"{root}/{name}", keep_runs)
 
     def close(self) -> None:
         for r in self.reconciliations:
@@ -59,6 +66,8 @@ def _status_row(spark: SparkSession, table: str, status: str, window_status: str
 
 def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig) -> tuple[dict, Reconciliation]:
     rec = Reconciliation(pair, cfg)
+    if rec.prep.status == NO_COMMON_COLUMNS:  # nothing to compare, count or window by
+        return {"table_status": _status_row(spark, pair.name, rec.prep.status, rec.prep.window_status, "")}, rec
     out = {
         "record_counts": rec.record_counts(),
         "date_scenarios": rec.date_scenarios(),
@@ -92,7 +101,7 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
             out, rec = _one_table(spark, pair, cfg)
             recs.append(rec)
         except Exception as exc:  # one bad table must not hide the others
-            out = {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc)[:2000])}
+            out = {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc))}
         for name, df in out.items():
             parts.setdefault(name, []).append(df)
 

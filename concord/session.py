@@ -35,12 +35,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: Optional[str] = None) -> str:
     """Use the session's ``spark.checkpoint.dir``; set one only when unset
-    (tests and local runs), under ``fallback`` or a fresh temp folder."""
+    (tests and local runs), under ``fallback`` or a fresh temp folder. On a
+    cluster a temp folder is another disk on every machine, so there the
+    setting is required."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if fallback is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="concord-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -41,9 +41,28 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(hpath, True))
 
 
-def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str = "append") -> None:
-    """Persist one result table, partitioned by run (one folder per run)."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str = "overwrite") -> None:
+    """Persist one result table, partitioned by run (one folder per run).
+
+    ``overwrite`` replaces the partitions that ``df`` has rows for, and no
+    others, so a run that is written again does not count twice.
+    """
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
+
+
+def prune_runs(spark: SparkSession, path: str, keep: int = 10, run_col: str = "run_id") -> list[str]:
+    """Drop the partitions of all but the ``keep`` newest runs of a result table; returns the runs dropped."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory()]
+    runs = sorted((n for n in names if n.startswith(f"{run_col}=")), reverse=True)
+    for name in runs[keep:]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(hpath, name), True)
+    return [n.partition("=")[2] for n in runs[keep:]]
 
 
 def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -70,7 +89,7 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
 
 def read_differences_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = "record_id string, left_value string, right_value string, table_name string, column_name string"
-    return (spark.read.option("header", True).option("escape", '"')
+    return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("nullValue", NULL_MARK).option("basePath", path).schema(schema).csv(path))
 
