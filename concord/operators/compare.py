@@ -79,8 +79,22 @@ def per_key(prep: Prepared) -> DataFrame:
 
 # -- per-key expressions ------------------------------------------------------
 
+#: Type of everything that counts row pairs: a hot key's n_l * n_r passes 64 bits.
+PAIRS = "decimal(38,0)"
+
+
+def wide(count: Column) -> Column:
+    """A 64-bit count as a factor whose products and sums don't overflow."""
+    return count.cast("decimal(19,0)")
+
+
 def pairs() -> Column:
-    return F.col("n_l") * F.col("n_r")
+    return (wide(F.col("n_l")) * wide(F.col("n_r"))).cast(PAIRS)
+
+
+def joined() -> Column:
+    """The key is on both sides."""
+    return (F.col("n_l") > 0) & (F.col("n_r") > 0)
 
 
 def uniform() -> Column:
@@ -106,7 +120,7 @@ def all_equal(prep: Prepared) -> Column:
 
 
 def _weighted(cond: Column, weight: Column) -> Column:
-    return F.sum(F.when(cond, weight).otherwise(F.lit(0)))
+    return F.sum(F.when(cond, weight))
 
 
 # -- one-row summary ------------------------------------------------------------
@@ -120,8 +134,8 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     """
     n = len(prep.value_cols)
     p = pairs()
-    mixed = (p > 0) & ~uniform()
-    w = F.when((p > 0) & uniform(), p).otherwise(F.lit(0))
+    mixed = joined() & ~uniform()
+    w = F.when(joined() & uniform(), p)
     n_l, n_r = F.col("n_l"), F.col("n_r")
     cols = [
         F.sum(n_l).alias("left_rows"),
@@ -132,7 +146,7 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.count_if((n_r > 0) & (n_l == 0)).alias(MISSING_IN_LEFT),
         F.count_if((n_l > 1) | (n_r > 1)).alias("duplicate_keys"),
         F.sum(p).alias("joined_pairs"),
-        F.count_if(p > 0).alias("joined_keys"),
+        F.count_if(joined()).alias("joined_keys"),
         F.count_if(mixed).alias("mixed_keys"),
         # size of the mixed-key set, measured (sizes its broadcast)
         F.sum(F.when(mixed, F.octet_length(F.to_json(F.col(KEY))))).alias("mixed_key_bytes"),
@@ -145,23 +159,25 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         cols.append(_weighted(F.col(f"zl_{i}"), w).alias(f"nl_{i}"))
         cols.append(_weighted(F.col(f"zr_{i}"), w).alias(f"nr_{i}"))
     out = pk.agg(*cols)
+    counts_pairs = {"joined_pairs", "mixed_pairs", "uniform_matching", "uniform_pairs"}
+    counts_pairs |= {f"{c}_{i}" for c in ("m", "nl", "nr") for i in range(n)}
     # sums over an empty input are NULL: report zeros instead
-    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast(PAIRS if c in counts_pairs else "long").alias(c)
+                        for c in out.columns])
 
 
 def uniform_column_counts(prep: Prepared, summary_df: DataFrame) -> DataFrame:
     """Unpivot the summary into (ci, column_name, matches, mismatches, null_left, null_right)."""
     if not prep.value_cols:
         return summary_df.select(
-            F.lit(0).alias("ci"), F.lit("").alias("column_name"), F.lit(0).cast("long").alias("matches"),
-            F.lit(0).cast("long").alias("mismatches"), F.lit(0).cast("long").alias("null_left"),
-            F.lit(0).cast("long").alias("null_right")).where(F.lit(False))
+            F.lit(0).alias("ci"), F.lit("").alias("column_name"),
+            *[F.lit(0).cast(PAIRS).alias(c) for c in ("matches", "mismatches", "null_left", "null_right")]).where(F.lit(False))
     rows = [
         F.struct(
             F.lit(i).alias("ci"),
             F.lit(c).alias("column_name"),
             F.col(f"m_{i}").alias("matches"),
-            (F.col("uniform_pairs") - F.col(f"m_{i}")).alias("mismatches"),
+            (F.col("uniform_pairs") - F.col(f"m_{i}")).cast(PAIRS).alias("mismatches"),
             F.col(f"nl_{i}").alias("null_left"),
             F.col(f"nr_{i}").alias("null_right"),
         )
@@ -198,20 +214,22 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
                          pairs().alias("pairs")).where(F.lit(False))
     p = pairs()
     return (
-        pk.where((p > 0) & uniform())
+        pk.where(joined() & uniform())
         .select(KEY, p.alias("pairs"), F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
         .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", "pairs")
     )
 
 
 def record_verdicts(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Per joined uniform key: pairs, number and names of differing columns."""
-    p = pairs()
+    """Per joined uniform key: pairs, number and names of differing columns.
+
+    :func:`concord.operators.multiset.verdicts` has the keys whose copies differ.
+    """
     flags = [F.when(~cell_equal(prep, i), F.lit(c)) for i, c in enumerate(prep.value_cols)]
     names = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>")
     return (
-        pk.where((p > 0) & uniform())
-        .select(KEY, p.alias("pairs"), names.alias("differing"))
+        pk.where(joined() & uniform())
+        .select(KEY, pairs().alias("pairs"), names.alias("differing"))
         .select(KEY, "pairs", F.size("differing").alias("differing_columns"),
                 F.array_join("differing", ",").alias("differing_list"))
     )
@@ -229,7 +247,7 @@ def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
         if name is None:
             return F.lit("N/A")
         if name in prep.keys:
-            return TC.fmt_time(F.col(KEY)[name], prep.left.schema[name].dataType)
+            return TC.fmt_time(F.col(KEY)[name], prep.key_types[prep.keys.index(name)])
         i = prep.value_cols.index(name)
         return TC.fmt_time(value(side, i), prep.aligned[i])
 

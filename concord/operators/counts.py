@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import format as FM
 from concord.functions import timecols as TC
-from concord.plans.prepare import NO_TIME_COLUMNS, OK, Prepared
+from concord.plans.prepare import NO_TIME_COLUMNS, Prepared
 
 
 def _side_counts(df: DataFrame, side: int, created, modified) -> DataFrame:
@@ -67,7 +67,3 @@ def date_scenarios(prep: Prepared, counts: DataFrame) -> DataFrame:
         diff.cast("long").alias("difference"),
         status.alias("status"),
     )
-
-
-def scenario_status(prep: Prepared) -> str:
-    return OK if prep.created is not None and prep.modified is not None else NO_TIME_COLUMNS

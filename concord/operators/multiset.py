@@ -25,11 +25,11 @@ from __future__ import annotations
 import re
 from typing import Optional
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import canon as C
-from concord.operators.compare import pairs, uniform
+from concord.operators.compare import PAIRS, joined, uniform, wide
 from concord.plans.prepare import KEY, SIDE, TUPLE, Prepared
 
 
@@ -54,7 +54,7 @@ def mixed_rows(prep: Prepared, pk: DataFrame, mixed_keys: int, mixed_key_bytes:
     broadcast threshold; otherwise the semi join shuffles, and AQE may
     split a skewed partition of the row side.
     """
-    keys = pk.where((pairs() > 0) & ~uniform()).select(KEY)
+    keys = pk.where(joined() & ~uniform()).select(KEY)
     est = mixed_key_bytes + mixed_keys * ROW_OVERHEAD_BYTES
     if 0 <= est <= broadcast_limit(pk.sparkSession):
         keys = F.broadcast(keys)
@@ -79,26 +79,50 @@ def value_counts(prep: Prepared, rows: DataFrame) -> DataFrame:
     )
 
 
-def column_counts(prep: Prepared, vc: DataFrame) -> DataFrame:
-    """(ci, column_name, matches, mismatches, null_left, null_right) over mixed keys."""
+def _product(a: str, b: str) -> Column:
+    return (wide(F.col(a)) * wide(F.col(b))).cast(PAIRS)
+
+
+def key_columns(vc: DataFrame) -> DataFrame:
+    """(key, ci) -> m matching pairs, n_l, n_r rows and z_l, z_r NULLs per side."""
     cl, cr, is_null = F.col("cl"), F.col("cr"), F.col("v").isNull()
-    per_key_col = vc.groupBy(KEY, "ci").agg(
-        F.sum(cl * cr).alias("m"),
+    return vc.groupBy(KEY, "ci").agg(
+        F.sum(_product("cl", "cr")).alias("m"),
         F.sum(cl).alias("n_l"),
         F.sum(cr).alias("n_r"),
         F.sum(F.when(is_null, cl).otherwise(0)).alias("z_l"),
         F.sum(F.when(is_null, cr).otherwise(0)).alias("z_r"),
     )
+
+
+def verdicts(prep: Prepared, vc: DataFrame) -> DataFrame:
+    """Per mixed key: its pairs, and the columns in which some pair differs.
+
+    Linear in the counted values: a column differs when fewer than all of
+    the key's pairs match in it.
+    """
+    names = F.array(*[F.lit(c) for c in prep.value_cols])
+    p = _product("n_l", "n_r")
+    per_key = key_columns(vc).groupBy(KEY).agg(
+        F.max(p).alias("pairs"), F.array_sort(F.collect_list(F.when(F.col("m") < p, F.col("ci")))).alias("cis"))
+    return per_key.select(
+        KEY, "pairs", F.size("cis").alias("differing_columns"),
+        F.array_join(F.transform("cis", lambda i: F.element_at(names, i + 1)), ",").alias("differing_list"))
+
+
+def column_counts(prep: Prepared, vc: DataFrame) -> DataFrame:
+    """(ci, column_name, matches, mismatches, null_left, null_right) over mixed keys."""
+    per_key_col = key_columns(vc)
     names = F.array(*[F.lit(c) for c in prep.value_cols])
     return (
         per_key_col.groupBy("ci").agg(
             F.sum("m").alias("matches"),
-            F.sum(F.col("n_l") * F.col("n_r") - F.col("m")).alias("mismatches"),
-            F.sum(F.col("z_l") * F.col("n_r")).alias("null_left"),
-            F.sum(F.col("z_r") * F.col("n_l")).alias("null_right"),
+            F.sum((_product("n_l", "n_r") - F.col("m")).cast(PAIRS)).alias("mismatches"),
+            F.sum(_product("z_l", "n_r")).alias("null_left"),
+            F.sum(_product("z_r", "n_l")).alias("null_right"),
         )
         .select("ci", F.element_at(names, F.col("ci") + 1).alias("column_name"),
-                *[F.col(c).cast("long").alias(c) for c in ("matches", "mismatches", "null_left", "null_right")])
+                *[F.col(c).cast(PAIRS).alias(c) for c in ("matches", "mismatches", "null_left", "null_right")])
     )
 
 
@@ -110,7 +134,7 @@ def matching_record_pairs(prep: Prepared, rows: DataFrame) -> DataFrame:
     flat = prep.flat_keys()
     per_tuple = rows.select(*flat, SIDE, tup.alias("ct")).groupBy(*flat, "ct").agg(
         F.count_if(s == 0).alias("cl"), F.count_if(s == 1).alias("cr"))
-    return per_tuple.agg(F.coalesce(F.sum(F.col("cl") * F.col("cr")), F.lit(0)).cast("long").alias("mixed_matching"))
+    return per_tuple.agg(F.coalesce(F.sum(_product("cl", "cr")), F.lit(0)).cast(PAIRS).alias("mixed_matching"))
 
 
 def differences(prep: Prepared, vc: DataFrame, limit: Optional[int] = None) -> DataFrame:
@@ -142,6 +166,6 @@ def differences(prep: Prepared, vc: DataFrame, limit: Optional[int] = None) -> D
             KEY, "ci", F.element_at(names, F.col("ci") + 1).alias("column_name"),
             C.display(F.col("lv")).alias("left_value"), C.display(F.col("rv")).alias("right_value"),
             F.col("lv").alias("ls"), F.col("rv").alias("rs"),
-            (F.col("cl") * F.col("cr")).alias("pairs"),
+            _product("cl", "cr").alias("pairs"),
         )
     )

@@ -61,6 +61,7 @@ def run_summary(tables: DataFrame, cfg=None) -> DataFrame:
     out = tables.agg(
         F.count(F.lit(1)).alias("total_tables"),
         F.count_if(F.col("has_mismatch")).alias("tables_with_mismatches"),
+        F.count_if(F.col("status") == "ERROR").alias("tables_failed"),
         F.sum("left_total").cast("long").alias("total_left_records"),
         F.sum("right_total").cast("long").alias("total_right_records"),
         F.sum("missing_in_right").cast("long").alias("total_missing_in_right"),

@@ -24,7 +24,6 @@ from concord.plans.reconcile import Reconciliation
 from concord.plans.run import run
 from concord.session import ensure_checkpoint_dir
 from concord.sources import fixtures as FX
-from concord.sources import schema as SCH
 from concord.sources import sinks
 
 WINDOWS = (45, 2000)
@@ -84,27 +83,6 @@ def q_window_filter(spark, d):
     return PROF.window_extract(prepare(FX.orders_pair(spark, d), cfg(2000)))
 
 
-def q_common_columns(spark, d):
-    prep = prepare(FX.orders_pair(spark, d), cfg())
-    rows = []
-    for i, c in enumerate(prep.keys + prep.value_cols):
-        role = "key" if c in prep.keys else (
-            "created" if c == prep.created else "modified" if c == prep.modified else "value")
-        lt = prep.left.schema[c].dataType
-        rt = prep.right.schema[c].dataType
-        at = lt if c in prep.keys else prep.aligned[prep.value_cols.index(c)]
-        rows.append((c, role, lt.simpleString(), rt.simpleString(), at.simpleString()))
-    return spark.createDataFrame(rows, "column_name string, role string, left_type string, "
-                                       "right_type string, aligned_type string")
-
-
-def q_schema_diff(spark, d):
-    pair = FX.orders_pair(spark, d)
-    right = (pair.right.withColumn("price", F.col("price").cast("double")).drop("note")
-             .withColumn("channel", F.lit("web")))
-    return SCH.schema_diff(spark, pair.left, right, "orders")
-
-
 def q_column_mapping(spark, d):
     pair = FX.orders_pair(spark, d)
     pair = replace(pair, right=pair.right.withColumnRenamed("cust", "customer_id"),
@@ -190,16 +168,15 @@ def q_search_differences(spark, d):
 
 
 def q_fused_reconcile(spark, d):
-    r = _orders(spark, d, 45, keep=False)
-    return r.summary_df().select(
-        F.lit(r.name).alias("table_name"),
-        F.col("left_rows").alias("left_total"), F.col("right_rows").alias("right_total"),
-        F.col("joined_pairs").alias("total_records"),
-        F.col("uniform_matching").alias("matching_records"),
-        (F.col("joined_pairs") - F.col("uniform_matching")).alias("mismatched_records"),
-        "missing_in_right", "missing_in_left",
-        *[F.col(f"m_{i}").alias(f"matches_{c}") for i, c in enumerate(r.prep.value_cols)],
-    )
+    return _orders(spark, d, 45, keep=False).fused()
+
+
+def q_dup_key_fused(spark, d):
+    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg(), keep=False).fused()
+
+
+def q_dup_key_verdicts(spark, d):
+    return Reconciliation(FX.lineitem_drift_pair(spark, d), cfg()).record_verdicts()
 
 
 def q_table_summary(spark, d):
@@ -250,15 +227,28 @@ def q_retain_latest_runs(spark, d):
     return sinks.latest_runs(ev, keep=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def narrow(df: DataFrame) -> DataFrame:
+    """Pair counts as 64-bit numbers, the type of the SQL's; raises where one doesn't fit."""
+    counts = {"matches", "mismatches", "null_left", "null_right", "total_records", "matching_records",
+              "mismatched_records", "pairs"}
+    return df.select(*[F.col(c).cast("long").alias(c) if c in counts or c.startswith("matches_") else F.col(c)
+                       for c in df.columns])
+
+
+def _narrowed(build):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return narrow(build(spark, d))
+    query.__name__ = build.__name__
+    return query
+
+
+_CHECKS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_stats": q_column_stats,
     "record_counts": q_record_counts,
     "record_counts_window": q_record_counts_window,
     "date_scenarios": q_date_scenarios,
     "date_scenarios_window": q_date_scenarios_window,
     "window_filter": q_window_filter,
-    "common_columns": q_common_columns,
-    "schema_diff": q_schema_diff,
     "column_mapping": q_column_mapping,
     "composite_key_missing": q_composite_key_missing,
     "dup_key_column_stats": q_dup_key_column_stats,
@@ -279,6 +269,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_differences": q_top_differences,
     "search_differences": q_search_differences,
     "fused_reconcile": q_fused_reconcile,
+    "dup_key_fused": q_dup_key_fused,
+    "dup_key_verdicts": q_dup_key_verdicts,
     "table_summary": q_table_summary,
     "run_report": q_run_report,
     "run_summary": q_run_summary,
@@ -289,3 +281,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_differences": q_export_differences,
     "retain_latest_runs": q_retain_latest_runs,
 }
+
+QUERIES = {name: _narrowed(build) for name, build in _CHECKS.items()}

@@ -353,11 +353,13 @@ select 'orders' as table_name, column_name, side, cast(rows as bigint) as rows,
 
 
 def _verdicts(p: Pair) -> str:
-    flags = ", ".join(f"case when not {eq(c)} then '{c}' end" for c in p.cols)
-    count = " + ".join(f"(case when not {eq(c)} then 1 else 0 end)" for c in p.cols)
+    differs = [f"bool_or(not {eq(c)})" for c in p.cols]
+    flags = ", ".join(f"case when {d} then '{c}' end" for d, c in zip(differs, p.cols))
+    count = " + ".join(f"cast({d} as integer)" for d in differs)
+    keys = ", ".join(p.keys)
     return f"""with {p.ctes}, {p.joined()},
-v as (select id, count(*) as pairs, any_value(cast({count} as integer)) as differing_columns,
-        any_value(concat_ws(',', {flags})) as differing_list from j group by id)"""
+v as (select {keys}, count(*) as pairs, cast({count} as integer) as differing_columns,
+        concat_ws(',', {flags}) as differing_list from j group by {keys})"""
 
 
 def sql_field_compare():
@@ -444,6 +446,7 @@ def sql_run_report():
 def sql_run_summary():
     return f"""with t as ({sql_run_report()})
 select count(*) as total_tables, count(*) filter (where has_mismatch) as tables_with_mismatches,
+  count(*) filter (where status = 'ERROR') as tables_failed,
   cast(sum(left_total) as bigint) as total_left_records, cast(sum(right_total) as bigint) as total_right_records,
   cast(sum(missing_in_right) as bigint) as total_missing_in_right,
   cast(sum(missing_in_left) as bigint) as total_missing_in_left,
@@ -474,18 +477,38 @@ select total_columns, failed_columns, {r} as success_rate, round({r}, 1) as succ
 from a"""
 
 
-def sql_fused_reconcile():
-    p = orders(45)
+def _fused(p: Pair, time_cols: bool = True) -> str:
     per_col = ", ".join(f"count(*) filter (where {eq(c)}) as matches_{c}" for c in p.cols)
-    return f"""with {p.ctes}, {p.joined()}, {missing_body(p)}, {missing_totals_cte(p)},
+    return f"""with {p.ctes}, {p.joined()}, {missing_body(p, time_cols)}, {missing_totals_cte(p)},
 c as (select (select count(*) from lw) as left_total, (select count(*) from rw) as right_total),
 jj as (select count(*) as total_records, count(*) filter (where {all_eq(p)}) as matching_records, {per_col} from j)
-select 'orders' as table_name, left_total, right_total, total_records, matching_records,
+select '{p.name}' as table_name, left_total, right_total, total_records, matching_records,
   total_records - matching_records as mismatched_records, missing_in_right, missing_in_left,
   {', '.join('matches_' + c for c in p.cols)}
 from c, jj, mt"""
 
 
+def sql_fused_reconcile():
+    return _fused(orders(45))
+
+
+def sql_dup_key_fused():
+    return _fused(lineitem_drift(), time_cols=False)
+
+
+def sql_dup_key_verdicts():
+    p = lineitem_drift()
+    return _verdicts(p) + f"""
+select '{p.name}' as table_name, {p.rid()} as record_id, cast(pairs as bigint) as pairs, differing_columns,
+  differing_list from v"""
+
+
+def sql_hash_sample():
+    p = orders()
+    p.ctes = p.ctes.replace("where true", f"where cast('0x' || substr(md5({disp('id')}), 1, 8) as bigint) % 100 < 10")
+    return column_stats(p)
+
+
 def sql_persist_run():
     return column_stats(orders(45), f", {RUN_ID} as run_id")
 
@@ -528,6 +551,9 @@ SQL = {
     "top_differences": sql_top_differences,
     "search_differences": sql_search_differences,
     "fused_reconcile": sql_fused_reconcile,
+    "dup_key_fused": sql_dup_key_fused,
+    "dup_key_verdicts": sql_dup_key_verdicts,
+    "hash_sample": sql_hash_sample,
     "table_summary": sql_table_summary,
     "run_report": sql_run_report,
     "run_summary": sql_run_summary,

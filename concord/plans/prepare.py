@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,9 @@ class Prepared:
     windowed: bool
     status: str = OK
     window_status: str = DISABLED
-    notes: list[str] = field(default_factory=list)
+    key_types: list[T.DataType] = field(default_factory=list)  # aligned type per key column
 
     # -- expressions ------------------------------------------------------
-    def key_struct(self) -> Column:
-        return F.struct(*[F.col(k) for k in self.keys]).alias(KEY)
-
     def flat_keys(self) -> list[str]:
         """Internal names of the key columns in tagged rows (never clash)."""
         return [f"__k{i}" for i in range(len(self.keys))]
@@ -81,18 +78,13 @@ class Prepared:
             for c, src, tgt in zip(self.value_cols, types, self.aligned)
         ]
         tuple_col = F.struct(*values) if values else F.struct(F.lit(None).cast("string").alias("__none"))
-        keys = [F.col(k).alias(f) for k, f in zip(self.keys, self.flat_keys())]
+        keys = [C.align(F.col(k), df.schema[k].dataType, t).alias(f)
+                for k, t, f in zip(self.keys, self.key_types, self.flat_keys())]
         return df.select(*keys, F.lit(side).cast("tinyint").alias(SIDE), tuple_col.alias(TUPLE))
 
     def both_tagged(self) -> DataFrame:
         return self.tagged(0).unionByName(self.tagged(1))
 
-    def time_type(self, side: int, name: Optional[str]) -> Optional[T.DataType]:
-        if name is None:
-            return None
-        df = self.left if side == 0 else self.right
-        return df.schema[name].dataType
-
 
 def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
             columns: Optional[Sequence[str]] = None) -> Prepared:
@@ -136,5 +128,6 @@ def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
     lts = [left.schema[c].dataType for c in value_cols]
     rts = [right.schema[c].dataType for c in value_cols]
     aligned = [C.aligned_type(a, b, pair.bool_as_int) for a, b in zip(lts, rts)]
+    key_types = [C.aligned_type(left.schema[k].dataType, right.schema[k].dataType, pair.bool_as_int) for k in keys]
     return Prepared(pair.name, left, right, keys, value_cols, aligned, lts, rts,
-                    created, modified, windowed, OK, window_status)
+                    created, modified, windowed, OK, window_status, key_types)

@@ -51,7 +51,7 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
         path = shared_dir(spark, "concord-keyed")
         df.write.mode("error").parquet(path)
         kept = spark.read.parquet(path)
-        _WRITTEN[id(kept)] = path
+        kept.written_to = path  # the frame owns its folder: ``release`` removes it
         return kept
     if mode == "checkpoint":
         root = checkpoint_root(spark)
@@ -65,15 +65,11 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     raise ValueError(f"unknown materialize mode {mode!r}")
 
 
-# scratch tables written by ``materialize``, removed by ``release``
-_WRITTEN: dict[int, str] = {}
-
-
 def release(df: Optional[DataFrame]) -> None:
     """Undo ``materialize``: unpersist, or delete the written scratch table."""
     if df is None:
         return
-    path = _WRITTEN.pop(id(df), None)
+    path = df.__dict__.pop("written_to", None)
     if path is not None:
         delete_path(df.sparkSession, path)
     else:
@@ -172,7 +168,7 @@ class Reconciliation:
         if self.has_mixed():
             vc, _ = self._mixed_parts()
             counts = counts.unionByName(MS.column_counts(self.prep, vc)).groupBy("ci", "column_name").agg(
-                *[F.sum(c).cast("long").alias(c) for c in ("matches", "mismatches", "null_left", "null_right")])
+                *[F.sum(c).cast(CMP.PAIRS).alias(c) for c in ("matches", "mismatches", "null_left", "null_right")])
         return counts
 
     def column_stats(self) -> DataFrame:
@@ -190,8 +186,8 @@ class Reconciliation:
         )
 
     def _empty_column_stats(self) -> DataFrame:
-        schema = ("table_name string, column_name string, matches long, mismatches long, null_left long, "
-                  "null_right long, match_rate double, band string, failed boolean")
+        counts = ", ".join(f"{c} {CMP.PAIRS}" for c in ("matches", "mismatches", "null_left", "null_right"))
+        schema = f"table_name string, column_name string, {counts}, match_rate double, band string, failed boolean"
         return self.spark.createDataFrame([], schema)
 
     def record_stats(self) -> DataFrame:
@@ -205,9 +201,9 @@ class Reconciliation:
                 F.max("joined_pairs").alias("joined_pairs"), F.sum("uniform_matching").alias("uniform_matching"))
         return s.select(
             F.lit(self.name).alias("table_name"),
-            F.col("joined_pairs").cast("long").alias("total_records"),
-            matching.cast("long").alias("matching_records"),
-            (F.col("joined_pairs") - matching).cast("long").alias("mismatched_records"),
+            F.col("joined_pairs").cast(CMP.PAIRS).alias("total_records"),
+            matching.cast(CMP.PAIRS).alias("matching_records"),
+            (F.col("joined_pairs") - matching).cast(CMP.PAIRS).alias("mismatched_records"),
         )
 
     def all_differences(self, first: Optional[int] = None) -> DataFrame:
@@ -224,7 +220,7 @@ class Reconciliation:
         return d.select(
             F.lit(self.name).alias("table_name"), "column_name", KEY,
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
-            "left_value", "right_value", F.col("pairs").cast("long").alias("pairs"), "ls", "rs",
+            "left_value", "right_value", F.col("pairs").cast(CMP.PAIRS).alias("pairs"), "ls", "rs",
         )
 
     def top_differences(self, limit: Optional[int] = None) -> DataFrame:
@@ -236,10 +232,37 @@ class Reconciliation:
                 .where(F.col("rn") <= limit).drop(KEY, "ls", "rs"))
 
     def record_verdicts(self) -> DataFrame:
-        return CMP.record_verdicts(self.prep, self.per_key()).select(
+        """One row per joined key: its pairs and the columns in which any pair differs."""
+        v = CMP.record_verdicts(self.prep, self.per_key())
+        if self.has_mixed():
+            vc, _ = self._mixed_parts()
+            v = v.unionByName(MS.verdicts(self.prep, vc))
+        return v.select(
             F.lit(self.name).alias("table_name"),
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
-            F.col("pairs").cast("long").alias("pairs"), "differing_columns", "differing_list")
+            F.col("pairs").cast(CMP.PAIRS).alias("pairs"), "differing_columns", "differing_list")
+
+    def fused(self) -> DataFrame:
+        """One row: row, pair and missing totals and the matches of every column, all keys included."""
+        s = self.summary_df()
+        cols = ["joined_pairs", "left_rows", "right_rows", "missing_in_right", "missing_in_left"]
+        names = [f"m_{i}" for i in range(len(self.prep.value_cols))]
+        s = s.select(*cols, "uniform_matching", *names)
+        if self.has_mixed():
+            vc, mixed = self._mixed_parts()
+            per_col = MS.column_counts(self.prep, vc).agg(*[
+                F.max(F.when(F.col("ci") == i, F.col("matches"))).alias(m) for i, m in enumerate(names)])
+            extra = mixed.select(F.col("mixed_matching").alias("uniform_matching"))
+            s = s.unionByName(extra, allowMissingColumns=True).unionByName(per_col, allowMissingColumns=True).agg(
+                *[F.max(c).alias(c) for c in cols], *[F.sum(c).alias(c) for c in ("uniform_matching", *names)])
+        matching = F.col("uniform_matching").cast(CMP.PAIRS)
+        return s.select(
+            F.lit(self.name).alias("table_name"),
+            F.col("left_rows").alias("left_total"), F.col("right_rows").alias("right_total"),
+            F.col("joined_pairs").alias("total_records"), matching.alias("matching_records"),
+            (F.col("joined_pairs") - matching).cast(CMP.PAIRS).alias("mismatched_records"),
+            "missing_in_right", "missing_in_left",
+            *[F.col(m).cast(CMP.PAIRS).alias(f"matches_{c}") for m, c in zip(names, self.prep.value_cols)])
 
     # -- missing records ------------------------------------------------------------
     def missing(self) -> DataFrame:

@@ -34,6 +34,7 @@ class RunResult:
     run_id: str
     frames: dict[str, DataFrame]
     reconciliations: list[Reconciliation] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -50,6 +51,8 @@ class RunResult:
                 sinks.prune_runs(df.sparkSession, f"{root}/{name}", keep_runs)
 
     def close(self) -> None:
+        for df in self.kept:
+            df.unpersist()
         for r in self.reconciliations:
             r.close()
 
@@ -89,6 +92,24 @@ def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig) -> tuple[di
     return out, rec
 
 
+def _evaluated(out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The result frames of one table, computed here and kept (a few rows, or first-N lists).
+
+    A table whose data fails only when it is read fails here, on its own;
+    the roll-ups and the written run read what is kept, not the tables again.
+    """
+    kept: dict[str, DataFrame] = {}
+    try:
+        for name, df in out.items():
+            kept[name] = df.persist()
+            kept[name].count()
+    except Exception:
+        for df in kept.values():
+            df.unpersist()
+        raise
+    return kept
+
+
 def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
     if not pairs:
         raise ValueError("no table pairs to compare")
@@ -96,10 +117,13 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
     run_id = cfg.resolved_run_id()
     parts: dict[str, list[DataFrame]] = {}
     recs: list[Reconciliation] = []
+    kept: list[DataFrame] = []
     for pair in pairs:
         try:
             out, rec = _one_table(spark, pair, cfg)
             recs.append(rec)
+            out = _evaluated(out)
+            kept += out.values()
         except Exception as exc:  # one bad table must not hide the others
             out = {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc))}
         for name, df in out.items():
@@ -118,4 +142,4 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
         frames["table_kpis"] = SUM.table_kpis(tables)
         frames["column_failure_stats"] = SUM.column_failure_stats(frames["column_stats"])
     frames = {name: df.withColumn("run_id", F.lit(run_id)) for name, df in frames.items()}
-    return RunResult(run_id, frames, recs)
+    return RunResult(run_id, frames, recs, kept)

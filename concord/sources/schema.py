@@ -6,7 +6,7 @@ driver (a handful of rows per table); no table data is read.
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +59,3 @@ def schema_diff(spark: SparkSession, left: DataFrame, right: DataFrame,
         F.lit(table_name).alias("table_name"), "column_name", "left_ordinal", "left_type",
         "right_ordinal", "right_type", status.alias("status"),
     )
-
-
-def type_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
-def types_of(df: DataFrame, names: Sequence[str]) -> list[T.DataType]:
-    return [df.schema[n].dataType for n in names]

@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from concord import Reconciliation, TablePair
 from concord.plans.catalog import cfg
@@ -77,7 +78,8 @@ def test_hash_sample_keeps_the_same_keys_on_both_sides(spark, orders):
     full = Reconciliation(orders, cfg())
     part = Reconciliation(sampled, cfg())
     # exactly the full run's missing keys whose bucket is in the sample
-    in_sample = full.missing().where(key_hash_bucket(["__k.id"], 100) < 10)
+    t = [orders.left.schema["id"].dataType]
+    in_sample = full.missing().where(key_hash_bucket([F.col("__k.id")], t, t, 100) < 10)
     want = {(r.side, r.record_id) for r in in_sample.select("side", "record_id").collect()}
     got = {(r.side, r.record_id) for r in part.missing().select("side", "record_id").collect()}
     assert got == want

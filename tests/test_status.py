@@ -59,10 +59,8 @@ def test_close_removes_written_keyed_table(spark):
     from datetime import datetime
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     rec = Reconciliation(TablePair("t", df, df), RunConfig(as_of=datetime(2001, 8, 1), materialize="table"))
-    from concord.plans.reconcile import _WRITTEN
-    before = set(_WRITTEN.values())
     rec.column_stats().collect()
-    paths = [p for p in _WRITTEN.values() if p not in before]
+    paths = [rec.per_key().written_to]
     assert paths and all(os.path.isdir(p.replace("file:", "")) for p in paths)
     rec.close()
     assert not any(os.path.isdir(p.replace("file:", "")) for p in paths)
