@@ -2,11 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as E
 from concord import Reconciliation
 from concord.operators import compare as CMP
 from concord.operators import retention as RET
-from concord.plans.catalog import cfg
+from concord.plans.catalog import QUERIES, cfg
 from concord.sources.fixtures import orders_pair
 from tests_paths import SF001
 
@@ -45,9 +44,9 @@ def test_top_differences_use_group_limit(spark):
     assert "WindowGroupLimit" in plan_of(rec.top_differences(), "simple")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_rows_or_cross_products(spark, name):
-    plan = plan_of(E.queries()[name](spark, SF001), "simple")
+    plan = plan_of(QUERIES[name](spark, SF001), "simple")
     for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
                 "BroadcastNestedLoopJoin"):
         assert bad not in plan, f"{name}: {bad}"
