@@ -119,8 +119,18 @@ def all_equal(prep: Prepared) -> Column:
     return reduce(lambda a, b: a & b, eqs, F.lit(True))
 
 
-def _weighted(cond: Column, weight: Column) -> Column:
-    return F.sum(F.when(cond, weight))
+#: Pair counts are summed as two 64-bit sums, of n_l * (n_r div SPLIT) and n_l * (n_r mod SPLIT): decimals a row are slow.
+SPLIT = 1 << 20
+
+
+def _weighted(cond: Column, name: str) -> list[Column]:
+    high, low = F.shiftright("n_r", 20), F.col("n_r").bitwiseAND(F.lit(SPLIT - 1))
+    return [F.sum(F.when(cond, F.col("n_l") * part)).alias(f"{name}{end}") for part, end in ((high, "__hi"), (low, "__lo"))]
+
+
+def _joined_sums(name: str) -> Column:
+    high, low = (F.coalesce(F.col(f"{name}{end}"), F.lit(0)).cast("decimal(19,0)") for end in ("__hi", "__lo"))
+    return (high * F.lit(SPLIT) + low).cast(PAIRS).alias(name)
 
 
 # -- one-row summary ------------------------------------------------------------
@@ -133,9 +143,8 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
     precomputed flags reach the aggregate.
     """
     n = len(prep.value_cols)
-    p = pairs()
     mixed = joined() & ~uniform()
-    w = F.when(joined() & uniform(), p)
+    plain = joined() & uniform()
     n_l, n_r = F.col("n_l"), F.col("n_r")
     cols = [
         F.sum(n_l).alias("left_rows"),
@@ -145,25 +154,24 @@ def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
         F.count_if((n_l > 0) & (n_r == 0)).alias(MISSING_IN_RIGHT),
         F.count_if((n_r > 0) & (n_l == 0)).alias(MISSING_IN_LEFT),
         F.count_if((n_l > 1) | (n_r > 1)).alias("duplicate_keys"),
-        F.sum(p).alias("joined_pairs"),
+        *_weighted(joined(), "joined_pairs"),
         F.count_if(joined()).alias("joined_keys"),
         F.count_if(mixed).alias("mixed_keys"),
         # size of the mixed-key set, measured (sizes its broadcast)
         F.sum(F.when(mixed, F.octet_length(F.to_json(F.col(KEY))))).alias("mixed_key_bytes"),
-        _weighted(mixed, p).alias("mixed_pairs"),
-        _weighted(all_equal(prep), w).alias("uniform_matching"),
-        F.sum(w).alias("uniform_pairs"),
+        *_weighted(mixed, "mixed_pairs"),
+        *_weighted(plain & all_equal(prep), "uniform_matching"),
+        *_weighted(plain, "uniform_pairs"),
     ]
     for i in range(n):
-        cols.append(_weighted(F.col(f"e_{i}"), w).alias(f"m_{i}"))
-        cols.append(_weighted(F.col(f"zl_{i}"), w).alias(f"nl_{i}"))
-        cols.append(_weighted(F.col(f"zr_{i}"), w).alias(f"nr_{i}"))
+        cols += _weighted(plain & F.col(f"e_{i}"), f"m_{i}")
+        cols += _weighted(plain & F.col(f"zl_{i}"), f"nl_{i}")
+        cols += _weighted(plain & F.col(f"zr_{i}"), f"nr_{i}")
     out = pk.agg(*cols)
-    counts_pairs = {"joined_pairs", "mixed_pairs", "uniform_matching", "uniform_pairs"}
-    counts_pairs |= {f"{c}_{i}" for c in ("m", "nl", "nr") for i in range(n)}
     # sums over an empty input are NULL: report zeros instead
-    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast(PAIRS if c in counts_pairs else "long").alias(c)
-                        for c in out.columns])
+    return out.select(*[
+        _joined_sums(c[:-4]) if c.endswith("__hi") else F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+        for c in out.columns if not c.endswith("__lo")])
 
 
 def uniform_column_counts(prep: Prepared, summary_df: DataFrame) -> DataFrame:
