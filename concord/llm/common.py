@@ -65,6 +65,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names, *wanted: str) -> list[str]:
+    """The ``wanted`` column names, each prefixed until none of ``names`` is like it (case ignored)."""
+    taken = {x.lower() for x in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def same_row(docs: DataFrame, key: DataFrame, doc_id: str, key_name: str) -> Column:
+    """Join condition of ``docs`` and the columns of ``key`` that hold the id and the text key."""
+    return docs["doc_id"].eqNullSafe(key[doc_id]) & (text_key(docs["text"]) == key[key_name])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a, b)``: one row ``(node, root)`` per node.
 

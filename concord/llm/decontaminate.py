@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, text_key
+from .common import arrow_batches, cut, same_row, text_key, unused
 
 SPAN = 13
 K = 9
@@ -255,6 +255,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns kept."""
+    d, k = unused(docs.columns, "_d", "_k")
     bad = contamination(docs, items).where("contaminated").select(
-        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k")), "left_anti")
+        F.col("doc_id").alias(d), F.col("text_key").alias(k)).distinct()
+    return docs.join(bad, same_row(docs, bad, d, k), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, same_row, text_key, unused
 
 WINDOW = 3
 BLANKS = " \t\r"
@@ -62,18 +62,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     result each; rows with one doc_id and different texts are ordered by their
     text key. NULL ids come first. An empty table gives no rows.
     """
-    hit = covered(docs).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("at").alias("_at"))
     rest = docs.drop("n_lines", "n_removed")
-    joined = rest.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k")), "left")
+    d, k, at, every, nb = unused(rest.columns, "_d", "_k", "_at", "_lines", "_nb")
+    hit = covered(docs).select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("at").alias(at))
+    joined = rest.join(hit, same_row(rest, hit, d, k), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    nb = F.filter(F.transform(F.col("_lines"), lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", i)),
-                  lambda i: i.isNotNull())
-    gone = F.transform(F.col("_at"), lambda j: F.get(F.col("_nb"), j))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    text = F.when(F.size("_at") >= F.size("_nb"), F.lit("")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = joined.withColumn("_lines", lines).withColumn("_nb", nb)
-    columns = [F.when(F.col("_at").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`")
+    full = F.filter(F.transform(F.col(every), lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", i)),
+                    lambda i: i.isNotNull())
+    gone = F.transform(F.col(at), lambda j: F.get(F.col(nb), j))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
+    text = F.when(F.size(at) >= F.size(nb), F.lit("")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(every), i)), "\n"))
+    out = joined.withColumn(every, lines).withColumn(nb, full)
+    columns = [F.when(F.col(at).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`")
                for c in rest.columns]
-    return out.select(*columns, F.size("_lines").alias("n_lines"),
-                      F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).alias("n_removed"))
+    return out.select(*columns, F.size(every).alias("n_lines"),
+                      F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).alias("n_removed"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, cut, text_key
+from .common import arrow_batches, components, cut, same_row, text_key, unused
 
 SEED = 42
 #: Shingles unpacked to bits at a time.
@@ -144,14 +144,19 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
     unless the component has no other id. An empty table gives no rows. Other
     columns are ignored.
     """
+    return _rooted(docs, width, max_bits).drop("root")
+
+
+def _rooted(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
+    """The rows of ``simhash_groups`` and ``root``, a fingerprint that names the group."""
     prints = cut(fingerprints(docs, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(nodes, max_bits))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "rep")
     best = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "text_key", "fp", "component_id")
+    of = named.select("fp", "root").join(best, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -159,16 +164,14 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the component_id of their group, one per group.
+    """One row of ``docs`` per group: that of the smallest doc_id, all columns kept.
 
-    Rows of a group that share that doc_id are reduced to one (the smallest
-    text key); groups without any id keep one row likewise.
+    Of rows that share that id the smallest text key stays, of rows that share
+    the text too any one; a group without ids keeps one row likewise. Rows that
+    share an id (or have none) but are in different groups all stay.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), width, max_bits)
-    stay = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"))
-            .select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")))
-    cond = F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k"))
-    kept = docs.join(stay, cond, "left_semi")
-    # rows repeated in full share both keys: keep one of each
-    return kept.dropDuplicates(["doc_id"])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    d, k = unused(docs.columns, "_d", "_k")
+    stay = (_rooted(docs.select("doc_id", "text"), width, max_bits).groupBy("root").agg(F.min(place).alias("x"))
+            .select(F.col("x.doc_id").alias(d), F.col("x.text_key").alias(k)))
+    return docs.join(stay, same_row(docs, stay, d, k)).dropDuplicates(["doc_id", k]).drop(d, k)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.bpe import bpe_encode
-from concord.llm.common import remainder, scratch, table
+from concord.llm.common import remainder, scratch, table, unused
 from concord.llm.decontaminate import decontaminate
 from concord.llm.linededup import line_dedup
 from concord.llm.queries import vocabulary
@@ -18,16 +18,28 @@ from concord.llm.simhash import keep_one
 from concord.llm.toxicity import toxicity
 
 
+def _with(docs: DataFrame, added: tuple[str, ...], operator) -> tuple[DataFrame, list]:
+    """``operator(docs)`` and the columns of ``docs`` in it, also where ``docs`` has columns named like those it adds."""
+    clash = [c for c in docs.columns if c.lower() in added]
+    other = dict(zip(clash, unused([*docs.columns, *added], *clash)))
+    return operator(docs.withColumnsRenamed(other)), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts to be toxic go."""
-    train = docs.where(remainder(F.col("doc_id"), 4) != 2)
-    scored = toxicity(docs, train, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return scored.where("predicted = 0").select(docs.columns)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+
+    def scored(d):
+        return toxicity(d, d.where(remainder(F.col("doc_id"), 4) != 2), labels)
+
+    out, own = _with(docs, ("score", "predicted"), scored)
+    return out.where("predicted = 0").select(*own)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; ``n_chars`` follows the text."""
-    out = line_dedup(docs).select(docs.columns)
+    out, own = _with(docs, ("n_lines", "n_removed"), line_dedup)
+    out = out.select(*own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
     return out
