@@ -14,7 +14,7 @@ both sides fit one schema:
   floating (so ``1`` equals ``1.0`` and ``1.50`` equals ``1.5`` -- a
   deliberate, documented improvement over string-comparing raw numbers);
 * boolean vs integral with ``bool_as_int``: integral;
-* arrays, maps, structs: JSON text;
+* arrays, maps, structs: JSON text, maps in the order of their keys;
 * anything else that differs: string (so a date never equals a timestamp,
   and ``true`` never equals ``1`` unless asked).
 
@@ -74,14 +74,37 @@ def aligned_type(lt: T.DataType, rt: T.DataType, bool_as_int: bool = False) -> T
 def align(col: Column, src: T.DataType, target: T.DataType) -> Column:
     """Cast one side's column to the aligned type (JSON for nested values)."""
     if isinstance(src, _COMPLEX):
-        return F.to_json(col)
+        return F.to_json(_ordered(col, src))
     if isinstance(src, T.BinaryType) and not isinstance(target, T.BinaryType):
         return F.hex(col)
     if src == target:
         return col
+    if isinstance(src, T.FloatType) and isinstance(target, T.DoubleType):
+        return col.cast("string").cast(target)  # 0.1 as a float is 0.1, not the nearest float's many digits
     return col.cast(target)
 
 
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return isinstance(t, T.MapType)
+
+
+def _ordered(col: Column, t: T.DataType) -> Column:
+    """The nested value with the entries of its maps in the order of their keys."""
+    if not _has_map(t):
+        return col
+    if isinstance(t, T.ArrayType):
+        return F.transform(col, lambda x: _ordered(x, t.elementType))
+    if isinstance(t, T.StructType):
+        fields = [_ordered(col[f.name], f.dataType).alias(f.name) for f in t.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    entries = F.transform(F.array_sort(F.map_keys(col)), lambda k: F.struct(k, _ordered(col[k], t.valueType)))
+    return F.map_from_entries(entries)
+
+
 def canon(col: Column, dtype: T.DataType) -> Column:
     """Canonical comparison value of an aligned value; NULL for NULL/NaN.
 

@@ -7,7 +7,7 @@ pushed into the Parquet / JDBC scan.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, time, timedelta
 from typing import Optional, Sequence
 
 from pyspark.sql import Column
@@ -35,19 +35,23 @@ def detect(columns: Sequence[str], candidates: Sequence[str]) -> Optional[str]:
     return None
 
 
-def ts_literal(value: datetime, dtype: T.DataType) -> Column:
-    """A timestamp literal of the column's type, folded at plan time."""
+def ts_literal(value: datetime, dtype: T.DataType, up: bool = True) -> Column:
+    """A timestamp literal of the column's type, folded at plan time.
+
+    A DATE stands for its midnight: a bound within a day is the next day (or
+    the day itself, if not ``up``), so DATE columns keep what timestamps would.
+    """
+    if isinstance(dtype, T.DateType):
+        return F.lit(value.date() + timedelta(days=int(up and value.time() != time())))
     text = value.strftime("%Y-%m-%d %H:%M:%S")
     if isinstance(dtype, T.TimestampNTZType):
         return F.lit(text).cast(T.TimestampNTZType())
-    if isinstance(dtype, T.DateType):
-        return F.lit(text).cast(T.TimestampType()).cast(T.DateType())
     return F.lit(text).cast(T.TimestampType())
 
 
 def in_window(col: Column, dtype: T.DataType, start: datetime, end: datetime) -> Column:
     """``start <= col <= end``, both ends inclusive; NULL is outside."""
-    return (col >= ts_literal(start, dtype)) & (col <= ts_literal(end, dtype))
+    return (col >= ts_literal(start, dtype)) & (col <= ts_literal(end, dtype, up=False))
 
 
 def older_than(created: Column, modified: Column, c_type: T.DataType,

@@ -215,7 +215,7 @@ def q_persist_run(spark, d):
 
 def q_export_differences(spark, d):
     ensure_checkpoint_dir(spark)
-    diffs = _orders(spark, d).top_differences()
+    diffs = _orders(spark, d).all_differences()
     path = sinks.shared_dir(spark, "differences")
     sinks.export_differences_csv(diffs, path)
     return sinks.read_differences_csv(spark, path)

@@ -515,7 +515,7 @@ def sql_persist_run():
 
 def sql_export_differences():
     return f"""select table_name, column_name, record_id, left_value, right_value
-from ({top_differences(orders())})"""
+from ({top_differences(orders(), 1 << 62)})"""
 
 
 def sql_retain_latest_runs():

@@ -20,11 +20,16 @@ SCHEMA_ROW = T.StructType([
 
 
 def apply_mapping(right: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rename right columns to their left names (``mapping``: left -> right)."""
-    if not mapping:
-        return right
+    """Rename right columns to their left names (``mapping``: left -> right).
+
+    A right column that has a mapped left name without being mapped itself
+    gives way to the one that the mapping names.
+    """
     inverse = {r: l for l, r in mapping.items() if r in right.columns}
-    return right.withColumnsRenamed(inverse) if inverse else right
+    if not inverse:
+        return right
+    names = [c for c in right.columns if c in inverse or c not in inverse.values()]
+    return right.select(*[F.col(f"`{c}`").alias(inverse.get(c, c)) for c in names])
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:

@@ -87,3 +87,19 @@ def test_display_keeps_raw_value(spark):
     diffs = {r.record_id: (r.left_value, r.right_value)
              for r in Reconciliation(TablePair("t", left, right), cfg()).top_differences().collect()}
     assert diffs == {"1": (" a ", "b"), "2": ("NULL", "")}
+
+
+def test_maps_compare_by_entries_and_floats_by_their_digits(spark):
+    from concord import Reconciliation, RunConfig, TablePair
+    from datetime import datetime
+    left = spark.sql("select 1 as id, map('a', 1, 'b', 2) as m, array(map('x', named_struct('y', map(2, 'q', 1, 'p')))) as n, cast(0.1 as float) as f")
+    right = spark.sql("select 1 as id, map('b', 2, 'a', 1) as m, array(map('x', named_struct('y', map(1, 'p', 2, 'q')))) as n, 0.1D as f")
+    rec = Reconciliation(TablePair("t", left, right), RunConfig(as_of=datetime(2001, 8, 1)))
+    assert {r.column_name: r.matches for r in rec.column_stats().collect()} == {"m": 1, "n": 1, "f": 1}
+
+
+def test_mapping_to_a_name_that_the_right_has_too(spark):
+    from concord.sources.schema import apply_mapping
+    right = spark.sql("select 1 as id, 'own' as a, 'mapped' as b, 'c' as c")
+    assert apply_mapping(right, {"a": "b"}).first().asDict() == {"id": 1, "a": "mapped", "c": "c"}
+    assert apply_mapping(right, {"a": "b", "b": "a"}).first().asDict() == {"id": 1, "b": "own", "a": "mapped", "c": "c"}

@@ -64,3 +64,16 @@ def test_no_time_columns(spark):
     assert rec.prep.window_status == NO_TIME_COLUMNS
     assert {r.status for r in rec.date_scenarios().collect()} == {NO_TIME_COLUMNS}
     assert RET.retention_count(pair, cfg).collect()[0].status == NO_TIME_COLUMNS
+
+
+def test_date_columns_keep_what_timestamps_would(spark):
+    days = "array('2001-07-30', '2001-07-31', '2001-08-01', '2001-08-02')"
+    for as_of in (AS_OF, datetime(2001, 8, 1)):
+        got = []
+        for kind in ("date", "timestamp_ntz"):
+            df = spark.sql(f"select row_number() over (order by x) as id, cast(x as {kind}) as created_at, "
+                           f"cast(x as {kind}) as updated_at from (select explode({days}) as x)")
+            cfg = RunConfig(as_of=as_of, window_enabled=True, window_days=1, retention_days=1)
+            kept = sorted(r.id for r in prepare(TablePair("t", df, df), cfg).left.collect())
+            got.append((kept, RET.retention_count(TablePair("t", df, df), cfg).first().total_old_records))
+        assert got[0] == got[1]
