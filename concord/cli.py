@@ -10,7 +10,7 @@ Config (JSON)::
       "retention": {"enabled": true, "days": 45},
       "max_differences": 100, "max_missing": 100,
       "output": "/shared/reconciliation",     # result tables, by run_id
-      "export_csv": "/shared/differences",    # optional
+      "export_csv": "/shared/differences",    # optional, every difference
       "tables": [
         {"name": "orders", "keys": ["id"],
          "column_mapping": {"left_name": "right_name"},
@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         if cfg.get("output"):
             result.write(cfg["output"])
         if cfg.get("export_csv"):
-            sinks.export_differences_csv(result["field_differences"], cfg["export_csv"])
+            sinks.export_differences_csv(result.all_differences(spark), cfg["export_csv"])
         statuses = [r.asDict() for r in result["table_status"].collect()]
         summary = result["run_summary"].collect() if "run_summary" in result.frames else []
         print(json.dumps({"run_id": result.run_id, "tables": statuses,

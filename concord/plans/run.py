@@ -35,6 +35,7 @@ class RunResult:
     frames: dict[str, DataFrame]
     reconciliations: list[Reconciliation] = field(default_factory=list)
     kept: list[DataFrame] = field(default_factory=list)
+    compared: list[Reconciliation] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -50,6 +51,11 @@ class RunResult:
             if keep_runs is not None:
                 sinks.prune_runs(df.sparkSession, f"{root}/{name}", keep_runs)
 
+    def all_differences(self, spark: SparkSession) -> DataFrame:
+        """Every difference of every compared table, uncapped; to be read before ``close()``."""
+        none = spark.createDataFrame([], ", ".join(f"{c} string" for c in sinks.DIFFERENCE_COLUMNS))
+        return _union([none, *(r.all_differences().select(*sinks.DIFFERENCE_COLUMNS) for r in self.compared)])
+
     def close(self) -> None:
         for df in self.kept:
             df.unpersist()
@@ -118,12 +124,15 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
     parts: dict[str, list[DataFrame]] = {}
     recs: list[Reconciliation] = []
     kept: list[DataFrame] = []
+    compared: list[Reconciliation] = []
     for pair in pairs:
         try:
             out, rec = _one_table(spark, pair, cfg)
             recs.append(rec)
             out = _evaluated(out)
             kept += out.values()
+            if "field_differences" in out:
+                compared.append(rec)
         except Exception as exc:  # one bad table must not hide the others
             out = {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc))}
         for name, df in out.items():
@@ -142,4 +151,4 @@ def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
         frames["table_kpis"] = SUM.table_kpis(tables)
         frames["column_failure_stats"] = SUM.column_failure_stats(frames["column_stats"])
     frames = {name: df.withColumn("run_id", F.lit(run_id)) for name, df in frames.items()}
-    return RunResult(run_id, frames, recs, kept)
+    return RunResult(run_id, frames, recs, kept, compared)

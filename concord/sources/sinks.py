@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 # A NULL marker distinct from the empty string, so '' survives a round trip.
 NULL_MARK = "\\N"
+DIFFERENCE_COLUMNS = ("table_name", "column_name", "record_id", "left_value", "right_value")
 
 
 def checkpoint_root(spark: SparkSession) -> Optional[str]:
@@ -78,7 +79,7 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
     One folder per ``table_name`` / ``column_name`` (partition columns), so
     names containing underscores are never split apart.
     """
-    (diffs.select("table_name", "column_name", "record_id", "left_value", "right_value")
+    (diffs.select(*DIFFERENCE_COLUMNS)
      .write.mode("overwrite")
      .option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

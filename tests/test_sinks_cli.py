@@ -79,6 +79,24 @@ def test_cli_exit_code_on_failed_table(spark, tmp_path, capsys):
     assert printed["tables"][0]["status"] == "ERROR"
 
 
+def test_cli_exports_every_difference(spark, tmp_path, capsys):
+    for side, shift in (("left", 0), ("right", 1)):
+        spark.range(250).selectExpr("id", f"cast(id + {shift} as string) as v").write.parquet(str(tmp_path / side))
+    spark.range(130).selectExpr("id as k", "cast(id as string) as w").write.parquet(str(tmp_path / "other_left"))
+    spark.range(130).selectExpr("id as k", "'x' as w").write.parquet(str(tmp_path / "other_right"))
+    sides = lambda p: {s: {"parquet": str(tmp_path / f"{p}{s}")} for s in ("left", "right")}
+    conf = {"as_of": "2001-08-01 00:00:00", "max_differences": 100, "export_csv": str(tmp_path / "csv"),
+            "tables": [{"name": "t", **sides("")}, {"name": "other", "keys": ["k"], **sides("other_")},
+                       {"name": "bad", "keys": ["no_such_key"], **sides("")}]}
+    path = tmp_path / "conf.json"
+    path.write_text(json.dumps(conf))
+    assert main([str(path)]) == 1  # the bad table
+    got = [(r.table_name, r.record_id, r.left_value, r.right_value)
+           for r in sinks.read_differences_csv(spark, str(tmp_path / "csv")).collect()]
+    assert len(got) == 380
+    assert set(got) == {("t", str(i), str(i), str(i + 1)) for i in range(250)} | {("other", str(i), str(i), "x") for i in range(130)}
+
+
 def test_jdbc_partitioned_read_needs_bounds(spark):
     import pytest
     from concord.sources.readers import read_jdbc
