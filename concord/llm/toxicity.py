@@ -5,7 +5,9 @@ between them or repeats them. Every odd token becomes a lattice: look-alikes
 may stand for letters, separators for nothing or for a word boundary, runs of
 one letter for one or two of it. The Viterbi path that is likeliest under the
 channel and a character trigram model of the corpus is the restored word. A
-token of plain letters has a lattice of one path and is its own restoration.
+token of plain letters without a run has a lattice of one path and is its own
+restoration. Letters in runs of two are ordinary spelling too, and look-alikes
+at a token's edges ordinary punctuation: there both readings are kept.
 
 The trigram model counts the words of all documents over a folded alphabet (26
 letters, one class for all other letters, one boundary), so it has 28**3
@@ -53,8 +55,11 @@ BOUNDARY, OTHER, SYMBOLS = 0, 27, 28
 AS_LETTER, AS_ITSELF, DROPPED, SPLIT, JOINED, RUN = -1.0, -2.5, -5.0, -3.0, -1.0, -0.7
 #: Characters on either side of a token that are punctuation, not spelling.
 _EDGE = ".,;:?\"'()[]{}*#%&|_~^<>/\\=+-–—…“”‘’«»¿¡!`"
-_SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S[ \t]){2,}\S(?=\s|$)")
-_RUN = re.compile(r"(.)\1\1", re.S)
+#: Those of them that stand for no letter.
+_MARKS = "".join(c for c in _EDGE if c not in LOOKALIKES)
+_SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s+){2,}\S(?=\s|$)")
+_GAP = re.compile(r"\s+")
+_RUN, _LONG_RUN = re.compile(r"(.)\1", re.S), re.compile(r"(.)\1\1", re.S)
 
 
 def fold(c: str) -> int:
@@ -168,16 +173,31 @@ class Speller:
         return "".join(reversed(out))
 
     def restore(self, token: str) -> list[str]:
-        """Words that a lower-cased token without white space stands for."""
+        """Words that a lower-cased token without white space stands for, over all its readings."""
         if token.isalpha() and not _RUN.search(token) and token.isascii():
             return [token]
-        core = token.translate(INVISIBLE).strip(_EDGE)
-        if core.isalpha() and not _RUN.search(core) and not any(c in LOOKALIKES for c in core):
-            return [core]
-        if not any(c.isalpha() for c in core):
-            return []
-        # marks that only follow the word are punctuation; inside it they may be letters
-        return self.viterbi(core).split()
+        core = token.translate(INVISIBLE).strip(_MARKS)
+        out: dict[str, None] = {}
+        # look-alikes at the edges are punctuation in one reading and letters in the other
+        for reading in dict.fromkeys((core.strip(_EDGE), core)):
+            odd = any(c in LOOKALIKES for c in reading)
+            if reading.isalpha() and not odd and not _LONG_RUN.search(reading):
+                out[reading] = None
+                if not _RUN.search(reading):
+                    continue
+            if odd or any(c.isalpha() for c in reading):
+                out.update(dict.fromkeys(self.viterbi(reading).split()))
+        return list(out)
+
+    def spaced(self, text: str) -> Iterator[list[str]]:
+        """Words of every row of single characters in a lower-cased text, whatever white space is between them.
+
+        The narrowest gap of a row is that between letters; a wider one is likelier a boundary.
+        """
+        for m in _SPACED.finditer(text):
+            gaps = _GAP.findall(m.group())
+            narrow = min(map(len, gaps))
+            yield self.viterbi(_GAP.sub(lambda g: " " if len(g.group()) == narrow else "  ", m.group())).split()
 
 
 _SYMBOLS: dict[str, int] = {}
@@ -202,13 +222,23 @@ class Scorer:
         self.speller, self.weights = speller, weights or {}
         self._kept: dict[str, float] = {}
         self._older: dict[str, float] = {}
+        self._read: dict[str, list[str]] = {}
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words."""
         low = text.lower()
-        out = {w for t in set(low.split()) for w in self.speller.restore(t)}
-        for m in _SPACED.finditer(low):
-            out.update(self.speller.viterbi(m.group()).split())
+        out = set()
+        for t in set(low.split()):
+            words = self._read.get(t)
+            if words is None:
+                words = self.speller.restore(t)
+                if len(t) <= 64:
+                    if len(self._read) >= KEPT // 2:
+                        self._read.clear()
+                    self._read[t] = words
+            out.update(words)
+        for words in self.speller.spaced(low):
+            out.update(words)
         return out
 
     def _of_words(self, words: list[str]) -> float:
@@ -238,8 +268,8 @@ class Scorer:
                 w = self._token(t)
             if w:
                 hits.append(w)
-        for m in _SPACED.finditer(low):
-            w = self._of_words(self.speller.viterbi(m.group()).split())
+        for words in self.speller.spaced(low):
+            w = self._of_words(words)
             if w:
                 hits.append(w)
         top = sorted(hits, reverse=True)[:2] + [0.0, 0.0]

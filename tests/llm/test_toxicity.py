@@ -51,6 +51,50 @@ def test_restores_hidden_words(speller):
     assert speller.restore("2024") == [] and speller.restore("***") == []
 
 
+def test_restores_what_the_lattice_names(speller):
+    for hidden, word in [("ttrraash", "trash"), ("iidiot", "idiot"), ("!diot", "idiot"), ("+rash", "trash"), ("¡d!ot!", "idiot"),
+                         ("|d|0+", "idiot"), ("$+up!d", "stupid")]:
+        assert word in speller.restore(hidden), (hidden, speller.restore(hidden))
+    # spelling and punctuation as they are remain a reading
+    for token, word in [("letters", "letters"), ("(garden", "garden"), ("walls!", "walls"), ("garden!", "garden")]:
+        assert word in speller.restore(token), token
+    rude = ["ass", "soot"] * 30
+    other = Speller([{"tri": t, "n": n} for t, n in trigrams(CLEAN + rude).items()])
+    assert "soot" in other.restore("$007") and "soot" in other.restore("$00+")
+    for gap in ("  ", "\t", " \t", "\n", "\u00a0", "\r\n"):
+        assert ["idiot"] in list(speller.spaced("the " + gap.join("idiot") + " walls")), gap
+    assert list(speller.spaced("i d i o t   m o r o n")) == [["idiot", "moron"]]
+
+
+def trigrams(words):
+    out = {}
+    for w in words:
+        s = [BOUNDARY, BOUNDARY, *map(fold, w), BOUNDARY]
+        for x in zip(s, s[1:], s[2:]):
+            at = (x[0] * SYMBOLS + x[1]) * SYMBOLS + x[2]
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_toxicity_of_doubled_edge_and_spaced_forms(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(300):
+        words = [rng.choice(CLEAN) for _ in range(30)]
+        if i % 3 == 0:
+            words[7], words[21] = rng.choice(RUDE), rng.choice(RUDE)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    hidden = ["ttrraash", "iidiot", "!diot", "+rash", "i  d  i  o  t", "t\nr\na\ns\nh"]
+    base = " ".join(CLEAN[:20])
+    docs += [(1000 + i, f"{base} {h} {base}") for i, h in enumerate(hidden)] + [(2000, f"{base} (walls! {base}")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    out = {r.doc_id: r.score for r in toxicity(d, d, lab).collect() if r.doc_id >= 1000}
+    clean = out.pop(2000)
+    assert all(s > clean for s in out.values()), (clean, out)
+
+
 def hide(word, rng):
     return rng.choice([word.replace("i", "1").replace("o", "0").replace("a", "@"), ".".join(word), " ".join(word),
                        word[:2] + word[1] * 3 + word[2:], word.upper() + "!!"])
