@@ -8,6 +8,10 @@ several random parts of the lexicon; small edits leave many of the parts
 untouched. Parts come in sizes from 1/4 to 1/512 of the lexicon, so short
 and long documents both have parts that few of their terms belong to.
 
+A document of which less than ``LEAST_OWN`` of its terms are in the lexicon (a
+large group of near copies makes its own terms common) is hashed in the same
+parts over all its terms instead, and so is its edited text.
+
 A term in the band is in at least ``LEAST_SHARE`` of all documents, so the
 lexicon has at most (mean number of terms of a document) / LEAST_SHARE
 entries however large the corpus is, and is broadcast after a look at its size.
@@ -24,6 +28,8 @@ from .common import cut, text_key
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: Fewest documents of a lexicon term.
 LEAST_DOCS = 2
+#: Share of a document's terms in the lexicon, below which all its terms are hashed.
+LEAST_OWN = 0.25
 #: Sizes of the lexicon's random parts (2 ** -size of it each), and how many there are of a size at most.
 SIZES, PER_SIZE = (2, 3, 4, 5, 6, 7, 8, 9), 6
 #: Terms of the lexicon that are broadcast at most (16 bytes each); beyond, the join shuffles.
@@ -49,30 +55,27 @@ def _count(size: int) -> int:
     return min(PER_SIZE, 1 << size)
 
 
-def fingerprint(own: Column, every: Column) -> Column:
-    """Hashes of the sorted terms ``own``: of all, and of those in each part (0 where there are none).
-
-    Without any, the first hash is that of ``every`` (a digest of all terms, 0 if there are none).
-    """
+def fingerprint(own: Column) -> Column:
+    """Hashes of the sorted terms ``own``: of all, and of those in each part (0 where there are none)."""
     ordered = F.transform(F.array_sort(F.array_distinct(own)), lambda h: F.struct(h.alias("h"), F.xxhash64(F.lit(MARK), h).alias("g")))
 
-    def digest(xs, none):
-        return F.when(F.size(xs) > 0, F.xxhash64(F.transform(xs, lambda x: x["h"]))).otherwise(none)
+    def digest(xs):
+        return F.when(F.size(xs) > 0, F.xxhash64(F.transform(xs, lambda x: x["h"]))).otherwise(F.lit(0).cast("bigint"))
 
     def field(size):
         """The bits of a term's random number that say which part of that size it is in."""
         return lambda x: F.shiftright(x["g"], sum(range(SIZES[0], size))).bitwiseAND(F.lit((1 << size) - 1))
 
     def of_size(size):
-        at, zero = field(size), F.lit(0).cast("bigint")
-        return lambda xs: F.array(*[digest(F.filter(xs, lambda x: at(x) == F.lit(j)), zero) for j in range(_count(size))])
+        at = field(size)
+        return lambda xs: F.array(*[digest(F.filter(xs, lambda x: at(x) == F.lit(j))) for j in range(_count(size))])
 
     def chosen(xs, size):
         at = field(size)
         return F.element_at(F.transform(F.array(F.filter(xs, lambda x: at(x) < _count(size))), of_size(size)), 1)
 
     def all_of(xs):
-        return F.concat(F.array(digest(xs, every)), *[chosen(xs, size) for size in SIZES])
+        return F.concat(F.array(digest(xs)), *[chosen(xs, size) for size in SIZES])
 
     # bound once: the sorted terms are looked at by every part
     return F.element_at(F.transform(F.array(ordered), all_of), 1)
@@ -121,29 +124,33 @@ def successors(docs: DataFrame) -> DataFrame:
 def _in_lexicon(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``rows (id, text_key, doc_id, n_chars, edited_sha256, a, b)`` with the terms a and b reduced to the lexicon.
 
-    Adds every_a and every_b, digests of all terms. All terms of a row are
-    exploded and grouped again within the row's partition; one more element
-    carries the other columns and counts rows that are repeated in full.
+    Where less than LEAST_OWN of a's terms are in it, a and b stay whole. All
+    terms of a row are exploded and grouped again within the row's partition;
+    one more element carries the other columns and counts rows that are
+    repeated in full.
     """
-    words = cut(words.union(words.sparkSession.sql(f"select cast({MARK} as bigint) as h")))
+    words = cut(words).withColumn("known", F.lit(True))
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
 
     def tagged(c, tag):
         return F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(tag).alias("tag")))
 
-    def every(c):
-        return F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h))
+    def gathered(tag, known):
+        return F.collect_list(F.when((F.col("tag") == tag) & (F.col("known").isNotNull() == F.lit(known)), F.col("h")))
 
-    rest = F.struct("doc_id", "n_chars", "edited_sha256", "every_a", "every_b")
-    out = rows.withColumns({"every_a": every("a"), "every_b": every("b")}).select(
+    rest = F.struct("doc_id", "n_chars", "edited_sha256")
+    out = rows.select(
         "id", "text_key", rest.alias("rest"),
         F.explode(F.concat(F.array(F.struct(F.lit(MARK).cast("bigint").alias("h"), F.lit(0).alias("tag"))), tagged("a", 1), tagged("b", 2))).alias("x"))
-    out = out.select("id", "text_key", "x.h", "x.tag", F.when(F.col("x.tag") == 0, F.col("rest")).alias("rest")).join(words, "h")
+    out = out.select("id", "text_key", "x.h", "x.tag", F.when(F.col("x.tag") == 0, F.col("rest")).alias("rest")).join(words, "h", "left")
     out = out.groupBy("id", "text_key").agg(
         F.first("rest", ignorenulls=True).alias("rest"), F.count_if(F.col("tag") == 0).alias("copies"),
-        F.collect_list(F.when(F.col("tag") == 1, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("tag") == 2, F.col("h"))).alias("b"))
-    return out.select("text_key", "rest.*", "a", "b", "copies")
+        gathered(1, True).alias("a"), gathered(2, True).alias("b"), gathered(1, False).alias("more_a"), gathered(2, False).alias("more_b"))
+    # rows repeated in full repeat every term: the share is the same
+    few = F.size("a") < LEAST_OWN * (F.size("a") + F.size("more_a"))
+    whole = [F.when(few, F.concat(c, f"more_{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")]
+    return out.select("text_key", "rest.*", *whole, "copies")
 
 
 def _same(left: str, right: str) -> Column:
@@ -157,8 +164,9 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     first as many (or all) of the next document, in ascending order of doc_id,
     the first after the last. Returns ``doc_id, n_chars, edited_sha256, fp,
     edited_fp, next_fp`` per row: arrays of hashes, the first over all lexicon
-    terms, one for each part of the lexicon after it. A text without lexicon
-    terms has a first hash of all its terms, one without any term only zeros.
+    terms, one for each part of the lexicon after it. Where fewer than LEAST_OWN
+    of a text's terms are in the lexicon, it and its edited text are hashed over
+    all their terms; a text without any term has only zeros.
     NULL is the empty text and the smallest id; rows repeated in full give
     repeated rows; rows that share an id have the same next document, of which
     the smallest text key stands for its id. An empty table gives no rows;
@@ -182,7 +190,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
                        terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
     rows = cut(_in_lexicon(rows, lexicon(src, least, most)).select(
         "doc_id", "text_key", "n_chars", "edited_sha256", "copies",
-        fingerprint(F.col("a"), F.col("every_a")).alias("fp"), fingerprint(F.col("b"), F.col("every_b")).alias("edited_fp")))
+        fingerprint(F.col("a")).alias("fp"), fingerprint(F.col("b")).alias("edited_fp")))
     of = rows.select(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key"), F.col("fp").alias("next_fp"))
     link = nxt.join(of, _same("next_id", "n_id") & (F.col("next_key") == F.col("n_key"))).select(F.col("doc_id").alias("l_id"), "next_fp")
     out = rows.join(link, _same("doc_id", "l_id"))

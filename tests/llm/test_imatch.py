@@ -41,6 +41,22 @@ def test_lexicon_is_the_band(spark):
     assert lexicon(spark.createDataFrame(rows, "doc_id bigint, text string"), 0.05, 0.2).count() == want
 
 
+def test_near_copies_that_hold_a_third_of_the_rows(spark):
+    rows = make(80)
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(120)]
+    for i in range(40):  # neighbours in the order of ids, each with three words of its own
+        words = list(base)
+        for j in range(3):
+            words[rng.randrange(120)] = f"own{i}x{j}"
+        rows.append((10_000 + i, " ".join(words)))
+    got = {r.doc_id: r for r in run(spark, rows).withColumns(
+        {"near": likeness(F.col("fp"), F.col("edited_fp")), "next": likeness(F.col("fp"), F.col("next_fp"))}).collect()}
+    group = [got[10_000 + i] for i in range(39)]  # the last one's next is another text
+    assert sum(r.near for r in group) / 39 > 0.35 and sum(r.next for r in group) / 39 > 0.35
+    assert all(r.near < 1 for r in group if r.fp != r.edited_fp)
+
+
 def test_odd_tables(spark):
     assert run(spark, []).count() == 0
     one = run(spark, [(5, "abcdefgh")]).collect()[0]
