@@ -6,7 +6,8 @@ writes to. The reader checks every record (version line, header, length,
 terminator, digest). After a failed check it looks for the next gzip member or
 version line that passes the checks, goes on from there and logs the bytes
 between as a quarantined gap. Plain archives and such of gzip members (one or
-more records each) are read, also damaged in either way.
+more records each) are read, also damaged in either way; a damaged member is
+inflated as far as it goes and searched in the same way.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ URN = "urn:concord:page:"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _MAGIC = b"\x1f\x8b\x08"
+#: Of a gzip member that has damaged bytes or a wrong checksum.
+BAD = "bad gzip member"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -146,32 +149,91 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
             "payload": payload}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of the gzip member at ``at`` and the place after it; raises Broken."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` inflates to as far as it can be, the place after it, and what is wrong with it ('': nothing)."""
     z, parts, p = zlib.decompressobj(31), [], at
     while not z.eof and p < len(data):  # in pieces: what follows the member isn't copied
+        before = z.copy()
         try:
             parts.append(z.decompress(data[p:p + PIECE]))
-        except zlib.error as e:
-            raise Broken("bad gzip member") from e
+        except zlib.error:
+            try:
+                for i in range(p, min(p + PIECE, len(data))):  # the piece up to its bad byte
+                    parts.append(before.decompress(data[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), p, BAD
         p += PIECE
     if not z.eof:
-        raise Broken("truncated gzip member")
-    end, plain = min(p, len(data)) - len(z.unused_data), b"".join(parts)
-    out, p = [], 0
+        return b"".join(parts), len(data), "truncated gzip member"
+    return b"".join(parts), min(p, len(data)) - len(z.unused_data), ""
+
+
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """The place up to which the gzip member at ``at`` is read for its first ``size`` inflated bytes."""
+    z, p = zlib.decompressobj(31), at
+    while size > 0 and p < len(data):
+        piece, before = data[p:p + PIECE], z.copy()
+        try:
+            size -= len(z.decompress(piece, size))
+            p += len(piece) - len(z.unconsumed_tail) - len(z.unused_data)
+        except zlib.error:  # in what follows those bytes; they are from this piece
+            while size > 0:
+                size -= len(before.decompress(data[p:p + 1]))
+                p += 1
+    return p
+
+
+def _member(data: bytes, at: int) -> tuple[list[dict], int, str]:
+    """Records and inner gaps of the gzip member at ``at``, the place after it, and what is wrong with it ('': nothing).
+
+    In a member that does not inflate to its end, the place is that after its
+    last good record. Raises Broken where no record passes the checks.
+    """
+    plain, end, why = _inflate(data, at)
+    out, p, good, bad, reason = [], 0, 0, None, ""
     while p < len(plain):
-        rec, p = parse_record(plain, p)
-        out.append(rec)
-    return out, end
+        try:
+            rec, stop = parse_record(plain, p)
+        except Broken as e:
+            if bad is None:
+                bad, reason = p, str(e)
+            m = _VERSION.search(plain, p + 1)
+            p = m.start() if m else len(plain)
+            continue
+        if bad is not None:
+            out.append({"kind": "gap", "reason": f"{reason} (inflated bytes {bad} to {p})"})
+            bad = None
+        # a cut member's bytes are as they were written, those of one that does not inflate may not be
+        out.append(rec | ({"kind": "unverified", "reason": why} if why == BAD else {"kind": "record"}))
+        p = good = stop
+    if not good and (why or bad is not None):
+        raise Broken(why or reason)
+    if why:
+        return out, _consumed(data, at, good), why
+    if bad is not None:
+        out.append({"kind": "gap", "reason": f"{reason} (inflated bytes {bad} to {len(plain)})"})
+    return out, end, ""
 
 
 def salvage(data: bytes):
-    """Records and gaps of an archive: dicts with offset, length and, for gaps, the reason of the failed check."""
+    """Records and gaps of an archive: dicts with offset, length and, for gaps, the reason of the failed check.
+
+    Of a damaged gzip member every record that passes is given. What comes from
+    one member shares its offset and length, gaps inside it too; their reason
+    tells the inflated bytes. Records of a member with damaged bytes or a wrong
+    checksum are of kind ``unverified``: digests cover their blocks, but nothing
+    covers their headers, in which the damage may be.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
+        wrong = ""
         try:
-            zipped = data.startswith(_MAGIC, at)
-            found, end = _member(data, at) if zipped else (lambda r: ([r[0]], r[1]))(parse_record(data, at))
+            if data.startswith(_MAGIC, at):
+                found, end, wrong = _member(data, at)
+            else:
+                rec, end = parse_record(data, at)
+                found = [rec | {"kind": "record"}]
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -180,9 +242,12 @@ def salvage(data: bytes):
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
             bad = None
-        for rec in found:
-            yield rec | {"kind": "record", "offset": at, "length": end - at}
+        for row in found:
+            yield row | {"offset": at, "length": end - at}
         at = end
+        if wrong and at < len(data):
+            bad, why = at, wrong
+            at = _next_start(data, at)
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": why}
 
@@ -200,7 +265,7 @@ COLUMNS = {"path": "string", "kind": "string", "offset": "bigint", "length": "bi
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Records and quarantined gaps of all archives under ``path``, one row each (``kind``: record or gap).
+    """Records and quarantined gaps of all archives under ``path``, one row each (``kind``: record, unverified or gap).
 
     ``payload`` adds the payload itself. A task holds one archive at a time; an
     empty archive gives no rows.

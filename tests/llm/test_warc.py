@@ -69,6 +69,42 @@ def test_several_records_in_a_member_and_empty():
     assert parse_record(record(3, b""), 0)[0]["payload"] == b""
 
 
+def test_damaged_members_of_several_records():
+    rng = random.Random(4)
+    raw = [record(i, rng.randbytes(30_000) if i % 2 else b"word " * 3000) for i in range(8)]
+    after = gzip.compress(record(50, b"after"))
+    rows = lambda data: [(r["kind"], r.get("record_id")) for r in salvage(data)]
+    rec = lambda *ids, kind="record": [(kind, f"urn:x:{i}") for i in ids]
+    doubt = lambda *ids: rec(*ids, kind="unverified")
+    gap = [("gap", None)]
+
+    bent = bytearray(raw[3])
+    bent[-100] ^= 1
+    inner = gzip.compress(b"".join(raw[:3] + [bytes(bent)] + raw[4:]))
+    assert rows(inner + after) == rec(0, 1, 2) + gap + rec(4, 5, 6, 7, 50)
+    got = [r for r in salvage(inner) if r["kind"] == "gap"][0]
+    assert got["reason"].startswith("digest differs (inflated bytes ") and (got["offset"], got["length"]) == (0, len(inner))
+
+    for level in (0, 6):  # stored blocks hold the version lines as they are
+        whole = gzip.compress(b"".join(raw), level)
+        short = gzip.compress(b"".join(raw[:5]), level)
+        crc = bytearray(whole)
+        crc[-6] ^= 255
+        assert rows(bytes(crc) + after) == doubt(*range(8)) + gap + rec(50)
+        assert rows(bytes(crc)) == doubt(*range(8)) + gap
+        cut_at = len(short) + 2000
+        got = rows(whole[:cut_at])
+        assert got == rec(*range(len(got) - 1)) + gap and len(got) >= 5
+        got = rows(whole[:cut_at] + after)
+        assert got[-2:] == gap + rec(50) and [x for _, x in got[:4]] == [x for _, x in rec(0, 1, 2, 3)]
+        for data in (bytes(crc) + after, whole[:cut_at] + after):  # rows cover the archive, those of one member together
+            at = 0
+            for r in salvage(data):
+                assert r["offset"] in (0, at)
+                at = r["offset"] + r["length"]
+            assert at == len(data)
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(3, "http://a/ b\r\nX: y", "<p>é</p>", 1), (1, "u", "<p>é</p>", 1), (2, "u", "other\r\n\r\nWARC/1.1\r\n", 1), (7, None, None, 1),
             (8, "u", "", 1), (None, "u", "<p>é</p>", 1), (1, "u", "<p>é</p>", 1), (9, "u", "x" * 300_000, 1)]
