@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .collocations import collocations
 from .common import remainder, scratch, table
 from .decontaminate import contamination
 from .imatch import as_text, fingerprints, likeness
@@ -13,6 +14,7 @@ from .langid import identify
 from .pii import KINDS, listed, personal_data
 from .linededup import line_dedup
 from .quality import quality
+from .ranking import ranked
 from .simhash import hex_fingerprint, simhash_groups
 from .toxicity import toxicity
 from .warc import page_of, read_warc, write_warc
@@ -87,6 +89,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"), page_of(F.col("refers_to"), kind).alias("refers_to"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary() -> str:
     """Place of the production vocabulary file (a public tokenizer that every machine has)."""
     import public_tokenizers
@@ -105,6 +115,8 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op11_collocations": op11_collocations,
+    "op13_ranked": op13_ranked,
 }
 
 SQL_OP7 = r"""
@@ -148,7 +160,54 @@ select t.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0)
 from t left join words using (doc_id) left join items using (doc_id)
 """
 
+SQL_OP11 = r"""
+with t as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+p as (select lang, row_number() over () id, regexp_extract_all(p, '[^\x20\x09]+') w from t),
+o as (select lang, id, unnest(w) w1, generate_subscripts(w, 1) i from p),
+s as (select lang, w1, lead(w1) over d w2, lead(w1, 2) over d w3 from o window d as (partition by id order by i)),
+n as (select lang, count(*) n from s group by lang),
+f1 as (select lang, w1, count(*) f from s group by all),
+f2 as (select lang, w1, w2, count(*) f from s where w2 is not null group by all having count(*) >= 10),
+f3 as (select lang, w1, w2, w3, count(*) f from s where w3 is not null group by all having count(*) >= 10),
+c3 as (select c.*, x.f la, yz.f ra, xy.f lb, z.f rb,
+              (1000000::hugeint * c.f * c.f) // (x.f::hugeint * yz.f) sa, (1000000::hugeint * c.f * c.f) // (xy.f::hugeint * z.f) sb
+       from f3 c join f1 x on x.lang = c.lang and x.w1 = c.w1
+       join f2 yz on yz.lang = c.lang and yz.w1 = c.w2 and yz.w2 = c.w3
+       join f2 xy on xy.lang = c.lang and xy.w1 = c.w1 and xy.w2 = c.w2
+       join f1 z on z.lang = c.lang and z.w1 = c.w3),
+longer as (select lang, w1, w2, max(f) f from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all),
+c as (select lang, w1 || ' ' || w2 || ' ' || w3 phrase, f a, case when sb < sa then lb else la end l,
+             case when sb < sa then rb else ra end r, least(sa, sb) score from c3
+      union all
+      select c.lang, c.w1 || ' ' || c.w2, c.f, x.f, y.f, (1000000::hugeint * c.f * c.f) // (x.f::hugeint * y.f)
+      from f2 c join f1 x on x.lang = c.lang and x.w1 = c.w1 join f1 y on y.lang = c.lang and y.w1 = c.w2
+      left join longer g on g.lang = c.lang and g.w1 = c.w1 and g.w2 = c.w2 where g.f is null or 100 * g.f < 50 * c.f),
+k as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from c)
+select k.lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from k join n using (lang) where rank <= 2000
+"""
+
+SQL_OP13 = r"""
+with t as (select doc_id, row_number() over () row, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+b as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) x from benchmark),
+tot as (select count(*) n_docs, sum(len(w))::bigint n_terms from t where len(w) > 0),
+o as (select doc_id, row, len(w) n, unnest(w) x from t),
+tf as (select doc_id, row, n, x, count(*) tf from o group by all),
+df as (select x, count(*) df from tf group by x),
+g as (select doc_id, row, x, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) gain
+      from tf join df using (x), tot),
+s as (select item_id, doc_id, row, sum(gain)::bigint score from g join b using (x) group by all),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) rank from s where score > 0)
+select item_id, rank::int rank, doc_id, score from k where rank <= 50
+"""
+
 ORACLE_SQL = {
+    "op11_collocations": SQL_OP11,
+    "op13_ranked": SQL_OP13,
     "op3_winnowing": SQL_OP3,
     "op7_line_dedup": SQL_OP7,
 }
