@@ -15,6 +15,9 @@ from .pii import KINDS, listed, personal_data
 from .linededup import line_dedup
 from .quality import quality
 from .ranking import ranked
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import listed as listed_secrets
+from .secrets import secrets
 from .simhash import hex_fingerprint, simhash_groups
 from .toxicity import toxicity
 from .warc import page_of, read_warc, write_warc
@@ -93,6 +96,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets(table(spark, sf_dir, "documents"))
+    of = lambda i: lambda x: x["k"] == i
+    return out.select("doc_id", *[F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(SECRET_KINDS)],
+                      F.sha2(listed_secrets("base").cast("binary"), 256).alias("base_sha256"), listed_secrets("spans").alias("spans"))
+
+
 def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +126,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op11_collocations": op11_collocations,
+    "op12_secrets": op12_secrets,
     "op13_ranked": op13_ranked,
 }
 
