@@ -45,6 +45,9 @@ class RunConfig:
     # 'auto' checkpoints to spark.checkpoint.dir when the session names one,
     # otherwise persists; 'persist' / 'checkpoint' force a choice.
     materialize: str = "auto"
+    # Compare 128-bit row digests first and fetch full rows only where they differ.
+    # Rows of equal digests are taken for equal, which is not certain: off unless asked for.
+    digest_prefilter: bool = False
     run_id: Optional[str] = None
 
     @property

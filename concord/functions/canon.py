@@ -120,14 +120,29 @@ def canon(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-def canon_text(col: Column, dtype: T.DataType) -> Column:
-    """The canonical value as text, for places mixing columns of many types."""
-    c = canon(col, dtype)
+def same(left: Column, right: Column, dtype: T.DataType) -> Column:
+    """The cells match; their canonical forms are looked at only where the values differ."""
+    plain = left.eqNullSafe(right)
+    if not isinstance(dtype, (T.StringType, *_FLOATING)):
+        return plain
+    return plain | canon(left, dtype).eqNullSafe(canon(right, dtype))
+
+
+def is_null(col: Column, dtype: T.DataType) -> Column:
+    """The canonical value is NULL."""
+    return col.isNull() | F.isnan(col) if isinstance(dtype, _FLOATING) else col.isNull()
+
+
+def text(canonical: Column, dtype: T.DataType) -> Column:
+    """A canonical value as text, for places mixing columns of many types."""
     if isinstance(dtype, T.StringType):
-        return c
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
-    return c.cast("string")
+        return canonical
+    return F.hex(canonical) if isinstance(dtype, T.BinaryType) else canonical.cast("string")
+
+
+def canon_text(col: Column, dtype: T.DataType) -> Column:
+    """The canonical form of an aligned value, as text."""
+    return text(canon(col, dtype), dtype)
 
 
 def is_blank(col: Column, dtype: T.DataType) -> Column:

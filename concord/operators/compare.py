@@ -1,95 +1,58 @@
-"""Field-by-field comparison over one keyed pass (joins J1-J4, aggregates A4/A5/A11).
+"""Field-by-field comparison (joins J1-J4, aggregates A4/A5/A11).
 
 Semantics to reproduce: the two sides are joined on the key (many-to-many,
 NULL keys match each other); every joined *pair* of rows is compared column
 by column; a record matches when all its compared columns match; keys found
 on one side only are "missing" on the other.
 
-Plan: instead of a join, both sides are tagged and unioned, then grouped by
-the key once::
-
-    per key:  n_l, n_r                      rows on each side
-              lo_l, hi_l, lo_r, hi_r        min / max of the aligned value
-                                            tuple on each side
-
-* One shuffle for both tables, with map-side partial aggregation, so a key
-  holding a third of all rows arrives at its reducer as one partial buffer
-  per map task rather than as its rows.
-* No pair is ever materialised: a key with ``n_l`` and ``n_r`` rows stands
-  for ``n_l * n_r`` pairs, and every counter is weighted by that product.
-* When every row of a key on each side carries the same values
-  (``lo = hi``: unique keys, or exact copies), the key's pairs are all alike
-  and one comparison of ``hi_l`` with ``hi_r`` decides all of them.
-* Keys whose copies differ among themselves ("mixed" keys) are resolved
-  exactly by :mod:`concord.operators.multiset`, which counts values rather
-  than pairs. Typical tables have none and skip that step.
-* Missing keys are the groups with ``n_r = 0`` (or ``n_l = 0``), so the
-  same pass also yields both anti-joins and their exact distinct totals.
+Plan, in two steps:
+
+* **Key counts.** The keys alone of both sides are grouped (a hash aggregate
+  of two counters, combined on the map side, so a key holding a third of all
+  rows arrives as one buffer per task). That gives row and key totals, both
+  missing totals, the number of row pairs, and which keys are *duplicate*
+  (two rows or more on a side).
+* **Rows.** All other keys have one row a side: one full outer join on the
+  key, with 64-bit counters, decides them. Rows of duplicate keys are left
+  out of it and go to :mod:`concord.operators.multiset`, which counts values
+  rather than pairs. Typical tables have none and skip that step.
+
+Duplicate keys are told from the others by a join with their set: broadcast
+where its measured size allows; else the heaviest keys, of which there are at
+most ``HEAVY`` by their share of the rows, are broadcast and the light rest
+is shuffled, so that no hot key meets in one task.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from concord.functions import canon as C
 from concord.functions import timecols as TC
-from concord.plans.prepare import KEY, SIDE, TUPLE, Prepared
+from concord.plans.prepare import KEY, SIDE, Prepared
 
 MISSING_IN_RIGHT = "missing_in_right"
 MISSING_IN_LEFT = "missing_in_left"
 
-
-def per_key(prep: Prepared) -> DataFrame:
-    """The keyed pass: one row per distinct key (NULL-safe) over both sides.
-
-    Right after the aggregation (same stage) the row is flattened: the
-    ``lo`` tuples only decide ``u`` (uniform) and are dropped, each side's
-    values become flat columns ``l_i`` / ``r_i``, and the per-column flags
-    ``e_i`` (cells equal), ``zl_i`` / ``zr_i`` (cell NULL) are computed once,
-    so every later reader works on flat booleans and longs.
-    """
-    tagged = prep.both_tagged()
-    s, t = F.col(SIDE), F.col(TUPLE)
-    on_left, on_right = s == 0, s == 1
-    agg = tagged.groupBy(*prep.flat_keys()).agg(
-        F.count_if(on_left).alias("n_l"),
-        F.count_if(on_right).alias("n_r"),
-        F.min(F.when(on_left, t)).alias("lo_l"),
-        F.max(F.when(on_left, t)).alias("hi_l"),
-        F.min(F.when(on_right, t)).alias("lo_r"),
-        F.max(F.when(on_right, t)).alias("hi_r"),
-    )
-    n = len(prep.value_cols)
-    flat = agg.select(
-        prep.key_from_flat(), "n_l", "n_r",
-        (F.col("lo_l").eqNullSafe(F.col("hi_l")) & F.col("lo_r").eqNullSafe(F.col("hi_r"))).alias("u"),
-        *[F.col("hi_l")[c].alias(f"l_{i}") for i, c in enumerate(prep.value_cols)],
-        *[F.col("hi_r")[c].alias(f"r_{i}") for i, c in enumerate(prep.value_cols)],
-    )
-    return flat.select(
-        "*",
-        *[side_canon(prep, "l", i).eqNullSafe(side_canon(prep, "r", i)).alias(f"e_{i}") for i in range(n)],
-        *[side_canon(prep, "l", i).isNull().alias(f"zl_{i}") for i in range(n)],
-        *[side_canon(prep, "r", i).isNull().alias(f"zr_{i}") for i in range(n)],
-    )
-
-
-# -- per-key expressions ------------------------------------------------------
-
 #: Type of everything that counts row pairs: a hot key's n_l * n_r passes 64 bits.
 PAIRS = "decimal(38,0)"
+#: Most keys that are broadcast for their weight alone: those with rows / HEAVY rows at least.
+HEAVY = 1000
+#: Per-row overhead added to the measured key bytes when sizing a broadcast.
+ROW_OVERHEAD_BYTES = 32
 
 
-def wide(count: Column) -> Column:
-    """A 64-bit count as a factor whose products and sums don't overflow."""
-    return count.cast("decimal(19,0)")
+# -- key counts -------------------------------------------------------------------
 
-
-def pairs() -> Column:
-    return (wide(F.col("n_l")) * wide(F.col("n_r"))).cast(PAIRS)
+def key_counts(prep: Prepared) -> DataFrame:
+    """One row per distinct key (NULL-safe) over both sides: ``n_l``, ``n_r`` rows."""
+    s = F.col(SIDE)
+    return prep.both_tagged(values=False).groupBy(*prep.flat_keys()).agg(
+        F.count_if(s == 0).alias("n_l"), F.count_if(s == 1).alias("n_r"))
 
 
 def joined() -> Column:
@@ -97,33 +60,20 @@ def joined() -> Column:
     return (F.col("n_l") > 0) & (F.col("n_r") > 0)
 
 
-def uniform() -> Column:
-    """All rows of the key agree on every value, on each side separately."""
-    return F.col("u")
-
-
-def value(side: str, i: int) -> Column:
-    return F.col(f"{side}_{i}")
-
-
-def side_canon(prep: Prepared, side: str, i: int) -> Column:
-    return C.canon(value(side, i), prep.aligned[i])
+def duplicate() -> Column:
+    return (F.col("n_l") > 1) | (F.col("n_r") > 1)
 
 
-def cell_equal(prep: Prepared, i: int) -> Column:
-    return F.col(f"e_{i}")
-
-
-def all_equal(prep: Prepared) -> Column:
-    eqs = [cell_equal(prep, i) for i in range(len(prep.value_cols))]
-    return reduce(lambda a, b: a & b, eqs, F.lit(True))
+def wide(count: Column) -> Column:
+    """A 64-bit count as a factor whose products and sums don't overflow."""
+    return count.cast("decimal(19,0)")
 
 
 #: Pair counts are summed as two 64-bit sums, of n_l * (n_r div SPLIT) and n_l * (n_r mod SPLIT): decimals a row are slow.
 SPLIT = 1 << 20
 
 
-def _weighted(cond: Column, name: str) -> list[Column]:
+def _pairs(cond: Column, name: str) -> list[Column]:
     high, low = F.shiftright("n_r", 20), F.col("n_r").bitwiseAND(F.lit(SPLIT - 1))
     return [F.sum(F.when(cond, F.col("n_l") * part)).alias(f"{name}{end}") for part, end in ((high, "__hi"), (low, "__lo"))]
 
@@ -133,75 +83,153 @@ def _joined_sums(name: str) -> Column:
     return (high * F.lit(SPLIT) + low).cast(PAIRS).alias(name)
 
 
-# -- one-row summary ------------------------------------------------------------
-
-def summary(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Every total of the pair in one aggregate over the keyed pass.
-
-    Per-column counters cover the uniform keys; mixed keys (``mixed_keys`` >
-    0) are added by :mod:`concord.operators.multiset`. Only weights and the
-    precomputed flags reach the aggregate.
-    """
-    n = len(prep.value_cols)
-    mixed = joined() & ~uniform()
-    plain = joined() & uniform()
+def key_summary(prep: Prepared, counts: DataFrame) -> DataFrame:
+    """One row: every total that the keys alone tell."""
     n_l, n_r = F.col("n_l"), F.col("n_r")
-    cols = [
+    size = F.octet_length(F.to_json(F.struct(*prep.flat_keys())))
+    out = counts.agg(
         F.sum(n_l).alias("left_rows"),
         F.sum(n_r).alias("right_rows"),
         F.count_if(n_l > 0).alias("left_keys"),
         F.count_if(n_r > 0).alias("right_keys"),
-        F.count_if((n_l > 0) & (n_r == 0)).alias(MISSING_IN_RIGHT),
-        F.count_if((n_r > 0) & (n_l == 0)).alias(MISSING_IN_LEFT),
-        F.count_if((n_l > 1) | (n_r > 1)).alias("duplicate_keys"),
-        *_weighted(joined(), "joined_pairs"),
+        F.count_if(n_r == 0).alias(MISSING_IN_RIGHT),
+        F.count_if(n_l == 0).alias(MISSING_IN_LEFT),
         F.count_if(joined()).alias("joined_keys"),
-        F.count_if(mixed).alias("mixed_keys"),
-        # size of the mixed-key set, measured (sizes its broadcast)
-        F.sum(F.when(mixed, F.octet_length(F.to_json(F.col(KEY))))).alias("mixed_key_bytes"),
-        *_weighted(mixed, "mixed_pairs"),
-        *_weighted(plain & all_equal(prep), "uniform_matching"),
-        *_weighted(plain, "uniform_pairs"),
-    ]
-    for i in range(n):
-        cols += _weighted(plain & F.col(f"e_{i}"), f"m_{i}")
-        cols += _weighted(plain & F.col(f"zl_{i}"), f"nl_{i}")
-        cols += _weighted(plain & F.col(f"zr_{i}"), f"nr_{i}")
-    out = pk.agg(*cols)
+        F.count_if(duplicate()).alias("duplicate_keys"),
+        F.count_if(duplicate() & joined()).alias("duplicate_joined_keys"),
+        # size of the duplicate-key set, measured (sizes its broadcast)
+        F.sum(F.when(duplicate(), size + ROW_OVERHEAD_BYTES)).alias("duplicate_key_bytes"),
+        *_pairs(joined(), "joined_pairs"),
+        *_pairs(joined() & duplicate(), "duplicate_pairs"),
+    )
     # sums over an empty input are NULL: report zeros instead
     return out.select(*[
         _joined_sums(c[:-4]) if c.endswith("__hi") else F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         for c in out.columns if not c.endswith("__lo")])
 
 
-def uniform_column_counts(prep: Prepared, summary_df: DataFrame) -> DataFrame:
-    """Unpivot the summary into (ci, column_name, matches, mismatches, null_left, null_right)."""
+# -- rows of duplicate keys, and all others --------------------------------------------
+
+def broadcast_limit(spark) -> int:
+    """The session's broadcast threshold in bytes; sizes may have a suffix (``64k``, ``10MB``)."""
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", value.lower())
+    if not m:
+        return -1  # not a size: nothing is broadcast on its account
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
+def same_key(prep: Prepared, left: str = "", right: str = "_d") -> Column:
+    """The flat key columns with the two prefixes agree (NULL with NULL)."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}")) for k in prep.flat_keys()])
+
+
+def split_by_keys(prep: Prepared, rows: DataFrame, keys: DataFrame, totals: Row, inside: bool) -> DataFrame:
+    """``rows`` whose key is among the duplicate ``keys`` (with the keys' ``n_l``, ``n_r``), or is not.
+
+    ``keys``: key counts of (some) duplicate keys; ``totals``: the key summary.
+    """
+    own = keys.select(*[F.col(k).alias(f"_d{k}") for k in prep.flat_keys()], "n_l", "n_r")
+    if 0 <= totals["duplicate_key_bytes"] <= broadcast_limit(rows.sparkSession):
+        parts = [F.broadcast(own)]
+    else:
+        n = F.col("n_l") + F.col("n_r")
+        least = max(2, -(-(totals["left_rows"] + totals["right_rows"]) // HEAVY))
+        parts = [F.broadcast(own.where(n >= least)), own.where(n < least)]
+    same = same_key(prep)
+    if not inside:
+        return reduce(lambda df, p: df.join(p, same, "left_anti"), parts, rows)
+    found = []
+    for p in parts:  # rows of heavy keys don't go to the shuffled join
+        found.append(rows.join(p, same).select(*rows.columns, "n_l", "n_r"))
+        rows = rows.join(p, same, "left_anti")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+# -- keys with one row a side ----------------------------------------------------------
+
+def single_rows(prep: Prepared, duplicates: DataFrame | None, totals: Row | None, only: DataFrame | None = None) -> DataFrame:
+    """One row per key that has at most one row a side: a full outer join.
+
+    ``duplicates`` (keys that have more, with the key summary ``totals``) are
+    left out; of ``only``, where given, no other key is read.
+    Columns: the key, ``n_l`` / ``n_r`` (0 or 1), each side's values as flat
+    columns ``l_i`` / ``r_i`` and ``e_i`` (cells equal, for joined keys).
+    """
+    n = len(prep.value_cols)
+
+    def side(i: int, letter: str) -> DataFrame:
+        rows = prep.rows(i)
+        if duplicates is not None:
+            rows = split_by_keys(prep, rows, duplicates, totals, inside=False)
+        if only is not None:
+            rows = rows.join(only, same_key(prep), "left_semi")
+        return rows.select(*[F.col(k).alias(f"{letter}{k}") for k in prep.flat_keys()], F.lit(1).cast("long").alias(f"n_{letter}"),
+                           *[F.col(f"v_{j}").alias(f"{letter}_{j}") for j in range(n)])
+
+    left, right = side(0, "l"), side(1, "r")
+    both = left.join(right, same_key(prep, "l", "r"), "full_outer")
+    key = F.struct(*[F.coalesce(f"l{f}", f"r{f}").alias(k) for f, k in zip(prep.flat_keys(), prep.keys)]).alias(KEY)
+    zero = F.lit(0).cast("long")
+    return both.select(
+        key, F.coalesce("n_l", zero).alias("n_l"), F.coalesce("n_r", zero).alias("n_r"),
+        *[F.col(f"{s}_{j}") for s in "lr" for j in range(n)],
+        *[C.same(value("l", j), value("r", j), prep.aligned[j]).alias(f"e_{j}") for j in range(n)],
+    )
+
+
+def value(side: str, i: int) -> Column:
+    return F.col(f"{side}_{i}")
+
+
+def cell_equal(prep: Prepared, i: int) -> Column:
+    return F.col(f"e_{i}")
+
+
+def all_equal(prep: Prepared) -> Column:
+    eqs = [cell_equal(prep, i) for i in range(len(prep.value_cols))]
+    return reduce(lambda a, b: a & b, eqs, F.lit(True))
+
+
+def differs(prep: Prepared) -> Column:
+    """The key is missing on a side, or some cell differs."""
+    return ~joined() | ~all_equal(prep)
+
+
+def single_counters(prep: Prepared) -> list[Column]:
+    """Aggregates over :func:`single_rows`; a joined key is one row pair."""
+    out = [F.count_if(joined()).alias("single_pairs"), F.count_if(joined() & all_equal(prep)).alias("single_matching")]
+    for i, t in enumerate(prep.aligned):
+        out += [F.count_if(joined() & F.col(f"e_{i}")).alias(f"m_{i}"),
+                F.count_if(joined() & C.is_null(value("l", i), t)).alias(f"nl_{i}"),
+                F.count_if(joined() & C.is_null(value("r", i), t)).alias(f"nr_{i}")]
+    return out
+
+
+COUNTS = ("matches", "mismatches", "null_left", "null_right")
+
+
+def column_counts(prep: Prepared, totals: DataFrame) -> DataFrame:
+    """Unpivot the counters into (ci, column_name, matches, mismatches, null_left, null_right)."""
     if not prep.value_cols:
-        return summary_df.select(
-            F.lit(0).alias("ci"), F.lit("").alias("column_name"),
-            *[F.lit(0).cast(PAIRS).alias(c) for c in ("matches", "mismatches", "null_left", "null_right")]).where(F.lit(False))
+        return totals.select(F.lit(0).alias("ci"), F.lit("").alias("column_name"),
+                             *[F.lit(0).cast(PAIRS).alias(c) for c in COUNTS]).where(F.lit(False))
     rows = [
-        F.struct(
-            F.lit(i).alias("ci"),
-            F.lit(c).alias("column_name"),
-            F.col(f"m_{i}").alias("matches"),
-            (F.col("uniform_pairs") - F.col(f"m_{i}")).cast(PAIRS).alias("mismatches"),
-            F.col(f"nl_{i}").alias("null_left"),
-            F.col(f"nr_{i}").alias("null_right"),
-        )
+        F.struct(F.lit(i).alias("ci"), F.lit(c).alias("column_name"), F.col(f"m_{i}").cast(PAIRS).alias("matches"),
+                 (F.col("single_pairs") - F.col(f"m_{i}")).cast(PAIRS).alias("mismatches"),
+                 F.col(f"nl_{i}").cast(PAIRS).alias("null_left"), F.col(f"nr_{i}").cast(PAIRS).alias("null_right"))
         for i, c in enumerate(prep.value_cols)
     ]
-    return summary_df.select(F.inline(F.array(*rows)))
+    return totals.select(F.inline(F.array(*rows)))
 
 
-# -- differences of uniform keys ---------------------------------------------------
+# -- differences -------------------------------------------------------------------------
 
-def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Mismatching cells of uniform joined keys: one row per (key, column).
+def single_differences(prep: Prepared, rows: DataFrame) -> DataFrame:
+    """Mismatching cells of joined keys in ``rows``: one row per (key, column).
 
     Cells are filtered inside the array before ``inline``, so matching
-    cells never become rows. ``pairs`` is the number of row pairs the line
-    stands for (1 for unique keys).
+    cells never become rows.
     """
     cells = [
         F.struct(
@@ -215,42 +243,34 @@ def uniform_differences(prep: Prepared, pk: DataFrame) -> DataFrame:
         )
         for i, c in enumerate(prep.value_cols)
     ]
+    one = [F.lit(1).cast("long").alias(c) for c in ("left_rows", "right_rows")]
     if not cells:
-        return pk.select(KEY, F.lit(0).alias("ci"), F.lit("").alias("column_name"),
-                         F.lit("").alias("left_value"), F.lit("").alias("right_value"),
-                         F.lit("").alias("ls"), F.lit("").alias("rs"),
-                         pairs().alias("pairs")).where(F.lit(False))
-    p = pairs()
+        empty = ("ci int", "column_name string", "left_value string", "right_value string", "ls string", "rs string")
+        return rows.where(F.lit(False)).select(
+            KEY, *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in empty], *one, F.lit(1).cast(PAIRS).alias("pairs"))
     return (
-        pk.where(joined() & uniform())
-        .select(KEY, p.alias("pairs"), F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
-        .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", "pairs")
+        rows.where(joined())
+        .select(KEY, F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
+        .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", *one, F.lit(1).cast(PAIRS).alias("pairs"))
     )
 
 
-def record_verdicts(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Per joined uniform key: pairs, number and names of differing columns.
-
-    :func:`concord.operators.multiset.verdicts` has the keys whose copies differ.
-    """
+def record_verdicts(prep: Prepared, rows: DataFrame) -> DataFrame:
+    """Per joined key of ``rows``: pairs, number and names of differing columns."""
     flags = [F.when(~cell_equal(prep, i), F.lit(c)) for i, c in enumerate(prep.value_cols)]
     names = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>")
     return (
-        pk.where(joined() & uniform())
-        .select(KEY, pairs().alias("pairs"), names.alias("differing"))
-        .select(KEY, "pairs", F.size("differing").alias("differing_columns"),
+        rows.where(joined())
+        .select(KEY, names.alias("differing"))
+        .select(KEY, F.lit(1).cast(PAIRS).alias("pairs"), F.size("differing").alias("differing_columns"),
                 F.array_join("differing", ",").alias("differing_list"))
     )
 
 
 # -- missing keys ---------------------------------------------------------------
 
-def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
-    """Keys present on one side only, with that side's created / modified.
-
-    For a key with several rows the values come from its greatest value
-    tuple, so the choice is deterministic.
-    """
+def missing_keys(prep: Prepared, rows: DataFrame) -> DataFrame:
+    """Keys of ``rows`` present on one side only, with that side's created / modified."""
     def time_of(side: str, name):
         if name is None:
             return F.lit("N/A")
@@ -259,13 +279,12 @@ def missing_keys(prep: Prepared, pk: DataFrame) -> DataFrame:
         i = prep.value_cols.index(name)
         return TC.fmt_time(value(side, i), prep.aligned[i])
 
-    n_l, n_r = F.col("n_l"), F.col("n_r")
-    in_right = F.lit(MISSING_IN_RIGHT)
+    n_r = F.col("n_r")
     return (
-        pk.where(((n_l > 0) & (n_r == 0)) | ((n_r > 0) & (n_l == 0)))
+        rows.where(~joined())
         .select(
             KEY,
-            F.when(n_r == 0, in_right).otherwise(F.lit(MISSING_IN_LEFT)).alias("side"),
+            F.when(n_r == 0, F.lit(MISSING_IN_RIGHT)).otherwise(F.lit(MISSING_IN_LEFT)).alias("side"),
             C.record_id(F.col(KEY), prep.keys).alias("record_id"),
             F.when(n_r == 0, time_of("l", prep.created)).otherwise(time_of("r", prep.created)).alias("created_date"),
             F.when(n_r == 0, time_of("l", prep.modified)).otherwise(time_of("r", prep.modified)).alias("last_modified"),

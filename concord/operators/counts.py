@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from concord.functions import format as FM
 from concord.functions import timecols as TC
 from concord.plans.prepare import NO_TIME_COLUMNS, Prepared
+from concord.sources.schema import quoted
 
 
 def _side_counts(df: DataFrame, side: int, created, modified) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total")]
     if created is not None and modified is not None:
-        s1, s2, s3 = TC.scenario_flags(F.col(created), F.col(modified))
+        s1, s2, s3 = TC.scenario_flags(F.col(quoted(created)), F.col(quoted(modified)))
         aggs += [F.count_if(s1).alias("s1"), F.count_if(s2).alias("s2"), F.count_if(s3).alias("s3")]
     else:
         aggs += [F.lit(None).cast("long").alias(n) for n in ("s1", "s2", "s3")]

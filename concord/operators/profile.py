@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from concord.functions import canon as C
 from concord.functions import timecols as TC
 from concord.plans.prepare import Prepared
+from concord.sources.schema import quoted
 
 
 def null_empty_profile(prep: Prepared) -> DataFrame:
     def side(df: DataFrame, types, label: str) -> DataFrame:
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, (c, t) in enumerate(zip(prep.value_cols, types)):
-            v = C.align(F.col(c), t, prep.aligned[i])
+            v = C.align(F.col(quoted(c)), t, prep.aligned[i])
             aggs.append(F.count_if(C.canon(v, prep.aligned[i]).isNull()).alias(f"z_{i}"))
             aggs.append(F.count_if(C.is_blank(v, prep.aligned[i])).alias(f"b_{i}"))
         one = df.agg(*aggs)
@@ -41,8 +42,8 @@ def null_empty_profile(prep: Prepared) -> DataFrame:
 def window_extract(prep: Prepared) -> DataFrame:
     """Keys and created time of the rows each side keeps after the window."""
     def side(df: DataFrame, label: str) -> DataFrame:
-        key = F.struct(*[F.col(k) for k in prep.keys])
-        created = (TC.fmt_time(F.col(prep.created), df.schema[prep.created].dataType)
+        key = F.struct(*[F.col(quoted(k)) for k in prep.keys])
+        created = (TC.fmt_time(F.col(quoted(prep.created)), df.schema[prep.created].dataType)
                    if prep.created else F.lit("N/A"))
         return df.select(F.lit(prep.name).alias("table_name"), F.lit(label).alias("side"),
                          C.record_id(key, prep.keys).alias("record_id"), created.alias("creation_time"))

@@ -15,6 +15,7 @@ from concord.config import RunConfig, TablePair
 from concord.functions import canon as C
 from concord.functions import timecols as TC
 from concord.plans.prepare import NO_TIME_COLUMNS, OK
+from concord.sources.schema import quoted
 
 
 def _resolve(pair: TablePair):
@@ -30,7 +31,7 @@ def old_rows(pair: TablePair, cfg: RunConfig):
     if created is None or modified is None:
         return NO_TIME_COLUMNS, None
     left = pair.left
-    cond = TC.older_than(F.col(created), F.col(modified), left.schema[created].dataType,
+    cond = TC.older_than(F.col(quoted(created)), F.col(quoted(modified)), left.schema[created].dataType,
                          left.schema[modified].dataType, cfg.retention_threshold())
     return OK, left.where(cond)
 
@@ -63,14 +64,14 @@ def retention_sample(pair: TablePair, cfg: RunConfig, limit: int | None = None)
             F.lit("").alias("creation_time"), F.lit("").alias("last_modified_time"),
             F.lit(0).alias("rn"))
     keys = list(pair.keys)
-    key = F.struct(*[F.col(k) for k in keys])
+    key = F.struct(*[F.col(quoted(k)) for k in keys])
     c_type, m_type = rows.schema[created].dataType, rows.schema[modified].dataType
-    top = rows.orderBy(F.col(created).desc(), *[F.col(k).asc_nulls_first() for k in keys]).limit(limit)
-    order = Window.orderBy(F.col(created).desc(), *[F.col(k).asc_nulls_first() for k in keys])
+    top = rows.orderBy(F.col(quoted(created)).desc(), *[F.col(quoted(k)).asc_nulls_first() for k in keys]).limit(limit)
+    order = Window.orderBy(F.col(quoted(created)).desc(), *[F.col(quoted(k)).asc_nulls_first() for k in keys])
     return top.select(
         F.lit(pair.name).alias("table_name"),
         C.record_id(key, keys).alias("record_id"),
-        TC.fmt_time(F.col(created), c_type, missing=None).alias("creation_time"),
-        TC.fmt_time(F.col(modified), m_type, missing=None).alias("last_modified_time"),
+        TC.fmt_time(F.col(quoted(created)), c_type, missing=None).alias("creation_time"),
+        TC.fmt_time(F.col(quoted(modified)), m_type, missing=None).alias("last_modified_time"),
         F.row_number().over(order).alias("rn"),
     )

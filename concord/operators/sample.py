@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from concord.config import TablePair
 from concord.functions import canon as C
+from concord.sources.schema import quoted
 
 
 def key_hash_bucket(keys: Sequence[Column], types: Sequence[T.DataType], aligned: Sequence[T.DataType],
@@ -37,7 +38,7 @@ def hash_sample(pair: TablePair, fraction_num: int, buckets: int = 100) -> Table
     aligned = [C.aligned_type(a, b, pair.bool_as_int) for a, b in zip(lts, rts)]
 
     def part(df: DataFrame, names, types) -> DataFrame:
-        return df.where(key_hash_bucket([F.col(k) for k in names], types, aligned, buckets) < fraction_num)
+        return df.where(key_hash_bucket([F.col(quoted(k)) for k in names], types, aligned, buckets) < fraction_num)
 
     return replace(pair, left=part(pair.left, keys, lts), right=part(pair.right, right_keys, rts))
 

@@ -164,7 +164,7 @@ def q_top_differences(spark, d):
 
 
 def q_search_differences(spark, d):
-    return SAMPLE.search_record_id(_orders(spark, d).all_differences().drop("__k", "ls", "rs"), SEARCH_TERM)
+    return SAMPLE.search_record_id(_orders(spark, d).all_differences().drop("__k", "ls", "rs", "left_rows", "right_rows"), SEARCH_TERM)
 
 
 def q_fused_reconcile(spark, d):

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from concord.config import RunConfig, TablePair
 from concord.functions import canon as C
 from concord.functions import timecols as TC
-from concord.sources.schema import apply_mapping, common_columns
+from concord.sources.schema import apply_mapping, common_columns, quoted
 
 # Table statuses.
 OK = "OK"
@@ -37,7 +37,6 @@ DISABLED = "DISABLED"
 
 KEY = "__k"      # struct of the key columns: NULL-safe under plain equality
 SIDE = "__s"     # 0 = left, 1 = right
-TUPLE = "__t"    # struct of the aligned compared columns
 
 
 @dataclass
@@ -66,24 +65,25 @@ class Prepared:
         """The key struct rebuilt from the flat key columns, after grouping."""
         return F.struct(*[F.col(f).alias(k) for f, k in zip(self.flat_keys(), self.keys)]).alias(KEY)
 
-    def tagged(self, side: int) -> DataFrame:
-        """(flat key columns, side, aligned value struct) rows of one side.
+    def rows(self, side: int, values: bool = True) -> DataFrame:
+        """(flat key columns, aligned values ``v_0``, ``v_1``, ...) of one side's rows.
 
         Keys stay flat so aggregations group and sort on plain columns
-        (prefix / radix sort); grouping is NULL-safe by itself.
+        (prefix / radix sort); grouping is NULL-safe by itself. Without
+        ``values`` only the keys are read.
         """
         df, types = (self.left, self.left_types) if side == 0 else (self.right, self.right_types)
-        values = [
-            C.align(F.col(c), src, tgt).alias(c)
-            for c, src, tgt in zip(self.value_cols, types, self.aligned)
-        ]
-        tuple_col = F.struct(*values) if values else F.struct(F.lit(None).cast("string").alias("__none"))
-        keys = [C.align(F.col(k), df.schema[k].dataType, t).alias(f)
+        keys = [C.align(F.col(quoted(k)), df.schema[k].dataType, t).alias(f)
                 for k, t, f in zip(self.keys, self.key_types, self.flat_keys())]
-        return df.select(*keys, F.lit(side).cast("tinyint").alias(SIDE), tuple_col.alias(TUPLE))
+        cells = [C.align(F.col(quoted(c)), src, tgt).alias(f"v_{i}")
+                 for i, (c, src, tgt) in enumerate(zip(self.value_cols, types, self.aligned))] if values else []
+        return df.select(*keys, *cells)
 
-    def both_tagged(self) -> DataFrame:
-        return self.tagged(0).unionByName(self.tagged(1))
+    def tagged(self, side: int, values: bool = True) -> DataFrame:
+        return self.rows(side, values).withColumn(SIDE, F.lit(side).cast("tinyint"))
+
+    def both_tagged(self, values: bool = True) -> DataFrame:
+        return self.tagged(0, values).unionByName(self.tagged(1, values))
 
 
 def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
@@ -118,8 +118,8 @@ def prepare(pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
         else:
             window_status = OK
             lt, rt = left.schema[created].dataType, right.schema[created].dataType
-            left = left.filter(TC.in_window(F.col(created), lt, start, end))
-            right = right.filter(TC.in_window(F.col(created), rt, start, end))
+            left = left.filter(TC.in_window(F.col(quoted(created)), lt, start, end))
+            right = right.filter(TC.in_window(F.col(quoted(created)), rt, start, end))
 
     value_cols = [c for c in common if c not in keys]
     if columns is not None:

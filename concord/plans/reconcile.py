@@ -1,14 +1,17 @@
-"""Reconciliation of one table pair: every result table from one keyed pass.
+"""Reconciliation of one table pair: every result table from two steps.
 
 Job count for a pair with window and retention on:
 
 * counts + scenarios: one scan per side (pushed-down window, partial
   aggregate, one-row exchange);
-* comparison: one union + group-by-key shuffle over both sides, kept
-  (persisted, or checkpointed to the shared ``spark.checkpoint.dir``) so
-  the summary, differences and missing lists all read it instead of
-  re-scanning the tables;
-* mixed duplicate keys (rare): one extra pass over just their rows;
+* keys: one scan of both sides' key columns, one aggregate by key -- row and
+  missing totals, and the duplicate keys;
+* comparison: one full outer join of the rows of all other keys. Its counters
+  are taken while the rows that differ or are missing -- and no others -- are
+  written to the shared ``spark.checkpoint.dir`` (or persisted), where the
+  difference and missing lists read them;
+* duplicate keys (rare): their rows are read once more into one kept table of
+  counted value tuples;
 * retention: one scan of the left side with its own pushed-down filter.
 
 Only one-row summaries reach the driver.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from typing import Optional, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.config import FAILED_BELOW, RunConfig, TablePair
@@ -27,6 +30,7 @@ from concord.functions import canon as C
 from concord.functions import format as FM
 from concord.operators import compare as CMP
 from concord.operators import counts as CNT
+from concord.operators import digest as DIG
 from concord.operators import multiset as MS
 from concord.plans.prepare import (EMPTY_BOTH, EMPTY_LEFT, EMPTY_RIGHT, KEY, OK, Prepared,
                                    prepare)
@@ -48,7 +52,7 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     if mode == "auto":
         mode = "table" if checkpoint_root(spark) else "persist"
     if mode == "table":
-        path = shared_dir(spark, "concord-keyed")
+        path = shared_dir(spark, "concord-kept")
         df.write.mode("error").parquet(path)
         kept = spark.read.parquet(path)
         kept.written_to = path  # the frame owns its folder: ``release`` removes it
@@ -76,25 +80,44 @@ def release(df: Optional[DataFrame]) -> None:
         df.unpersist()
 
 
+def kept_with_counters(df: DataFrame, keep: Column, counters: Sequence[Column], mode: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that satisfy ``keep``, kept, and the one-row ``counters`` over all rows of ``df``.
+
+    Where rows are written, the counters are observed by the same job. ``df``
+    must have rows then: an empty plan may be optimized away with its counters.
+    """
+    spark = df.sparkSession
+    if mode == "auto":
+        mode = "table" if checkpoint_root(spark) else "persist"
+    if mode != "table":
+        return materialize(df.where(keep), mode), df.agg(*counters).cache()
+    seen = Observation()
+    kept = materialize(df.observe(seen, *counters).where(keep), mode)
+    names = df.limit(0).agg(*counters).columns
+    return kept, spark.createDataFrame([tuple(seen.get[c] for c in names)], ", ".join(f"`{c}` long" for c in names))
+
+
 class Reconciliation:
-    """Lazy result tables of one pair; the keyed pass runs at most once."""
+    """Lazy result tables of one pair; each step runs at most once."""
 
     def __init__(self, pair: TablePair, cfg: RunConfig, windowed: Optional[bool] = None,
                  columns: Optional[Sequence[str]] = None, keep: bool = True):
-        """``keep``: materialize the keyed pass (``cfg.materialize``) before
-        the first output, for reuse by several outputs (the default). A
-        caller that reads only the one-row summary passes ``keep=False``:
-        the keyed pass is then persisted lazily, filled as a side effect of
-        the summary job (one job, no separate write), and re-read only when
-        mixed duplicate keys need it."""
+        """``keep``: keep the rows that differ or are missing (``cfg.materialize``)
+        while the counters are taken, for reuse by several outputs (the
+        default). A caller that reads only counters passes ``keep=False``:
+        nothing is written then."""
         self.pair = pair
         self.cfg = cfg
         self.keep = keep
         self.prep: Prepared = prepare(pair, cfg, windowed, columns)
-        self._pk: Optional[DataFrame] = None
-        self._summary_df: Optional[DataFrame] = None
+        self._key_summary: Optional[DataFrame] = None
         self._summary = None
-        self._mixed = None
+        self._duplicates: Optional[DataFrame] = None
+        self._drift: Optional[DataFrame] = None
+        self._totals: Optional[DataFrame] = None
+        self._digests = None
+        self._tuples: Optional[DataFrame] = None
+        self._values: Optional[DataFrame] = None
         self._counts: Optional[DataFrame] = None
 
     @property
@@ -105,22 +128,17 @@ class Reconciliation:
     def name(self) -> str:
         return self.pair.name
 
-    # -- the keyed pass -------------------------------------------------------
-    def per_key(self) -> DataFrame:
-        if self._pk is None:
-            mode = self.cfg.materialize if self.keep else "persist"
-            self._pk = materialize(CMP.per_key(self.prep), mode)
-        return self._pk
-
-    def summary_df(self) -> DataFrame:
-        if self._summary_df is None:
-            self._summary_df = CMP.summary(self.prep, self.per_key()).cache()
-        return self._summary_df
+    # -- keys -------------------------------------------------------------------
+    def key_summary(self) -> DataFrame:
+        """One row: totals that the keys alone tell."""
+        if self._key_summary is None:
+            self._key_summary = CMP.key_summary(self.prep, CMP.key_counts(self.prep)).cache()
+        return self._key_summary
 
     def summary(self):
-        """The one-row totals (collected once; a few numbers per column)."""
+        """The one-row key totals (collected once; a few numbers)."""
         if self._summary is None:
-            self._summary = self.summary_df().first()
+            self._summary = self.key_summary().first()
         return self._summary
 
     def status(self) -> str:
@@ -135,19 +153,70 @@ class Reconciliation:
             return EMPTY_RIGHT
         return OK
 
-    def has_mixed(self) -> bool:
-        return self.prep.status == OK and self.summary()["mixed_keys"] > 0
-
-    def _mixed_parts(self):
-        """Value counts and matching record pairs of mixed keys (kept once)."""
-        if self._mixed is None:
-            s = self.summary()
-            rows = MS.mixed_rows(self.prep, self.per_key(), s["mixed_keys"], s["mixed_key_bytes"])
-            # short lineage (mixed rows -> one aggregate): keep in executors
-            mode = "none" if self.cfg.materialize == "none" else "persist"
-            vc = materialize(MS.value_counts(self.prep, rows), mode)
-            self._mixed = (vc, MS.matching_record_pairs(self.prep, rows))
-        return self._mixed
+    def has_duplicates(self) -> bool:
+        """Some key that is on both sides has several rows on one."""
+        return self.summary()["duplicate_joined_keys"] > 0
+
+    def duplicate_keys(self) -> Optional[DataFrame]:
+        """Counts of the duplicate keys (kept once), or None without any."""
+        if not self.summary()["duplicate_keys"]:
+            return None
+        if self._duplicates is None:
+            self._duplicates = materialize(CMP.key_counts(self.prep).where(CMP.duplicate()), self.cfg.materialize)
+        return self._duplicates
+
+    # -- rows ---------------------------------------------------------------------
+    def rows(self) -> DataFrame:
+        """One row per key with at most one row a side, with both sides' values (not kept)."""
+        return CMP.single_rows(self.prep, self.duplicate_keys(), self.summary())
+
+    def _compared(self) -> None:
+        """Keep the rows that differ or are missing, and the counters over all rows."""
+        if self._drift is not None:
+            return
+        mode = self.cfg.materialize
+        s = self.summary()
+        both = s["joined_keys"] > s["duplicate_joined_keys"]  # some rows are joined
+        if self.cfg.digest_prefilter and both:
+            self._digests, self._drift, self._totals = DIG.compared(
+                self.prep, self.duplicate_keys(), s, lambda *a: kept_with_counters(*a, mode))
+        elif both:
+            self._drift, self._totals = kept_with_counters(
+                self.rows(), CMP.differs(self.prep), CMP.single_counters(self.prep), mode)
+        else:
+            self._drift = materialize(self.rows().where(CMP.differs(self.prep)), mode)
+            self._totals = self._drift.agg(*CMP.single_counters(self.prep)).cache()
+
+    def drift(self) -> DataFrame:
+        """The rows of :meth:`rows` that differ or are missing (kept once)."""
+        self._compared()
+        return self._drift
+
+    def totals(self) -> DataFrame:
+        """One row: the counters of keys with one row a side."""
+        if self._totals is None:
+            if self.keep or self.cfg.digest_prefilter:
+                self._compared()
+            else:
+                self._totals = self.rows().agg(*CMP.single_counters(self.prep)).cache()
+        return self._totals
+
+    # -- duplicate keys -------------------------------------------------------------
+    def tuples(self) -> DataFrame:
+        """Counted value tuples of duplicate keys (kept once)."""
+        if self._tuples is None:
+            self._tuples = materialize(MS.tuple_counts(self.prep, self.duplicate_keys(), self.summary()), self.cfg.materialize)
+        return self._tuples
+
+    def values(self) -> DataFrame:
+        """Counted values of duplicate keys, column by column (kept once)."""
+        if self._values is None:
+            mode = "none" if self.cfg.materialize == "none" else "persist"  # short lineage: kept in executors
+            self._values = materialize(MS.value_counts(self.prep, self.tuples()), mode)
+        return self._values
+
+    def duplicate_pairs(self) -> int:
+        return int(self.summary()["duplicate_pairs"])
 
     # -- counts ---------------------------------------------------------------
     def side_counts(self) -> DataFrame:
@@ -164,11 +233,11 @@ class Reconciliation:
 
     # -- field comparison -----------------------------------------------------------
     def _column_counts(self) -> DataFrame:
-        counts = CMP.uniform_column_counts(self.prep, self.summary_df())
-        if self.has_mixed():
-            vc, _ = self._mixed_parts()
-            counts = counts.unionByName(MS.column_counts(self.prep, vc)).groupBy("ci", "column_name").agg(
-                *[F.sum(c).cast(CMP.PAIRS).alias(c) for c in ("matches", "mismatches", "null_left", "null_right")])
+        counts = CMP.column_counts(self.prep, self.totals())
+        if self.has_duplicates() and self.prep.value_cols:
+            more = MS.column_counts(self.prep, self.values(), self.duplicate_pairs())
+            counts = counts.unionByName(more).groupBy("ci", "column_name").agg(
+                *[F.sum(c).cast(CMP.PAIRS).alias(c) for c in CMP.COUNTS])
         return counts
 
     def column_stats(self) -> DataFrame:
@@ -180,63 +249,77 @@ class Reconciliation:
             return self._empty_column_stats()
         rate = FM.match_rate(F.col("matches"), F.col("matches") + F.col("mismatches"))
         return self._column_counts().select(
-            F.lit(self.name).alias("table_name"), "column_name", "matches", "mismatches",
-            "null_left", "null_right", rate.alias("match_rate"),
+            F.lit(self.name).alias("table_name"), "column_name", *CMP.COUNTS, rate.alias("match_rate"),
             FM.column_band(rate).alias("band"), (rate < F.lit(FAILED_BELOW)).alias("failed"),
         )
 
     def _empty_column_stats(self) -> DataFrame:
-        counts = ", ".join(f"{c} {CMP.PAIRS}" for c in ("matches", "mismatches", "null_left", "null_right"))
+        counts = ", ".join(f"{c} {CMP.PAIRS}" for c in CMP.COUNTS)
         schema = f"table_name string, column_name string, {counts}, match_rate double, band string, failed boolean"
         return self.spark.createDataFrame([], schema)
 
+    def _matching(self) -> DataFrame:
+        """One row: row pairs that match on every column."""
+        m = self.totals().select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"))
+        if self.has_duplicates():
+            m = m.union(MS.matching_pairs(self.tuples(), self.duplicate_pairs())).agg(F.sum("matching").cast(CMP.PAIRS).alias("matching"))
+        return m
+
     def record_stats(self) -> DataFrame:
         """Joined record pairs, how many match on every column, how many not."""
-        s = self.summary_df()
-        matching = F.col("uniform_matching")
-        if self.has_mixed():
-            _, mixed = self._mixed_parts()
-            s = s.unionByName(mixed.select(F.col("mixed_matching").alias("uniform_matching")),
-                              allowMissingColumns=True).agg(
-                F.max("joined_pairs").alias("joined_pairs"), F.sum("uniform_matching").alias("uniform_matching"))
-        return s.select(
+        total = F.lit(self.summary()["joined_pairs"]).cast(CMP.PAIRS)
+        return self._matching().select(
             F.lit(self.name).alias("table_name"),
-            F.col("joined_pairs").cast(CMP.PAIRS).alias("total_records"),
-            matching.cast(CMP.PAIRS).alias("matching_records"),
-            (F.col("joined_pairs") - matching).cast(CMP.PAIRS).alias("mismatched_records"),
+            total.alias("total_records"),
+            F.col("matching").alias("matching_records"),
+            (total - F.col("matching")).cast(CMP.PAIRS).alias("mismatched_records"),
         )
 
-    def all_differences(self, first: Optional[int] = None) -> DataFrame:
-        """Every differing (record, column), uncapped, with pair multiplicity.
+    _LINE = ("column_name", KEY, "left_value", "right_value", "left_rows", "right_rows", "pairs", "ls", "rs")
 
-        For a duplicated key whose copies differ, a line per differing value
-        combination. ``first`` is for lists of that length per column: such
-        keys then give the combinations among which the first ``first`` lie.
-        """
-        d = CMP.uniform_differences(self.prep, self.per_key())
-        if self.has_mixed():
-            vc, _ = self._mixed_parts()
-            d = d.unionByName(MS.differences(self.prep, vc, first))
-        return d.select(
+    def _listed(self, lines: DataFrame) -> DataFrame:
+        return lines.select(
             F.lit(self.name).alias("table_name"), "column_name", KEY,
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
-            "left_value", "right_value", F.col("pairs").cast(CMP.PAIRS).alias("pairs"), "ls", "rs",
-        )
+            "left_value", "right_value", "left_rows", "right_rows", F.col("pairs").cast(CMP.PAIRS).alias("pairs"), "ls", "rs")
+
+    def all_differences(self) -> DataFrame:
+        """Every difference, uncapped, in linear form: a line per differing (key, column), or per value of it.
+
+        A key with one row a side gives one line with both values. So does a
+        duplicate key whose rows hold one value a side; otherwise each value
+        has its line (:func:`concord.operators.multiset.differences`).
+        """
+        d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
+        if self.has_duplicates() and self.prep.value_cols:
+            d = d.unionByName(MS.differences(self.prep, self.values()).select(*self._LINE))
+        return self._listed(d)
 
     def top_differences(self, limit: Optional[int] = None) -> DataFrame:
-        """First ``limit`` differences per column in key order (then values)."""
+        """First ``limit`` differences per column in key order (then values).
+
+        For a duplicate key, a line per differing combination of values.
+        """
         limit = self.cfg.max_differences if limit is None else limit
+        d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
+        if self.has_duplicates() and self.prep.value_cols:
+            d = d.unionByName(MS.first_differences(self.prep, self.values(), self.duplicate_pairs(), limit).select(*self._LINE))
         w = Window.partitionBy("column_name").orderBy(
             F.col(KEY).asc_nulls_first(), F.col("ls").asc_nulls_first(), F.col("rs").asc_nulls_first())
-        return (self.all_differences(limit).withColumn("rn", F.row_number().over(w))
-                .where(F.col("rn") <= limit).drop(KEY, "ls", "rs"))
+        return (self._listed(d).withColumn("rn", F.row_number().over(w))
+                .where(F.col("rn") <= limit).drop(KEY, "ls", "rs", "left_rows", "right_rows"))
 
     def record_verdicts(self) -> DataFrame:
         """One row per joined key: its pairs and the columns in which any pair differs."""
-        v = CMP.record_verdicts(self.prep, self.per_key())
-        if self.has_mixed():
-            vc, _ = self._mixed_parts()
-            v = v.unionByName(MS.verdicts(self.prep, vc))
+        v = CMP.record_verdicts(self.prep, self.rows())
+        if self.has_duplicates():
+            if self.prep.value_cols:
+                more = MS.verdicts(self.prep, self.values(), self.duplicate_pairs())
+            else:
+                more = self.duplicate_keys().where(CMP.joined()).select(
+                    self.prep.key_from_flat(), MS.product("n_l", "n_r", False).alias("pairs"),
+                    F.lit(0).alias("differing_columns"), F.lit("").alias("differing_list"))
+            v = v.unionByName(more)
         return v.select(
             F.lit(self.name).alias("table_name"),
             C.record_id(F.col(KEY), self.prep.keys).alias("record_id"),
@@ -244,34 +327,40 @@ class Reconciliation:
 
     def fused(self) -> DataFrame:
         """One row: row, pair and missing totals and the matches of every column, all keys included."""
-        s = self.summary_df()
-        cols = ["joined_pairs", "left_rows", "right_rows", "missing_in_right", "missing_in_left"]
+        s = self.summary()
         names = [f"m_{i}" for i in range(len(self.prep.value_cols))]
-        s = s.select(*cols, "uniform_matching", *names)
-        if self.has_mixed():
-            vc, mixed = self._mixed_parts()
-            per_col = MS.column_counts(self.prep, vc).agg(*[
-                F.max(F.when(F.col("ci") == i, F.col("matches"))).alias(m) for i, m in enumerate(names)])
-            extra = mixed.select(F.col("mixed_matching").alias("uniform_matching"))
-            s = s.unionByName(extra, allowMissingColumns=True).unionByName(per_col, allowMissingColumns=True).agg(
-                *[F.max(c).alias(c) for c in cols], *[F.sum(c).alias(c) for c in ("uniform_matching", *names)])
-        matching = F.col("uniform_matching").cast(CMP.PAIRS)
-        return s.select(
+        parts = self.totals().select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"),
+                                     *[F.col(m).cast(CMP.PAIRS).alias(m) for m in names])
+        if self.has_duplicates():
+            parts = parts.unionByName(MS.matching_pairs(self.tuples(), self.duplicate_pairs()).toDF("matching"), allowMissingColumns=True)
+            if names:
+                per_col = MS.column_counts(self.prep, self.values(), self.duplicate_pairs()).agg(*[
+                    F.max(F.when(F.col("ci") == i, F.col("matches"))).alias(m) for i, m in enumerate(names)])
+                parts = parts.unionByName(per_col, allowMissingColumns=True)
+            parts = parts.agg(*[F.sum(c).cast(CMP.PAIRS).alias(c) for c in ("matching", *names)])
+        total = F.lit(s["joined_pairs"]).cast(CMP.PAIRS)
+        known = {"left_total": "left_rows", "right_total": "right_rows"}
+        return parts.select(
             F.lit(self.name).alias("table_name"),
-            F.col("left_rows").alias("left_total"), F.col("right_rows").alias("right_total"),
-            F.col("joined_pairs").alias("total_records"), matching.alias("matching_records"),
-            (F.col("joined_pairs") - matching).cast(CMP.PAIRS).alias("mismatched_records"),
-            "missing_in_right", "missing_in_left",
-            *[F.col(m).cast(CMP.PAIRS).alias(f"matches_{c}") for m, c in zip(names, self.prep.value_cols)])
+            *[F.lit(s[c]).cast("long").alias(a) for a, c in known.items()],
+            total.alias("total_records"), F.col("matching").alias("matching_records"),
+            (total - F.col("matching")).cast(CMP.PAIRS).alias("mismatched_records"),
+            *[F.lit(s[c]).cast("long").alias(c) for c in (CMP.MISSING_IN_RIGHT, CMP.MISSING_IN_LEFT)],
+            *[F.col(m).alias(f"matches_{c}") for m, c in zip(names, self.prep.value_cols)])
 
     # -- missing records ------------------------------------------------------------
     def missing(self) -> DataFrame:
         """Every key found on one side only (uncapped)."""
-        return CMP.missing_keys(self.prep, self.per_key()).select(
-            F.lit(self.name).alias("table_name"), KEY, "side", "record_id", "created_date", "last_modified")
+        columns = (F.lit(self.name).alias("table_name"), KEY, "side", "record_id", "created_date", "last_modified")
+        found = CMP.missing_keys(self.prep, self.drift()).select(*columns)
+        s = self.summary()
+        if s["duplicate_keys"] > s["duplicate_joined_keys"]:
+            more = MS.missing_rows(self.prep, self.duplicate_keys(), s)
+            found = found.unionByName(CMP.missing_keys(self.prep, more).select(*columns))
+        return found
 
     def missing_totals(self) -> DataFrame:
-        return self.summary_df().select(
+        return self.key_summary().select(
             F.lit(self.name).alias("table_name"),
             F.col(CMP.MISSING_IN_RIGHT).cast("long").alias("missing_in_right"),
             F.col(CMP.MISSING_IN_LEFT).cast("long").alias("missing_in_left"),
@@ -286,17 +375,16 @@ class Reconciliation:
 
     @classmethod
     def for_missing(cls, pair: TablePair, cfg: RunConfig, keep: bool = True) -> "Reconciliation":
-        """A narrow reconciliation for missing records only: the keyed pass
-        carries the key and the created / modified columns, nothing else."""
+        """A narrow reconciliation for missing records only: rows carry the
+        key and the created / modified columns, nothing else."""
         full = prepare(pair, cfg)
         cols = [c for c in (full.created, full.modified) if c is not None]
         return cls(pair, cfg, columns=cols, keep=keep)
 
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
-        for df in (self._pk, self._summary_df, self._counts):
+        for df in (self._duplicates, self._drift, self._totals, self._digests, self._tuples, self._values,
+                   self._key_summary, self._counts):
             release(df)
-        if self._mixed is not None:
-            release(self._mixed[0])
-        self._pk = self._summary_df = self._counts = self._mixed = None
-        self._summary = None
+        self._duplicates = self._drift = self._totals = self._digests = self._tuples = self._values = None
+        self._key_summary = self._counts = self._summary = None

@@ -19,6 +19,11 @@ SCHEMA_ROW = T.StructType([
 ])
 
 
+def quoted(name: str) -> str:
+    """The name as one column reference, whatever dots or backticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def apply_mapping(right: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename right columns to their left names (``mapping``: left -> right).
 
@@ -29,7 +34,7 @@ def apply_mapping(right: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     if not inverse:
         return right
     names = [c for c in right.columns if c in inverse or c not in inverse.values()]
-    return right.select(*[F.col(f"`{c}`").alias(inverse.get(c, c)) for c in names])
+    return right.select(*[F.col(quoted(c)).alias(inverse.get(c, c)) for c in names])
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:

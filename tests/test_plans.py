@@ -1,12 +1,15 @@
-"""Plan shape: one shuffle for the keyed pass, pushdown, no Python, no pairs."""
+"""Plan shape: keys first, one join for rows, hash aggregates, pushdown, no Python, no pairs."""
+
+import re
 
 import pytest
 
 from concord import Reconciliation
 from concord.operators import compare as CMP
+from concord.operators import multiset as MS
 from concord.operators import retention as RET
 from concord.plans.catalog import QUERIES, cfg
-from concord.sources.fixtures import orders_pair
+from concord.sources.fixtures import lineitem_drift_pair, orders_pair
 from tests_paths import SF001
 
 
@@ -20,18 +23,46 @@ def plan_of(df, mode="formatted") -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-def test_keyed_pass_is_one_shuffle_with_partial_aggregation(spark):
-    rec = Reconciliation(orders_pair(spark, SF001), cfg(45))
-    plan = plan_of(CMP.per_key(rec.prep), "simple")
-    assert plan.count("Exchange hashpartitioning(__k") == 1, plan
-    assert "partial_count" in plan and "partial_max" in plan
-    assert "Join" not in plan                     # no join, so no pairs
+def test_key_counts_read_keys_alone_and_combine_before_one_shuffle(spark):
+    rec = Reconciliation(orders_pair(spark, SF001), cfg())
+    plan = plan_of(CMP.key_counts(rec.prep), "simple")
+    assert plan.count("Exchange hashpartitioning(__k") == 1 and "partial_count" in plan, plan
+    assert "SortAggregate" not in plan and "Join" not in plan
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_orderkey:bigint"}
+
+
+def test_rows_are_one_join_with_hash_aggregates(spark):
+    rec = Reconciliation(orders_pair(spark, SF001), cfg(), keep=False)
+    plan = plan_of(rec.rows().agg(*CMP.single_counters(rec.prep)), "simple")
+    assert plan.count("Join") == 1 and "FullOuter" in plan, plan
+    assert "SortAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # each side once
+
+
+def test_duplicate_keys_read_each_source_once_more(spark):
+    rec = Reconciliation(lineitem_drift_pair(spark, SF001), cfg())
+    plan = plan_of(MS.tuple_counts(rec.prep, rec.duplicate_keys(), rec.summary()), "simple")
+    assert plan.count("FileScan parquet") - plan.count("concord-kept") == 2, plan
+    assert "SortAggregate" not in plan and "partial_count" in plan
+    rec.tuples()
+    for df in (rec.values(), MS.matching_pairs(rec.tuples(), rec.duplicate_pairs())):
+        plan = plan_of(df, "simple")
+        assert "lineitem.parquet" not in plan and "SortAggregate" not in plan
+    rec.close()
+
+
+def test_only_the_first_list_joins_values(spark):
+    """Complete differences of duplicate keys pair no values with each other."""
+    rec = Reconciliation(lineitem_drift_pair(spark, SF001), cfg())
+    plan = plan_of(MS.differences(rec.prep, rec.values()), "simple")
+    assert "Join" not in plan, plan
+    rec.close()
 
 
 def test_window_pushed_into_scan(spark):
     rec = Reconciliation(orders_pair(spark, SF001), cfg(45))
-    plan = plan_of(CMP.per_key(rec.prep))
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
+    for df in (CMP.key_counts(rec.prep), rec.rows()):
+        assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan_of(df)
 
 
 def test_retention_pushed_into_scan(spark):

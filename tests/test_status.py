@@ -53,14 +53,14 @@ def test_column_mapping(spark):
     assert [r.column_name for r in rec.column_stats().collect()] == ["v"]
 
 
-def test_close_removes_written_keyed_table(spark):
+def test_close_removes_written_tables(spark):
     import os
     from concord.config import RunConfig
     from datetime import datetime
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, v string")
     rec = Reconciliation(TablePair("t", df, df), RunConfig(as_of=datetime(2001, 8, 1), materialize="table"))
     rec.column_stats().collect()
-    paths = [rec.per_key().written_to]
+    paths = [df.written_to for df in (rec.drift(), rec.duplicate_keys(), rec.tuples())]
     assert paths and all(os.path.isdir(p.replace("file:", "")) for p in paths)
     rec.close()
     assert not any(os.path.isdir(p.replace("file:", "")) for p in paths)
