@@ -9,7 +9,9 @@ Config (JSON)::
       "window": {"enabled": true, "days": 45},
       "retention": {"enabled": true, "days": 45},
       "max_differences": 100, "max_missing": 100,
-      "output": "/shared/reconciliation",     # result tables, by run_id
+      "output": "/shared/reconciliation",     # result tables, committed by run
+      "keep_runs": 10,                        # optional, drop older runs
+      "parallel_tables": 4,                   # optional, tables at a time
       "export_csv": "/shared/differences",    # optional, every difference
       "tables": [
         {"name": "orders", "keys": ["id"],
@@ -38,6 +40,7 @@ from typing import Any, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.config import RunConfig, TablePair
+from concord.operators.summary import COMPARED
 from concord.plans.run import run
 from concord.session import tune
 from concord.sources import readers, sinks
@@ -75,6 +78,7 @@ def load_config(spark: SparkSession, cfg: Mapping[str, Any]) -> tuple[list[Table
         max_differences=int(cfg.get("max_differences", 100)),
         max_missing=int(cfg.get("max_missing", 100)),
         run_id=cfg.get("run_id"),
+        parallel_tables=int(cfg.get("parallel_tables", 1)),
     )
     pairs = [
         TablePair(
@@ -104,14 +108,13 @@ def main(argv: list[str] | None = None) -> int:
     result = run(pairs, run_cfg)
     try:
         if cfg.get("output"):
-            result.write(cfg["output"])
+            result.write(cfg["output"], keep_runs=cfg.get("keep_runs"))
         if cfg.get("export_csv"):
             sinks.export_differences_csv(result.all_differences(spark), cfg["export_csv"])
         statuses = [r.asDict() for r in result["table_status"].collect()]
-        summary = result["run_summary"].collect() if "run_summary" in result.frames else []
         print(json.dumps({"run_id": result.run_id, "tables": statuses,
-                          "summary": summary[0].asDict() if summary else None}, default=str))
-        failed = any(s["status"] == "ERROR" for s in statuses)
+                          "summary": result["run_summary"].first().asDict()}, default=str))
+        failed = any(s["status"] not in COMPARED for s in statuses)
         return 1 if failed else 0
     finally:
         result.close()

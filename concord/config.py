@@ -49,6 +49,7 @@ class RunConfig:
     # Rows of equal digests are taken for equal, which is not certain: off unless asked for.
     digest_prefilter: bool = False
     run_id: Optional[str] = None
+    parallel_tables: int = 1  # tables of a run that are compared at a time
 
     @property
     def as_of_s(self) -> datetime:

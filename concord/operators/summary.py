@@ -14,6 +14,27 @@ from pyspark.sql import functions as F
 
 from concord.config import FAILED_BELOW
 from concord.functions import format as FM
+from concord.plans.prepare import EMPTY_BOTH, EMPTY_LEFT, EMPTY_RIGHT, OK
+
+
+#: Statuses of tables that were compared (an empty side compares as nothing in common).
+COMPARED = (OK, EMPTY_LEFT, EMPTY_RIGHT, EMPTY_BOTH)
+
+#: Columns of the parts that :func:`table_summary` folds.
+PARTS = {
+    "record_counts": "table_name string, left_total long, right_total long, difference long, status string",
+    "record_stats": "table_name string, total_records decimal(38,0), matching_records decimal(38,0), mismatched_records decimal(38,0)",
+    "missing_totals": "table_name string, missing_in_right long, missing_in_left long",
+    "date_scenarios": "table_name string, scenario int, left_count long, right_count long, difference long, status string",
+    "column_stats": "table_name string, column_name string, matches decimal(38,0), mismatches decimal(38,0), "
+                    "null_left decimal(38,0), null_right decimal(38,0), match_rate double, band string, failed boolean",
+    "field_differences": "table_name string, column_name string, record_id string, left_value string, right_value string, "
+                         "pairs decimal(38,0), rn int",
+    "missing_records": "table_name string, side string, record_id string, created_date string, last_modified string, rn int",
+    "retention_count": "table_name string, retention_days int, total_old_records long, deleted_records long, not_deleted long, "
+                       "status string",
+    "retention_violations": "table_name string, record_id string, creation_time string, last_modified_time string, rn int",
+}
 
 
 def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_totals: DataFrame,
@@ -24,7 +45,9 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
     by exactly one part), so no join is needed. ``has_mismatch``: counts
     differ or some joined record differs (the reference's flag; it ignores
     missing rows). ``perfect_match``: counts equal, scenarios equal, nothing
-    missing either way, every joined record matching.
+    missing either way, every joined record matching. Only tables that were
+    read and compared (``COMPARED``) have a rate or a clean bill; of others,
+    ``has_mismatch`` is NULL and ``perfect_match`` false.
     """
     parts = [
         record_counts.select("table_name", "left_total", "right_total", "status_counts"),
@@ -39,7 +62,7 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
     t = folded.groupBy("table_name").agg(*[F.max(c).alias(c) for c in value_cols])
     counts_differ = F.col("left_total") != F.col("right_total")
     has_mismatch = counts_differ | (F.col("mismatched_records") > 0)
-    failed = F.col("status") == "ERROR"  # nothing was compared: neither a rate nor a clean bill
+    failed = ~F.col("status").isin(*COMPARED)  # nothing was compared: neither a rate nor a clean bill
     perfect = (
         ~failed & ~counts_differ
         & F.coalesce(F.col("scenarios_equal"), F.lit(True))
@@ -51,7 +74,7 @@ def table_summary(record_counts: DataFrame, record_stats: DataFrame, missing_tot
         "total_records", "matching_records", "mismatched_records",
         F.when(~failed, FM.match_rate(F.col("matching_records"), F.col("total_records"))).alias("record_match_rate"),
         "missing_in_right", "missing_in_left", "scenarios_equal", "not_deleted",
-        has_mismatch.alias("has_mismatch"), F.when(failed, False).otherwise(perfect).alias("perfect_match"),
+        F.when(~failed, has_mismatch).alias("has_mismatch"), F.when(failed, False).otherwise(perfect).alias("perfect_match"),
     )
 
 
@@ -61,11 +84,11 @@ def run_summary(tables: DataFrame, cfg=None) -> DataFrame:
     out = tables.agg(
         F.count(F.lit(1)).alias("total_tables"),
         F.count_if(F.col("has_mismatch")).alias("tables_with_mismatches"),
-        F.count_if(F.col("status") == "ERROR").alias("tables_failed"),
-        F.sum("left_total").cast("long").alias("total_left_records"),
-        F.sum("right_total").cast("long").alias("total_right_records"),
-        F.sum("missing_in_right").cast("long").alias("total_missing_in_right"),
-        F.sum("missing_in_left").cast("long").alias("total_missing_in_left"),
+        F.count_if(~F.col("status").isin(*COMPARED)).alias("tables_failed"),
+        F.coalesce(F.sum("left_total"), F.lit(0)).cast("long").alias("total_left_records"),
+        F.coalesce(F.sum("right_total"), F.lit(0)).cast("long").alias("total_right_records"),
+        F.coalesce(F.sum("missing_in_right"), F.lit(0)).cast("long").alias("total_missing_in_right"),
+        F.coalesce(F.sum("missing_in_left"), F.lit(0)).cast("long").alias("total_missing_in_left"),
         F.coalesce(F.sum("not_deleted"), F.lit(0)).cast("long").alias("total_not_deleted"),
     )
     if cfg is None:

@@ -1,17 +1,25 @@
 """A run over several table pairs (S5, U3, S8): flat result tables.
 
-Each table is reconciled on its own (its own keyed pass); the per-table
-results are unioned into one table per kind, tagged with ``run_id``. A
-table that fails is reported with status ``ERROR`` and its message instead
-of looking clean with zero counts.
+Each table is reconciled on its own; the per-table results are unioned into
+one table per kind, tagged with ``run_id``. A table that fails is reported
+with status ``ERROR`` and its message instead of looking clean with zero
+counts, and what it had kept is released. Every kind of result table exists
+in every run, with no rows where no table gave any.
+
+With ``cfg.parallel_tables`` above 1, tables run in that many threads. Each
+table is one job group, so that the jobs of a failed table are cancelled alone,
+and names its own scheduler pool, which FAIR scheduling shares out.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Optional, Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +29,7 @@ from concord.operators import summary as SUM
 from concord.plans.prepare import NO_COMMON_COLUMNS
 from concord.plans.reconcile import Reconciliation
 from concord.sources import sinks
+from concord.sources.runs import Commit, RunStore
 
 RESULT_TABLES = (
     "record_counts", "date_scenarios", "column_stats", "field_differences", "missing_records",
@@ -40,16 +49,17 @@ class RunResult:
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
-    def write(self, root: str, mode: str = "overwrite", keep_runs: Optional[int] = None) -> None:
-        """One Parquet table per kind under ``root``, partitioned by run.
+    def write(self, root: str, keep_runs: Optional[int] = None) -> Commit:
+        """Commit all result tables under ``root`` as this run (:mod:`concord.sources.runs`).
 
-        Writing a run again replaces that run's partitions only. With
-        ``keep_runs`` the partitions of all but that many newest runs go.
+        Writing a run again replaces all its tables. With ``keep_runs``, all
+        but that many newest runs go from every table.
         """
-        for name, df in self.frames.items():
-            sinks.write_results(df, f"{root}/{name}", mode=mode)
-            if keep_runs is not None:
-                sinks.prune_runs(df.sparkSession, f"{root}/{name}", keep_runs)
+        store = RunStore(self["table_status"].sparkSession, root)
+        commit = store.write(self.run_id, self.frames)
+        if keep_runs is not None:
+            store.prune(keep_runs)
+        return commit
 
     def all_differences(self, spark: SparkSession) -> DataFrame:
         """Every difference of every compared table, uncapped; to be read before ``close()``."""
@@ -67,16 +77,16 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+STATUS = "table_name string, status string, window_status string, message string"
+
+
 def _status_row(spark: SparkSession, table: str, status: str, window_status: str, message: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(table, status, window_status, message)],
-        "table_name string, status string, window_status string, message string")
+    return spark.createDataFrame([(table, status, window_status, message)], STATUS)
 
 
-def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig) -> tuple[dict, Reconciliation]:
-    rec = Reconciliation(pair, cfg)
+def _results(spark: SparkSession, rec: Reconciliation, pair: TablePair, cfg: RunConfig) -> dict[str, DataFrame]:
     if rec.prep.status == NO_COMMON_COLUMNS:  # nothing to compare, count or window by
-        return {"table_status": _status_row(spark, pair.name, rec.prep.status, rec.prep.window_status, "")}, rec
+        return {"table_status": _status_row(spark, pair.name, rec.prep.status, rec.prep.window_status, "")}
     out = {
         "record_counts": rec.record_counts(),
         "date_scenarios": rec.date_scenarios(),
@@ -91,11 +101,9 @@ def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig) -> tuple[di
         out["retention_violations"] = RET.retention_sample(pair, cfg)
     else:
         out["retention_count"] = spark.createDataFrame(
-            [(pair.name, 0, None, None, None, "DISABLED")],
-            "table_name string, retention_days int, total_old_records long, deleted_records long, "
-            "not_deleted long, status string")
+            [(pair.name, 0, None, None, None, "DISABLED")], SUM.PARTS["retention_count"])
     out["table_status"] = _status_row(spark, pair.name, rec.status(), rec.prep.window_status, "")
-    return out, rec
+    return out
 
 
 def _evaluated(out: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -116,39 +124,50 @@ def _evaluated(out: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return kept
 
 
+def _one_table(spark: SparkSession, pair: TablePair, cfg: RunConfig, run_id: str) -> tuple[dict, Optional[Reconciliation]]:
+    """The evaluated results of one table, or its error; its jobs are one group."""
+    sc = spark.sparkContext
+    group = f"{run_id}-{pair.name}-{uuid.uuid4().hex[:8]}"
+    rec = None
+    if cfg.parallel_tables > 1:  # in a thread of its own: nothing of the caller's is overwritten
+        sc.setJobGroup(group, f"reconcile {pair.name}")
+        sc.setLocalProperty("spark.scheduler.pool", f"concord-{pair.name}")
+    try:
+        rec = Reconciliation(pair, cfg)
+        return _evaluated(_results(spark, rec, pair, cfg)), rec
+    except Exception as exc:  # one bad table must not hide the others
+        if cfg.parallel_tables > 1:
+            sc.cancelJobGroup(group)
+        if rec is not None:
+            rec.close()
+        return {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc))}, None
+
+
 def run(pairs: Sequence[TablePair], cfg: RunConfig) -> RunResult:
     if not pairs:
         raise ValueError("no table pairs to compare")
     spark = pairs[0].left.sparkSession
     run_id = cfg.resolved_run_id()
-    parts: dict[str, list[DataFrame]] = {}
-    recs: list[Reconciliation] = []
-    kept: list[DataFrame] = []
-    compared: list[Reconciliation] = []
-    for pair in pairs:
-        try:
-            out, rec = _one_table(spark, pair, cfg)
-            recs.append(rec)
-            out = _evaluated(out)
-            kept += out.values()
-            if "field_differences" in out:
-                compared.append(rec)
-        except Exception as exc:  # one bad table must not hide the others
-            out = {"table_status": _status_row(spark, pair.name, "ERROR", "", str(exc))}
+    jobs = [lambda pair=pair: _one_table(spark, pair, cfg, run_id) for pair in pairs]
+    if cfg.parallel_tables > 1:
+        with ThreadPoolExecutor(cfg.parallel_tables) as pool:
+            done = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+    else:
+        done = [job() for job in jobs]
+    parts = {name: [spark.createDataFrame([], kind)] for name, kind in {**SUM.PARTS, "table_status": STATUS}.items()}
+    for out, _ in done:
         for name, df in out.items():
-            parts.setdefault(name, []).append(df)
-
+            parts[name].append(df)
     frames = {name: _union(dfs) for name, dfs in parts.items()}
-    status = frames["table_status"].select(
-        "table_name", "status", "window_status")
-    if "record_counts" in frames:
-        tables = SUM.table_summary(
-            frames["record_counts"].withColumnRenamed("status", "status_counts"),
-            frames["record_stats"], frames["missing_totals"], frames["date_scenarios"],
-            frames["retention_count"], status)
-        frames["table_summary"] = tables
-        frames["run_summary"] = SUM.run_summary(tables, cfg)
-        frames["table_kpis"] = SUM.table_kpis(tables)
-        frames["column_failure_stats"] = SUM.column_failure_stats(frames["column_stats"])
+    tables = SUM.table_summary(
+        frames["record_counts"].withColumnRenamed("status", "status_counts"),
+        frames["record_stats"], frames["missing_totals"], frames["date_scenarios"],
+        frames["retention_count"], frames["table_status"].select("table_name", "status", "window_status"))
+    frames["table_summary"] = tables
+    frames["run_summary"] = SUM.run_summary(tables, cfg)
+    frames["table_kpis"] = SUM.table_kpis(tables)
+    frames["column_failure_stats"] = SUM.column_failure_stats(frames["column_stats"])
     frames = {name: df.withColumn("run_id", F.lit(run_id)) for name, df in frames.items()}
-    return RunResult(run_id, frames, recs, kept, compared)
+    recs = [rec for _, rec in done if rec is not None]
+    return RunResult(run_id, frames, recs, [df for out, _ in done for df in out.values()],
+                     [rec for out, rec in done if rec is not None and "field_differences" in out])

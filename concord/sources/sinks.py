@@ -36,10 +36,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a scratch folder this engine wrote (through Hadoop's file
     system, so it works on any shared storage the session can write)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(hpath, True))
+    at, fs = _file_system(spark, path)
+    return bool(fs.delete(at, True))
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return bool(fs.exists(at))
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder (none where it does not exist)."""
+    at, fs = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
 
 
 def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str = "overwrite") -> None:
@@ -52,20 +66,6 @@ def write_results(df: DataFrame, path: str, partition_by=("run_id",), mode: str
      .partitionBy(*partition_by).parquet(path))
 
 
-def prune_runs(spark: SparkSession, path: str, keep: int = 10, run_col: str = "run_id") -> list[str]:
-    """Drop the partitions of all but the ``keep`` newest runs of a result table; returns the runs dropped."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory()]
-    runs = sorted((n for n in names if n.startswith(f"{run_col}=")), reverse=True)
-    for name in runs[keep:]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(hpath, name), True)
-    return [n.partition("=")[2] for n in runs[keep:]]
-
-
 def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Read a result table back; pass ``schema`` to read a table that may
     have no rows yet (an empty partitioned write leaves no files)."""
