@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import arrow_batches, cut, remove, written
 
 #: Least frequency of a phrase.
 LEAST = 10
 #: A candidate goes if it lies in a longer one that has this share of its occurrences at least.
 INSIDE = 50
 TOP = 2000
+#: Parts of a lang's phrases whose best are found first.
+SHARES = 16
 CHUNK_BYTES = 4 << 20
 #: Side of a tile (2 ** TILE words), hits of one chunk from which a tile is dense, most dense tiles of a task.
 TILE, DENSE_HITS, DENSE_TILES = 9, 1 << 12, 48
@@ -86,15 +88,16 @@ class Chunk:
 
 
 def _pack(seq: np.ndarray) -> bytes:
+    """Numbers of four or eight bytes, as many as the array's type has, compressed."""
     import pyarrow as pa
 
-    return pa.compress(seq.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(seq.astype(seq.dtype.newbyteorder("<")).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
+def _unpack(data: bytes, n: int, size: int = 4) -> np.ndarray:
     import pyarrow as pa
 
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype="<i4") if n else np.zeros(0, np.int32)
+    return np.frombuffer(pa.decompress(data, decompressed_size=size * n, codec="zstd", asbytes=True), dtype=f"<i{size}")
 
 
 def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -226,21 +229,32 @@ def _rows(batch):
         yield row
 
 
-def word_numbers(row: dict) -> np.ndarray:
-    """Numbers of a chunk's words in the dictionary, in their order in the text; -1 for rare words and piece ends."""
-    seq = _unpack(row["seq"], row["n"])
-    pos = row["ids"]["pos"]
-    number = np.full(max(seq.max(initial=-1), pos.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last is what -1 picks
-    number[pos] = row["ids"]["id"]
-    return number[seq]
+def encoded(chunks_: DataFrame, size: int) -> DataFrame:
+    """``(chunk, seq, n, own)`` of chunks with ``ids (pos, id)``: dictionary numbers of ``size`` bytes.
+
+    -1 stands for words that are not in the dictionary and between pieces.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                seq, pos = _unpack(row["seq"], row["n"]), row["ids"]["pos"]
+                number = np.full(max(seq.max(initial=-1), pos.max(initial=-1)) + 2, -1, dtype=f"<i{size}")  # the last is what -1 picks
+                number[pos] = row["ids"]["id"]
+                out.append(_pack(number[seq]))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary()), batch.column("n"), batch.column("own")],
+                                             ["chunk", "seq", "n", "own"])
+
+    return chunks_.select("chunk", "seq", "n", "own", "ids").mapInArrow(run, "chunk bigint, seq binary, n bigint, own bigint")
 
 
-def _neighbours(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that start in the chunk, and the numbers of their two words."""
-    g = word_numbers(row)
+def _neighbours(g: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that start in the first ``own`` numbers, and the pairs."""
     at = np.flatnonzero((g[:-1] >= 0) & (g[1:] >= 0))
-    at = at[at < row["own"]]
-    return at, g[at], g[at + 1]
+    at = at[at < own]
+    return at, g[at].astype(np.int64), g[at + 1].astype(np.int64)
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -318,20 +332,23 @@ def phrases(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES)
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    parts = cut(chunks(docs, chunk_bytes))
+    parts, parts_at = written(chunks(docs, chunk_bytes), "chunks")
     every = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(
         "lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     n_of = parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c)).alias("n"))
     words = numbered(every.where(F.col("f") >= least), "id", F.col("lang"), F.col("f").desc(), F.col("word"))
     width = max(1, words.count())
+    size = 4 if width < 1 << 31 else 8
     ids = parts.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).join(
         words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
-    coded = cut(parts.select("chunk", "seq", "n", "own").join(ids, "chunk"))
+    n_of = cut(n_of)
+    coded, coded_at = written(encoded(parts.select("chunk", "seq", "n", "own").join(ids, "chunk"), size), "coded")
+    remove(spark, parts_at)
 
     def word_pairs(row):
-        return _neighbours(row)[1:]
+        return _neighbours(_unpack(row["seq"], row["n"], size), row["own"])[1:]
 
-    frequent = _counted(coded.select("seq", "n", "own", "ids"), width, word_pairs).where(F.col("f") >= least)
+    frequent = _counted(coded, width, word_pairs).where(F.col("f") >= least)
     pairs = numbered(frequent, "id", F.col("f").desc(), F.col("code"))
     n_pairs = pairs.count()
     if n_pairs * width >= 1 << 63:
@@ -343,7 +360,7 @@ def phrases(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES)
 
         for batch in batches:
             for row in _rows(batch):
-                _, a, b = _neighbours(row)
+                a, b = word_pairs(row)
                 codes = np.unique(a * width + b)
                 codes = codes[_admitted(codes, *shared.value)]
                 for at in range(0, len(codes), 1 << 16):
@@ -354,23 +371,20 @@ def phrases(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES)
         F.sort_array(F.collect_list(F.struct("code", F.col("id").alias("p")))).alias("pairs"))
 
     def triples_of(row):
-        at, a, b = _neighbours(row)
+        g = _unpack(row["seq"], row["n"], size)
+        at, a, b = _neighbours(g, row["own"])
         code, p = row["pairs"]["code"], row["pairs"]["p"]
         mine = a * width + b
         slot = np.minimum(np.searchsorted(code, mine), len(code) - 1)
-        number = np.where(code[slot] == mine, p[slot], -1)
-        # the pair that starts one word on: in the chunk's own part, or with the two words of the next chunk
-        g = word_numbers(row)
-        after = np.full(len(g) + 1, -1, dtype=np.int64)
-        after[at] = number
-        start = at[number >= 0]
-        follows = after[start + 1] >= 0
-        edge = start + 1 >= row["own"]  # that pair starts in the next chunk: its last word must be frequent
-        last = np.append(g, [-1, -1])[start + 2]
-        keep = (follows | edge) & (last >= 0)
-        return after[start[keep]], last[keep]
-
-    three = _counted(coded.join(known, "chunk").select("seq", "n", "own", "ids", "pairs"), width, triples_of).where(F.col("f") >= least)
+        number = np.full(len(g) + 1, -1, dtype=np.int64)  # of the pair that starts at each place
+        number[at] = np.where(code[slot] == mine, p[slot], -1)
+        start = at[number[at] >= 0]
+        last = np.append(g, [-1, -1])[start + 2].astype(np.int64)
+        # a pair that starts in the next chunk's part is not looked up: its last word must be frequent, the counts tell the rest
+        keep = ((number[start + 1] >= 0) | (start + 1 >= row["own"])) & (last >= 0)
+        return number[start[keep]], last[keep]
+
+    three = _counted(coded.join(known, "chunk"), width, triples_of).where(F.col("f") >= least)
     # numbers back into words and frequencies
     word = words.select(F.col("id").alias("w"), "lang", "word", F.col("f").alias("wf"))
     two = cut(pairs.select("id", "code", "f", F.expr(f"code div {width}").alias("i"), F.expr(f"code % {width}").alias("j"))
@@ -382,6 +396,7 @@ def phrases(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES)
         two.select("code", F.col("f").alias("f23"), F.col("w2").alias("w3"), F.col("f2").alias("f3")), "code")
     three = cut(three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "code12", F.col("code").alias("code23"),
                              "f1", "f12", "f23", "f3"))
+    remove(spark, coded_at)
     longer = three.select(F.col("code12").alias("code"), "a").union(three.select("code23", "a")).groupBy("code").agg(F.max("a").alias("longer"))
 
     found = two.join(longer, "code", "left").select(
@@ -401,6 +416,9 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     cent as often, or more. Order: score and a falling, then the phrase.
     """
     kept = phrases(docs, least).where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+    # the best of each of SHARES parts first, so that the last task of a lang gets SHARES * top rows at most
+    best = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*best)
+    kept = kept.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -41,6 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its place; its user removes it by :func:`remove`."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Short Arrow batches, unless the session chose a size itself; Python workers find this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
