@@ -51,6 +51,7 @@ PREFIXES = ("", "", "sk_", "ghp_", "AKIA", "eyJ")
 
 #: Training windows with and without secrets, tokens on either side of a secret, tokens of a window at most.
 FIT_WINDOWS, SIDE, LONGEST = 1200, 10, 48
+SHARES = 32
 #: Hashed features, training rounds, least bytes of text tagged at a time, tokens whose features a worker keeps.
 DIM, ROUNDS, PIECE, KEPT = 1 << 14, 60, 4 << 20, 1 << 19
 #: Weight of the squared weights against the likelihood; those of file features, which every token of a text has, weigh more.
@@ -491,8 +492,11 @@ def learn(docs: DataFrame, limit: int = FIT_WINDOWS) -> Field:
 
     src = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("mark"))
     rows = src.mapInPandas(run, "mark bigint, secret boolean, words array<string>, tags array<int>, file array<int>")
-    order = Window.partitionBy("secret").orderBy("mark")
-    sample = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= limit).collect()  # 2 * limit short rows
+    # the smallest of each of SHARES parts first, so that the last task of a kind gets SHARES * limit rows at most
+    for part in (("secret", F.pmod(F.xxhash64("words"), F.lit(SHARES))), ("secret",)):
+        at = F.row_number().over(Window.partitionBy(*part).orderBy("mark"))
+        rows = rows.withColumn("_at", at).where(F.col("_at") <= limit).drop("_at")
+    sample = rows.collect()  # 2 * limit short rows
     sample.sort(key=lambda r: (r["mark"], r["words"]))
     if not any(r["secret"] for r in sample):
         return nothing()
