@@ -16,15 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.config import RunConfig
+from concord.operators import duplicates as DUP
+from concord.operators import edges as EDGES
 from concord.operators import profile as PROF
 from concord.operators import retention as RET
 from concord.operators import sample as SAMPLE
 from concord.plans.prepare import prepare
-from concord.plans.reconcile import Reconciliation
+from concord.plans.reconcile import Reconciliation, materialize
 from concord.plans.run import run
 from concord.session import ensure_checkpoint_dir
 from concord.sources import fixtures as FX
 from concord.sources import sinks
+from concord.sources.runs import RunStore
 
 WINDOWS = (45, 2000)
 SEARCH_TERM = "53"
@@ -205,17 +208,90 @@ def q_hash_sample(spark, d):
     return Reconciliation(pair, cfg(), keep=False).column_stats()
 
 
-def q_persist_run(spark, d):
+def _store(spark, name: str) -> RunStore:
     ensure_checkpoint_dir(spark)
+    return RunStore(spark, sinks.shared_dir(spark, name))
+
+
+def q_persist_run(spark, d):
+    """All result tables of a run are committed; the column statistics are read back."""
+    store = _store(spark, "results")
     res = run([FX.orders_pair(spark, d)], cfg(45))
-    path = sinks.shared_dir(spark, "results")
-    sinks.write_results(res["column_stats"], path, mode="overwrite")
-    return sinks.read_results(spark, path)
+    res.write(store.root, keep_runs=10)
+    res.close()
+    return store.read("column_stats")
+
+
+def q_write_run_twice(spark, d):
+    """A run of the drifted pair, written again after the replica was mended: nothing of the first is left."""
+    store = _store(spark, "twice")
+    pair = FX.orders_pair(spark, d)
+    for right in (pair.right, pair.left):
+        res = run([replace(pair, right=right)], cfg())
+        res.write(store.root)
+        res.close()
+    stale = sum(store.read(t).count() for t in ("field_differences", "missing_records"))
+    return store.read("column_stats").withColumn("stale_rows", F.lit(stale).cast("long"))
+
+
+def q_prune_runs(spark, d):
+    """Of four runs, two of them without differences, every table keeps the same newest two."""
+    store = _store(spark, "pruned")
+    pair = FX.customer_pair(spark, d)
+    for run_id, right in (("r1", pair.right), ("r2", pair.left), ("r3", pair.left), ("r4", pair.right)):
+        res = run([replace(pair, right=right)], cfg(run_id=run_id))
+        res.write(store.root, keep_runs=2)
+        res.close()
+    tables = ("column_stats", "field_differences", "missing_records", "table_status", "record_counts")
+    return _union([store.read(t).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")).select(
+        "run_id", F.lit(t).alias("result_table"), "rows") for t in tables])
+
+
+def q_digest_column_stats(spark, d):
+    """Column statistics with the row-digest prefilter."""
+    return Reconciliation(FX.orders_pair(spark, d), cfg(digest_prefilter=True)).column_stats()
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select("table_name", "column_name", "record_id", "left_value", "right_value", "left_rows", "right_rows", "pairs")
+
+
+def q_dup_key_search(spark, d):
+    """Every difference of duplicate keys in linear form, searched by record id."""
+    return SAMPLE.search_record_id(_lines(Reconciliation(FX.lineitem_drift_pair(spark, d), cfg()).all_differences()), SEARCH_TERM)
+
+
+def q_dup_key_export(spark, d):
+    """Every difference of the hot-key pair, written as CSV and read again."""
+    ensure_checkpoint_dir(spark)
+    path = sinks.shared_dir(spark, "differences")
+    sinks.export_differences_csv(Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).all_differences(), path)
+    return sinks.read_differences_csv(spark, path, counts=True)
+
+
+def q_duplicate_histogram(spark, d):
+    return _union([DUP.copies_histogram(prepare(p, cfg())) for p in (FX.lineitem_drift_pair(spark, d), FX.lineitem_hot_pair(spark, d))])
+
+
+def q_duplicate_top(spark, d):
+    return _union([DUP.most_copied(prepare(p, cfg())) for p in (FX.lineitem_drift_pair(spark, d), FX.lineitem_hot_pair(spark, d))])
+
+
+def q_window_edges(spark, d):
+    """Why keys are missing inside the windows, on a pair whose created times moved."""
+    def build(days):
+        found, _ = EDGES.window_edges(FX.orders_shifted_pair(spark, d), cfg(days), materialize)
+        return found.withColumn("window_days", F.lit(days))
+    return _union([build(days) for days in WINDOWS])
+
+
+def q_retention_archive(spark, d):
+    return RET.archive_state(FX.orders_pair(spark, d), cfg(45))
 
 
 def q_export_differences(spark, d):
     ensure_checkpoint_dir(spark)
-    diffs = _orders(spark, d).all_differences()
+    diffs = _orders(spark, d).all_differences().select(*sinks.DIFFERENCE_COLUMNS)
     path = sinks.shared_dir(spark, "differences")
     sinks.export_differences_csv(diffs, path)
     return sinks.read_differences_csv(spark, path)
@@ -280,6 +356,15 @@ _CHECKS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "persist_run": q_persist_run,
     "export_differences": q_export_differences,
     "retain_latest_runs": q_retain_latest_runs,
+    "write_run_twice": q_write_run_twice,
+    "prune_runs": q_prune_runs,
+    "digest_column_stats": q_digest_column_stats,
+    "dup_key_search": q_dup_key_search,
+    "dup_key_export": q_dup_key_export,
+    "duplicate_histogram": q_duplicate_histogram,
+    "duplicate_top": q_duplicate_top,
+    "window_edges": q_window_edges,
+    "retention_archive": q_retention_archive,
 }
 
 QUERIES = {name: _narrowed(build) for name, build in _CHECKS.items()}

@@ -524,7 +524,117 @@ top as (select distinct run_id from e order by run_id desc limit 10)
 select run_id, event_id from e where run_id in (select run_id from top)"""
 
 
+def value_lines(p: Pair) -> str:
+    """Differences in linear form, from value multiplicities (no pairs formed)."""
+    k = ", ".join(p.keys)
+    on = " and ".join(f"a.{x} is not distinct from b.{x}" for x in p.keys)
+    cells = "\nunion all\n".join(
+        f"select {k}, '{c}' as column_name, {disp(canon(c, c))} as value, {l} as sl, {1 - l} as sr from {w}"
+        for c in p.cols for w, l in (("lw", 1), ("rw", 0)))
+    return f"""with {p.ctes},
+nl as (select {k}, count(*) as n_l from lw group by all), nr as (select {k}, count(*) as n_r from rw group by all),
+n as (select {', '.join('a.' + x for x in p.keys)}, n_l, n_r from nl a join nr b on {on}),
+cells as ({cells}),
+vc as (select {k}, column_name, value, sum(sl) as cl, sum(sr) as cr from cells group by all),
+d as (select a.*, n_l, n_r, (cl = n_l and cr = 0) or (cr = n_r and cl = 0) as alone
+      from vc a join n b on {on} where (cl > 0 and cr < n_r) or (cr > 0 and cl < n_l)),
+lines as (
+  select {k}, column_name, case when cl > 0 then value end as left_value, case when cr > 0 then value end as right_value,
+    cl as left_rows, cr as right_rows, cl * (n_r - cr) as pairs from d where not alone
+  union all
+  select {k}, column_name, max(case when cl > 0 then value end), max(case when cr > 0 then value end), sum(cl), sum(cr),
+    case when count(*) = 2 then max(n_l) * max(n_r) else sum(cl) * (max(n_r) - sum(cr)) end
+  from d where alone group by {k}, column_name)
+select '{p.name}' as table_name, column_name, {p.rid()} as record_id, left_value, right_value,
+  cast(left_rows as bigint) as left_rows, cast(right_rows as bigint) as right_rows, cast(pairs as bigint) as pairs from lines"""
+
+
+def sql_dup_key_search():
+    return f"select * from ({value_lines(lineitem_drift())}) where lower(record_id) like '%53%'"
+
+
+def sql_dup_key_export():
+    return value_lines(lineitem_hot())
+
+
+def sql_digest_column_stats():
+    return column_stats(orders())
+
+
+def sql_write_run_twice():
+    mended = Pair("orders", FS.ORDERS_PAIR, "l", "l", ["id"], FS.ORDERS_VALUE_COLUMNS)
+    return column_stats(mended, f", {RUN_ID} as run_id, cast(0 as bigint) as stale_rows")
+
+
+def sql_prune_runs():
+    changed = "select count(*) as n from customer where c_custkey % 13 = 0"
+    n = len(FS.CUSTOMER_VALUE_COLUMNS)
+    rows = [f"select '{r}' as run_id, '{t}' as result_table, {c} as rows" for r in ("r3", "r4")
+            for t, c in (("column_stats", n), ("table_status", 1), ("record_counts", 1))]
+    return "\nunion all\n".join(f"select run_id, result_table, cast(rows as bigint) as rows from ({x})" for x in rows) + f"""
+union all select 'r4', 'field_differences', cast(least(n, 100) as bigint) from ({changed}) where n > 0"""
+
+
+def _copies(p: Pair) -> str:
+    k = ", ".join(p.keys)
+    return f"""with {p.ctes},
+c as (select {k}, 'left' as side, count(*) as copies from lw group by all
+      union all select {k}, 'right', count(*) from rw group by all)"""
+
+
+def sql_duplicate_histogram():
+    return "\nunion all\n".join(f"""select * from ({_copies(p)}
+select '{p.name}' as table_name, side, copies, count(*) as keys, cast(sum(copies) as bigint) as rows from c group by side, copies)"""
+                                for p in (lineitem_drift(), lineitem_hot()))
+
+
+def sql_duplicate_top():
+    def one(p: Pair) -> str:
+        return f"""select * from ({_copies(p)},
+t as (select *, row_number() over (partition by side order by copies desc, {', '.join(p.keys)}) as rank from c where copies > 1)
+select '{p.name}' as table_name, side, cast(rank as integer) as rank, {p.rid()} as record_id, copies from t where rank <= 20)"""
+    return "\nunion all\n".join(one(p) for p in (lineitem_drift(), lineitem_hot()))
+
+
+SHIFTED_PAIR = f"""{FS.ORDERS_PAIR.strip()},
+s as (select id, cust, status, price, priority, note,
+  case when id % 41 = 0 then creation_time - interval 100 day else creation_time end as creation_time, last_modified_time from r)
+"""
+
+
+def sql_window_edges():
+    def one(days: int) -> str:
+        p = Pair("orders", SHIFTED_PAIR, "l", "s", ["id"], FS.ORDERS_VALUE_COLUMNS, days)
+
+        def side(label: str, own: str, other: str, whole: str) -> str:
+            return f"""select '{label}' as side, {disp('a.id')} as record_id,
+  case when b.id is null then 'absent' else 'outside_window' end as reason, {tfmt('b.creation_time')} as other_created
+  from {own} a left join {whole} b on b.id = a.id where a.id not in (select id from {other})"""
+        return f"""select * from (with {p.ctes}, m as ({side('missing_in_right', 'lw', 'rw', 's')}
+union all {side('missing_in_left', 'rw', 'lw', 'l')})
+select 'orders' as table_name, side, record_id, reason, other_created, {days} as window_days from m)"""
+    return "\nunion all\n".join(one(d) for d in (45, 2000))
+
+
+def sql_retention_archive():
+    return f"""with {orders().ctes},
+k as (select id, bool_or(s = 0) as l, bool_or(s = 1) as a from (
+  select id, 0 as s from l where {retention_where()} union all select id, 1 from r where {retention_where()}) group by id)
+select 'orders' as table_name, 45 as retention_days, count(*) as total_old_records, count(*) filter (where not l) as deleted_records,
+  count(*) filter (where l and a) as archived, count(*) filter (where not a) as left_only, count(*) filter (where l) as not_deleted,
+  'OK' as status from k"""
+
+
 SQL = {
+    "write_run_twice": sql_write_run_twice,
+    "prune_runs": sql_prune_runs,
+    "digest_column_stats": sql_digest_column_stats,
+    "dup_key_search": sql_dup_key_search,
+    "dup_key_export": sql_dup_key_export,
+    "duplicate_histogram": sql_duplicate_histogram,
+    "duplicate_top": sql_duplicate_top,
+    "window_edges": sql_window_edges,
+    "retention_archive": sql_retention_archive,
     "column_stats": sql_column_stats,
     "record_counts": sql_record_counts,
     "record_counts_window": sql_record_counts_window,

@@ -63,8 +63,10 @@ class RunResult:
 
     def all_differences(self, spark: SparkSession) -> DataFrame:
         """Every difference of every compared table, uncapped; to be read before ``close()``."""
-        none = spark.createDataFrame([], ", ".join(f"{c} string" for c in sinks.DIFFERENCE_COLUMNS))
-        return _union([none, *(r.all_differences().select(*sinks.DIFFERENCE_COLUMNS) for r in self.compared)])
+        columns = (*sinks.DIFFERENCE_COLUMNS, *sinks.COUNT_COLUMNS)
+        kinds = ["string"] * len(sinks.DIFFERENCE_COLUMNS) + ["long", "long", "decimal(38,0)"]
+        none = spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
+        return _union([none, *(r.all_differences().select(*columns) for r in self.compared)])
 
     def close(self) -> None:
         for df in self.kept:

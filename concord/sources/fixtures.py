@@ -138,3 +138,12 @@ def lineitem_hot_pair(spark: SparkSession, sf_dir: str) -> TablePair:
         return df.withColumn("l_orderkey", F.when(k % 3 == 0, F.lit(0).cast("bigint")).otherwise(k))
 
     return TablePair(name="lineitem_hot", left=fold(base.left), right=fold(base.right), keys=("l_orderkey",))
+
+
+def orders_shifted_pair(spark: SparkSession, sf_dir: str) -> TablePair:
+    """The orders pair with the replica's created time 100 days earlier where
+    ``id % 41 = 0``, so that rows leave or enter a window on one side only."""
+    pair = orders_pair(spark, sf_dir)
+    t = F.col("creation_time")
+    right = pair.right.withColumn("creation_time", F.when(F.col("id") % 41 == 0, t - F.expr("INTERVAL 100 DAYS")).otherwise(t))
+    return TablePair(name="orders", left=pair.left, right=right, keys=("id",))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # A NULL marker distinct from the empty string, so '' survives a round trip.
 NULL_MARK = "\\N"
 DIFFERENCE_COLUMNS = ("table_name", "column_name", "record_id", "left_value", "right_value")
+#: Of the linear form: rows of either side with the value, and differing row pairs.
+COUNT_COLUMNS = ("left_rows", "right_rows", "pairs")
 
 
 def checkpoint_root(spark: SparkSession) -> Optional[str]:
@@ -77,9 +79,10 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
     """CSV of differences, every field quoted and inner quotes doubled.
 
     One folder per ``table_name`` / ``column_name`` (partition columns), so
-    names containing underscores are never split apart.
+    names containing underscores are never split apart. Counts of rows and
+    pairs are written where ``diffs`` has them.
     """
-    (diffs.select(*DIFFERENCE_COLUMNS)
+    (diffs.select(*DIFFERENCE_COLUMNS, *[c for c in COUNT_COLUMNS if c in diffs.columns])
      .write.mode("overwrite")
      .option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -88,11 +91,14 @@ def export_differences_csv(diffs: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def read_differences_csv(spark: SparkSession, path: str) -> DataFrame:
-    schema = "record_id string, left_value string, right_value string, table_name string, column_name string"
+def read_differences_csv(spark: SparkSession, path: str, counts: bool = False) -> DataFrame:
+    """An export of differences read back; ``counts``: with the counts of rows and pairs that it was written with."""
+    more = ", left_rows long, right_rows long, pairs decimal(38,0)" if counts else ""
+    schema = f"record_id string, left_value string, right_value string{more}, table_name string, column_name string"
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("nullValue", NULL_MARK).option("basePath", path).schema(schema).csv(path))
+            .option("nullValue", NULL_MARK).option("basePath", path).option("enforceSchema", True)
+            .schema(schema).csv(path))
 
 
 def latest_runs(results: DataFrame, keep: int = 10, run_col: str = "run_id") -> DataFrame:
