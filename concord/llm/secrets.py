@@ -165,7 +165,7 @@ class Field:
         through = move[:, :, None] + move[None, :, :]  # from, at, to
         self.gain = np.array([(through[:, x] - through[:, OUT]).max() for x in range(3)])
         self.seen: dict[bytes, int] = {}
-        self.rows = np.zeros((0, 1 + len(near), 3))
+        self.rows = [np.zeros((0, 3)) for _ in range(1 + len(near))]  # sums for the token itself, and for its neighbours at each place
 
     def __getstate__(self):
         return self.own, self.near, self.file, self.move
@@ -174,7 +174,7 @@ class Field:
         self.__init__(*state)
 
     def _add(self, words: list[bytes]) -> None:
-        """Sums of the weights of ``words``: for the token itself, and for its neighbours at each place."""
+        """Sum the weights of ``words``."""
         for w in words:
             self.seen[w] = len(self.seen)
 
@@ -183,10 +183,11 @@ class Field:
             return np.add.reduceat(weights[np.array([x for f in features for x in f])], first, axis=0)
 
         own, near = [own_features(w) for w in words], [near_features(w) for w in words]
-        new = np.stack([summed(own, self.own), *(summed(near, x) for x in self.near)], axis=1)
-        if len(self.seen) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(self.seen)), *new.shape[1:]))])
-        self.rows[len(self.seen) - len(words):len(self.seen)] = new
+        n = len(self.seen)
+        for j, new in enumerate((summed(own, self.own), *(summed(near, x) for x in self.near))):
+            if n > len(self.rows[j]):
+                self.rows[j] = np.concatenate([self.rows[j], np.zeros((max(len(self.rows[j]), n), 3))])
+            self.rows[j][n - len(words):n] = new
 
     def emissions(self, tokens: Tokens, files: list[list[int]]) -> np.ndarray:
         """Summed weights of every token's features, by tag; ``files``: the texts' own features."""
@@ -199,13 +200,13 @@ class Field:
         if new:
             self._add(list(new))
         at = np.array(list(map(self.seen.__getitem__, words)), dtype=np.int64)
-        table = self.rows
-        out = table[at, 0] + np.array([self.file[f].sum(axis=0) for f in files]).reshape(-1, 3)[tokens.text]
+        out = self.rows[0].take(at, axis=0) + np.array([self.file[f].sum(axis=0) for f in files]).reshape(-1, 3).take(tokens.text, axis=0)
         for j, step in enumerate(AROUND):
             if abs(step) < n:
                 mine, other = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
-                same = tokens.text[mine] == tokens.text[other]
-                out[mine] += table[at[other], 1 + j] * same[:, None]
+                near = self.rows[1 + j].take(at[other], axis=0)
+                near[tokens.text[mine] != tokens.text[other]] = 0.0
+                out[mine] += near
         return out
 
     def sure(self, e: np.ndarray) -> np.ndarray:
@@ -229,20 +230,23 @@ class Field:
 
     def tagged(self, tokens: Tokens, e: np.ndarray, sure: np.ndarray) -> list[tuple[int, int]]:
         """``(first, last + 1)`` tokens of every secret; a run of unsure tokens never crosses into another text."""
-        out = []
         unsure = np.flatnonzero(~sure)
         if not len(unsure):
-            return out
-        breaks = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(tokens.text[unsure]) > 0)) + 1
-        for run in np.split(unsure, breaks):
-            a, b = int(run[0]), int(run[-1]) + 1
+            return []
+        begins = np.flatnonzero(np.concatenate(([True], (np.diff(unsure) > 1) | (np.diff(tokens.text[unsure]) > 0))))
+        first, size = unsure[begins], np.diff(np.append(begins, len(unsure)))
+        # most runs are one token: all at once
+        alone = (self.move[OUT] + e[first] + self.move[:, OUT]).argmax(axis=1)
+        out = []
+        for i in np.flatnonzero((size > 1) | (alone != OUT)).tolist():
+            a, b = int(first[i]), int(first[i] + size[i])
             tags, begun = self.viterbi(e[a:b]), None
-            for i, tag in enumerate([*tags, OUT]):
+            for j, tag in enumerate([*tags, OUT]):
                 if begun is not None and tag != INSIDE:
-                    out.append((a + begun, a + i))
+                    out.append((a + begun, a + j))
                     begun = None
                 if tag == BEGIN or (tag == INSIDE and begun is None):
-                    begun = i
+                    begun = j
         return out
 
 

@@ -26,19 +26,22 @@ from .common import arrow_batches, cut
 EOL, END = "\r\n", "\r\n\r\n"
 #: Payloads of at least so many bytes are written once; later copies become revisit records.
 REVISIT_BYTES = 0
-#: Bytes of payload per archive file, about; a reader task holds one file.
+#: Bytes of an archive file at most, unless one record has more; a reader task holds one file.
 FILE_BYTES = 32 << 20
+#: Records are written by size, up to 2 ** (13, 16, ...) bytes of page and URL; what is left goes one to a file.
+SIZES = (13, 16, 19, 22)
+#: Bytes of a record's headers beside its URL, less than that.
+HEAD_BYTES = 1024
 #: Rows of the revisit table that are broadcast at most (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Longest header that is looked through.
-HEADER_BYTES = 1 << 20
 #: Bytes given to the decompressor at a time.
 PIECE = 1 << 16
 URN = "urn:concord:page:"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_TERMINATOR = re.compile(rb"\r\n\r\n|\n\n")
 _MAGIC = b"\x1f\x8b\x08"
 #: Of a gzip member that has damaged bytes or a wrong checksum.
 BAD = "bad gzip member"
@@ -74,14 +77,13 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     html = F.coalesce(F.col("html"), F.lit(""))
     src = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"),
                        base32_sha1(html.cast("binary")).alias("digest"))
-    mean = src.agg(F.avg("n")).first()[0] or 0
     again = cut(revisits(src, least)).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     rows = src.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
 
     def urn(page: Column) -> Column:
-        return F.concat(F.lit("<" + URN), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
+        return F.concat(F.lit("<" + URN), id_text(page), F.lit(":"), F.col("digest"), F.lit(">"))
 
     url = F.coalesce(F.col("url"), F.lit("urn:none"))
     for c in "\r\n\t ":
@@ -98,40 +100,91 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
         F.lit(f"{EOL}WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(f"{EOL}Content-Type: application/http;msgtype=response{EOL}Content-Length: "),
         F.octet_length(block).cast("string"), F.lit(END))
-    (rows.select(F.concat(head, block).alias("value")).write.mode("overwrite")
-     .option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1024)))).text(path))
+    out = rows.select((F.col("n") + F.octet_length(url)).alias("size"), F.concat(head, block).alias("value"))
+    sizes = src.select(_size_class(F.col("n") + F.octet_length(url)).alias("c")).distinct().collect()
+    classes = sorted(r["c"] for r in sizes) or [0]
+    for i, c in enumerate(classes):
+        records = FILE_BYTES // ((1 << SIZES[c]) + HEAD_BYTES) if c < len(SIZES) else 1
+        (out.where(_size_class(F.col("size")) == c).select("value").write.mode("append" if i else "overwrite")
+         .option("lineSep", END).option("maxRecordsPerFile", max(1, records)).text(path))
+
+
+def _size_class(size: Column) -> Column:
+    """Place in SIZES of the smallest power that holds the size, and after them for what none holds."""
+    out = F.lit(len(SIZES))
+    for i, bits in reversed(list(enumerate(SIZES))):
+        out = F.when(size <= 1 << bits, i).otherwise(out)
+    return out
+
+
+def id_text(page: Column) -> Column:
+    """A page id as it stands in a record id: ``null`` for NULL, texts that could be taken for it marked by ``=``."""
+    text = page.cast("string")
+    for c in "%\r\n":
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(text.isNull(), F.lit("null")).when(text.rlike("^=*(null)?$"), F.concat(F.lit("="), text)).otherwise(text)
 
 
 class Broken(Exception):
     """A check that failed."""
 
 
+def _header(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """Fields of the header lines from ``at`` on, and the place after the empty line; raises Broken at the first bad line.
+
+    Lines end with CR LF or LF alone; a line that begins with a blank or tab
+    goes on with the field before. However long, a header is read line by line,
+    so a version line inside it ends the reading.
+    """
+    head: dict[str, list[str]] = {}
+    last: list[str] | None = None
+    while True:
+        stop = data.find(b"\n", at)
+        if stop < 0:
+            raise Broken("header does not end")
+        line = data[at:stop].rstrip(b"\r")
+        at = stop + 1
+        if not line:
+            return {k: " ".join(v).strip() for k, v in head.items()}, at
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t":
+            if last is None:
+                raise Broken("bad header line")
+            last.append(text.strip())
+            continue
+        name, colon, value = text.partition(":")
+        if not colon:
+            raise Broken("bad header line")
+        head[name.strip().lower()] = last = [value.strip()]
+
+
+def _is_sha1(value: str, what: bytes) -> bool:
+    """The digest as base32 or hexadecimal, whatever the case."""
+    own = hashlib.sha1(what)
+    return value.upper() == base64.b32encode(own.digest()).decode() or value.lower() == own.hexdigest()
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and the place after its terminator; raises Broken."""
     m = _VERSION.match(data, at)
     if not m:
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", m.end() - 2, m.end() + HEADER_BYTES)
-    if stop < 0:
-        raise Broken("header does not end")
-    head: dict[str, str] = {}
-    for line in data[m.end():stop].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise Broken("bad header line")
-        head[name.strip().lower()] = value.strip()
+    head, start = _header(data, m.end())
     size = head.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Broken("bad length")
-    start, end = stop + 4, stop + 4 + int(size)
-    if end + 4 > len(data):
+    end = start + int(size)
+    if end + 2 > len(data):
         raise Broken("truncated")
-    if data[end:end + 4] != b"\r\n\r\n":
-        raise Broken("no terminator")
+    after = _TERMINATOR.match(data, end)
+    if not after:
+        raise Broken("truncated" if end + 4 > len(data) else "no terminator")
     block = data[start:end]
     payload, declared = block, None
     if head.get("content-type", "").lower().startswith("application/http"):
         http, found, payload = block.partition(b"\r\n\r\n")
+        if not found:
+            http, found, payload = block.partition(b"\n\n")
         if not found:
             raise Broken("http header does not end")
         n = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http.replace(b"\r\n", b"\n"))
@@ -140,13 +193,13 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     for name, what in (("warc-block-digest", block), ("warc-payload-digest", payload)):
         algo, _, value = head.get(name, "").partition(":")
         if algo == "sha1" and not (kind == "revisit" and name == "warc-payload-digest"):
-            if base64.b32encode(hashlib.sha1(what).digest()).decode() != value:
+            if not _is_sha1(value.strip(), what):
                 raise Broken("digest differs")
     return {"type": kind, "record_id": head.get("warc-record-id", "").strip("<>"),
             "uri": head.get("warc-target-uri"), "refers_to": (head.get("warc-refers-to") or "").strip("<>") or None,
             "payload_digest": head.get("warc-payload-digest", "").partition(":")[2] or None,
             "payload_bytes": declared if kind == "revisit" and declared is not None else len(payload),
-            "payload": payload}, end + 4
+            "payload": payload}, after.end()
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
@@ -226,6 +279,7 @@ def salvage(data: bytes):
     covers their headers, in which the damage may be.
     """
     at, bad, why = 0, None, ""
+    next_start = _Starts(data)
     while at < len(data):
         wrong = ""
         try:
@@ -237,7 +291,7 @@ def salvage(data: bytes):
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = _next_start(data, at + 1)
+            at = next_start(at + 1)
             continue
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
@@ -247,17 +301,25 @@ def salvage(data: bytes):
         at = end
         if wrong and at < len(data):
             bad, why = at, wrong
-            at = _next_start(data, at)
+            at = next_start(at)
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": why}
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """Place of the next gzip magic or version line from ``at`` on, or the end."""
-    m = _VERSION.search(data, at)
-    line = m.start() if m else len(data)
-    magic = data.find(_MAGIC, at, line)
-    return line if magic < 0 else magic
+class _Starts:
+    """Places of the next gzip magic or version line, or the end; asked for at ascending places, the whole data is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.line, self.magic = data, -1, -1
+
+    def __call__(self, at: int) -> int:
+        if self.line < at:
+            m = _VERSION.search(self.data, at)
+            self.line = m.start() if m else len(self.data)
+        if self.magic < at:
+            magic = self.data.find(_MAGIC, at)
+            self.magic = magic if magic >= 0 else len(self.data)
+        return min(self.line, self.magic)
 
 
 COLUMNS = {"path": "string", "kind": "string", "offset": "bigint", "length": "bigint", "reason": "string", "type": "string",
@@ -290,5 +352,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
 def page_of(urn: Column, kind: str) -> Column:
     """The page_id in a record id, NULL where it has none."""
-    text = F.regexp_extract(urn, f"^{URN}(.*):[A-Z2-7]{{32}}$", 1)
-    return F.when(text.isin("null", ""), None).otherwise(text).cast(kind)
+    text = F.regexp_extract(urn, f"(?s)^{URN}(.*):[A-Z2-7]{{32}}$", 1)
+    plain = F.when(text.rlike("^=+(null)?$"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    for c in "\n\r%":
+        plain = F.replace(plain, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(text.isin("null", ""), None).otherwise(plain).cast(kind)

@@ -131,3 +131,67 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id int, url string, html string")
     write_warc(pages, str(tmp_path / "w"), least=3)
     assert sorted(r.type for r in read_warc(spark, str(tmp_path / "w")).collect()) == ["response"] * 3 + ["revisit"]
+
+
+def test_other_header_forms_are_good_records():
+    body = b"hello"
+    hex_digest = hashlib.sha1(body).hexdigest().encode()
+    folded = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID:\r\n <urn:x:1>\r\nX-Note: a\r\n\tb\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    lf_only = b"WARC/1.0\nWARC-Type: resource\nWARC-Record-ID: <urn:x:2>\nContent-Length: 5\n\nhello\n\n"
+    in_hex = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:3>\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    wrong = in_hex % (hex_digest[:-1] + (b"0" if hex_digest[-1:] != b"0" else b"1"))
+    data = folded + lf_only + in_hex % hex_digest + in_hex % hex_digest.upper() + wrong + record(4, body)
+    got = list(salvage(data))
+    assert [(r["kind"], r.get("record_id"), r.get("reason")) for r in got] == [
+        ("record", "urn:x:1", None), ("record", "urn:x:2", None), ("record", "urn:x:3", None), ("record", "urn:x:3", None),
+        ("gap", None, "digest differs"), ("record", "urn:x:4", None)]
+
+
+def test_many_broken_members_take_linear_time():
+    import time
+
+    bad = bytearray(gzip.compress(record(0, b"x" * 40)))
+    bad[20] ^= 255
+    took = []
+    for n in (20_000, 80_000):
+        data = bytes(bad) * n + record(7, b"end")
+        t = time.perf_counter()
+        got = list(salvage(data))
+        took.append(time.perf_counter() - t)
+        assert [r["kind"] for r in got] == ["gap", "record"] and got[0]["length"] == len(bad) * n
+    assert took[1] < 12 * took[0] + 1  # four times the data
+    lines = b"WARC/1.0\r\nX: y\r\n" * 100_000 + b"\r\n\r\n" + record(8, b"end")
+    t = time.perf_counter()
+    assert [r.get("record_id") for r in salvage(lines)][-1] == "urn:x:8"
+    assert time.perf_counter() - t < 30
+
+
+def test_long_urls_and_odd_ids(spark, tmp_path):
+    from concord.llm.warc import page_of
+    from pyspark.sql import functions as F
+
+    ids = ["null", None, "", "=null", "=", "a:b", "x\r\ny", "50%", "<z>", "plain"]
+    rows = [(p, "http://x/" + ("u" * 1_500_000 if i == 0 else str(i)), f"html {i}") for i, p in enumerate(ids)]
+    path = str(tmp_path / "odd")
+    write_warc(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = read_warc(spark, path, payload=True).select("kind", page_of(F.col("record_id"), "string").alias("id"), "payload", "uri").collect()
+    assert all(r.kind == "record" for r in got)
+    assert sorted((r.id or "-NULL-" if r.id != "" else "", bytes(r.payload).decode()) for r in got) == sorted(
+        (p if p is not None else "-NULL-", h) for p, _, h in rows)
+    assert max(len(r.uri) for r in got) > 1_500_000
+
+
+def test_files_are_bounded_by_their_bytes(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    from concord.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 2 << 20)
+    pages = spark.range(3000, numPartitions=1).selectExpr(
+        "id page_id", "concat('u', id) url", "case when id >= 2900 then repeat(chr(65 + cast(id % 26 as int)), 200000) || id else concat('tiny', id) end html")
+    path = str(tmp_path / "sizes")
+    warc.write_warc(pages, path)
+    sizes = [os.path.getsize(f) for f in glob.glob(path + "/part-*")]
+    assert max(sizes) <= 2 << 20 and len(sizes) < 100
+    assert read_warc(spark, path).where("kind = 'record'").count() == 3000
