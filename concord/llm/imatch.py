@@ -8,9 +8,13 @@ several random parts of the lexicon; small edits leave many of the parts
 untouched. Parts come in sizes from 1/4 to 1/512 of the lexicon, so short
 and long documents both have parts that few of their terms belong to.
 
-A document of which less than ``LEAST_OWN`` of its terms are in the lexicon (a
+A text's fingerprint depends on its own terms alone, so equal texts have equal
+ones wherever they come from. A text of which few terms are in the lexicon (a
 large group of near copies makes its own terms common) is hashed in the same
-parts over all its terms instead, and so is its edited text.
+parts over all its terms as well. The likeness of two texts goes over from the
+lexicon's parts to the better of both as the smaller of their shares of lexicon
+terms falls below ``LEAST_OWN``: gradually, without a threshold at which it
+jumps.
 
 A term in the band is in at least ``LEAST_SHARE`` of all documents, so the
 lexicon has at most (mean number of terms of a document) / LEAST_SHARE
@@ -28,7 +32,7 @@ from .common import cut, text_key
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: Fewest documents of a lexicon term.
 LEAST_DOCS = 2
-#: Share of a document's terms in the lexicon, below which all its terms are hashed.
+#: Share of lexicon terms from which the lexicon's parts alone tell likeness; below twice that, all terms are hashed too.
 LEAST_OWN = 0.25
 #: Sizes of the lexicon's random parts (2 ** -size of it each), and how many there are of a size at most.
 SIZES, PER_SIZE = (2, 3, 4, 5, 6, 7, 8, 9), 6
@@ -55,7 +59,7 @@ def _count(size: int) -> int:
     return min(PER_SIZE, 1 << size)
 
 
-def fingerprint(own: Column) -> Column:
+def parts(own: Column) -> Column:
     """Hashes of the sorted terms ``own``: of all, and of those in each part (0 where there are none)."""
     ordered = F.transform(F.array_sort(F.array_distinct(own)), lambda h: F.struct(h.alias("h"), F.xxhash64(F.lit(MARK), h).alias("g")))
 
@@ -81,19 +85,45 @@ def fingerprint(own: Column) -> Column:
     return F.element_at(F.transform(F.array(ordered), all_of), 1)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else the best share of equal hashes among the parts of one size.
+#: Hashes of one set of terms.
+PARTS = 1 + sum(_count(size) for size in SIZES)
+
+
+def fingerprint(own: Column, more: Column) -> Column:
+    """Fingerprint of a text with the lexicon terms ``own`` and the other terms ``more``.
+
+    First the share of lexicon terms in thousandths, LEAST_OWN's at most; then
+    the parts of the lexicon terms; and where less than twice LEAST_OWN of the
+    terms are in the lexicon, the parts of all terms.
+    """
+    n = F.size(own) + F.size(more)
+    share = F.when(n > 0, F.least(F.lit(int(1000 * LEAST_OWN)), F.floor(F.size(own) * 1000 / n))).otherwise(F.lit(0)).cast("bigint")
+    whole = F.when(F.size(own) < 2 * LEAST_OWN * n, parts(F.concat(own, more))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array(share), parts(own), whole)
+
+
+def _likeness(a: Column, b: Column, start: int) -> Column:
+    """1 for equal parts, else the best share of equal hashes among the parts of one size; the parts begin at ``start``.
 
     Parts that neither document has terms in don't count, and one is added to
     those that do, so that a single equal part is no certainty.
     """
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 2).otherwise(1))
+    pairs = F.zip_with(F.slice(a, start, PARTS), F.slice(b, start, PARTS), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 2).otherwise(1))
     shares, at = [], 2
     for size in SIZES:
         part = F.slice(pairs, at, _count(size))
         shares.append(F.size(F.filter(part, lambda p: p == 2)) / (F.size(F.filter(part, lambda p: p > 0)) + 1))
         at += _count(size)
-    return F.when(a == b, 1.0).otherwise(F.greatest(*shares))
+    return F.when(F.element_at(pairs, 1) == 2, 1.0).otherwise(F.greatest(*shares))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal fingerprints, else the likeness of the lexicon's parts, or of all terms' as the lexicon says less."""
+    lexicon_says = _likeness(a, b, 2)
+    weight = F.least(F.element_at(a, 1), F.element_at(b, 1)) / (1000 * LEAST_OWN)
+    both = (F.size(a) > 1 + PARTS) & (F.size(b) > 1 + PARTS)
+    all_say = F.when(both, F.greatest(lexicon_says, _likeness(a, b, 2 + PARTS))).otherwise(lexicon_says)
+    return F.when(a == b, 1.0).when(weight >= 1, lexicon_says).otherwise(weight * lexicon_says + (1 - weight) * all_say)
 
 
 def as_text(fp: Column) -> Column:
@@ -122,12 +152,11 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def _in_lexicon(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``rows (id, text_key, doc_id, n_chars, edited_sha256, a, b)`` with the terms a and b reduced to the lexicon.
+    """``rows (id, text_key, doc_id, n_chars, edited_sha256, copies, a, b)`` with the terms a and b parted.
 
-    Where less than LEAST_OWN of a's terms are in it, a and b stay whole. All
-    terms of a row are exploded and grouped again within the row's partition;
-    one more element carries the other columns and counts rows that are
-    repeated in full.
+    ``own_a`` and ``own_b`` are those in the lexicon, ``more_a`` and ``more_b``
+    the others. All terms of a row are exploded and grouped again within the
+    row's partition; one more element carries the other columns.
     """
     words = cut(words).withColumn("known", F.lit(True))
     if words.count() <= BROADCAST_TERMS:
@@ -139,18 +168,27 @@ def _in_lexicon(rows: DataFrame, words: DataFrame) -> DataFrame:
     def gathered(tag, known):
         return F.collect_list(F.when((F.col("tag") == tag) & (F.col("known").isNotNull() == F.lit(known)), F.col("h")))
 
-    rest = F.struct("doc_id", "n_chars", "edited_sha256")
+    rest = F.struct("doc_id", "n_chars", "edited_sha256", "copies")
     out = rows.select(
         "id", "text_key", rest.alias("rest"),
         F.explode(F.concat(F.array(F.struct(F.lit(MARK).cast("bigint").alias("h"), F.lit(0).alias("tag"))), tagged("a", 1), tagged("b", 2))).alias("x"))
     out = out.select("id", "text_key", "x.h", "x.tag", F.when(F.col("x.tag") == 0, F.col("rest")).alias("rest")).join(words, "h", "left")
     out = out.groupBy("id", "text_key").agg(
-        F.first("rest", ignorenulls=True).alias("rest"), F.count_if(F.col("tag") == 0).alias("copies"),
-        gathered(1, True).alias("a"), gathered(2, True).alias("b"), gathered(1, False).alias("more_a"), gathered(2, False).alias("more_b"))
-    # rows repeated in full repeat every term: the share is the same
-    few = F.size("a") < LEAST_OWN * (F.size("a") + F.size("more_a"))
-    whole = [F.when(few, F.concat(c, f"more_{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")]
-    return out.select("text_key", "rest.*", *whole, "copies")
+        F.first("rest", ignorenulls=True).alias("rest"),
+        gathered(1, True).alias("own_a"), gathered(2, True).alias("own_b"), gathered(1, False).alias("more_a"), gathered(2, False).alias("more_b"))
+    return out.select("text_key", "rest.*", "own_a", "own_b", "more_a", "more_b")
+
+
+def _distinct(src: DataFrame) -> DataFrame:
+    """``src (id, text_key, text)`` with one row per id and text, and its ``copies``.
+
+    Repeated rows are looked for by their keys alone; texts are regrouped only
+    where there are some.
+    """
+    again = src.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    if again.isEmpty():
+        return src.withColumn("copies", F.lit(1).cast("bigint"))
+    return src.groupBy("id", "text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
 def _same(left: str, right: str) -> Column:
@@ -163,18 +201,17 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document, in ascending order of doc_id,
     the first after the last. Returns ``doc_id, n_chars, edited_sha256, fp,
-    edited_fp, next_fp`` per row: arrays of hashes, the first over all lexicon
-    terms, one for each part of the lexicon after it. Where fewer than LEAST_OWN
-    of a text's terms are in the lexicon, it and its edited text are hashed over
-    all their terms; a text without any term has only zeros.
+    edited_fp, next_fp`` per row: arrays of numbers (:func:`fingerprint`), equal
+    for equal texts; a text without any term has only zeros.
     NULL is the empty text and the smallest id; rows repeated in full give
     repeated rows; rows that share an id have the same next document, of which
     the smallest text key stands for its id. An empty table gives no rows;
     other columns are ignored.
     """
     # the id as a struct is NULL-safe in joins; both joins read the same exchange of texts
-    src = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).select(
+    every = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "id", text_key(F.col("text")).alias("text_key"), "text")
+    src = _distinct(every)
     nxt = cut(successors(src.select("id.doc_id", "text_key")))
     want = src.select("id", "text_key", F.floor(F.char_length("text") / 4).cast("int").alias("k")).join(
         nxt.select(F.struct("doc_id").alias("id"), F.struct(F.col("next_id").alias("doc_id")).alias("next"), "next_key"), "id").where(
@@ -185,12 +222,12 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("head", F.lit("")))
     rows = src.join(heads.select(F.col("w_id").alias("id"), F.col("w_key").alias("text_key"), "head"), ["id", "text_key"], "left").select(
-        "id", "text_key", F.col("id.doc_id").alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select("id", "text_key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "id", "text_key", F.col("id.doc_id").alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "copies")
+    rows = rows.select("id", "text_key", "doc_id", "n_chars", "copies", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
-    rows = cut(_in_lexicon(rows, lexicon(src, least, most)).select(
+    rows = cut(_in_lexicon(rows, lexicon(every, least, most)).select(
         "doc_id", "text_key", "n_chars", "edited_sha256", "copies",
-        fingerprint(F.col("a")).alias("fp"), fingerprint(F.col("b")).alias("edited_fp")))
+        *[fingerprint(F.col(f"own_{c}"), F.col(f"more_{c}")).alias(name) for c, name in (("a", "fp"), ("b", "edited_fp"))]))
     of = rows.select(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key"), F.col("fp").alias("next_fp"))
     link = nxt.join(of, _same("next_id", "n_id") & (F.col("next_key") == F.col("n_key"))).select(F.col("doc_id").alias("l_id"), "next_fp")
     out = rows.join(link, _same("doc_id", "l_id"))
