@@ -19,7 +19,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from concord.functions.canon import canon  # noqa: E402
 from concord.plans import catalog  # noqa: E402
+from concord.plans.prepare import prepare  # noqa: E402
 from concord.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from concord.sources import fixtures as FX  # noqa: E402
 
@@ -27,17 +29,20 @@ HEADLINE = (
     "column_stats", "fused_reconcile", "missing_totals", "record_counts_window",
     "date_scenarios_window", "top_differences", "missing_sample", "retention_count",
     "dup_key_column_stats", "dup_key_record_stats", "hot_key_column_stats", "composite_key_missing",
-    "run_report",
+    "run_report", "dup_key_search", "digest_column_stats", "window_edges", "duplicate_top",
 )
 
 
 def unfused_compare(spark, sf_dir):
-    """Naive plan: inner join on the key for the fields, anti joins for missing."""
-    pair = FX.orders_pair(spark, sf_dir)
-    l, r = pair.left, pair.right
-    cols = [c for c in l.columns if c != "id"]
+    """Naive plan with the semantics of ``column_stats`` (matches of canonical values and NULLs per side):
+    inner join on the key for the fields, anti joins for missing; wrong in cost for duplicate keys."""
+    prep = prepare(FX.orders_pair(spark, sf_dir), catalog.cfg())
+    l, r = prep.left, prep.right
     j = l.alias("a").join(r.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")))
-    aggs = [F.count_if(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(c) for c in cols]
+    aggs = []
+    for c, t in zip(prep.value_cols, prep.aligned):
+        a, b = (canon(F.col(f"{side}.{c}"), t) for side in "ab")
+        aggs += [F.count_if(a.eqNullSafe(b)).alias(f"m_{c}"), F.count_if(a.isNull()).alias(f"l_{c}"), F.count_if(b.isNull()).alias(f"r_{c}")]
     stats = j.agg(F.count(F.lit(1)).alias("pairs"), *aggs)
     miss_r = l.join(r, l["id"].eqNullSafe(r["id"]), "left_anti").agg(F.count(F.lit(1)).alias("n"))
     miss_l = r.join(l, r["id"].eqNullSafe(l["id"]), "left_anti").agg(F.count(F.lit(1)).alias("n"))

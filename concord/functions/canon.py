@@ -10,7 +10,7 @@ Before the two sides meet, each common column is *aligned* to one type so
 both sides fit one schema:
 
 * same type on both sides: kept;
-* numeric vs numeric: widest decimal, or double when either side is
+* numeric vs numeric: widest decimal (digits as text where 38 don't hold both), or double when either side is
   floating (so ``1`` equals ``1.0`` and ``1.50`` equals ``1.5`` -- a
   deliberate, documented improvement over string-comparing raw numbers);
 * boolean vs integral with ``bool_as_int``: integral;
@@ -37,6 +37,10 @@ _FLOATING = (T.FloatType, T.DoubleType)
 _COMPLEX = (T.ArrayType, T.MapType, T.StructType)
 
 
+class Digits(T.StringType):
+    """Numbers of which no decimal holds both sides: compared by their digits, without zeros at the end of a fraction."""
+
+
 def _is_numeric(t: T.DataType) -> bool:
     return isinstance(t, _INTEGRAL + _FLOATING + (T.DecimalType,))
 
@@ -67,7 +71,9 @@ def aligned_type(lt: T.DataType, rt: T.DataType, bool_as_int: bool = False) -> T
         a, b = _as_decimal(lt), _as_decimal(rt)
         scale = max(a.scale, b.scale)
         whole = max(a.precision - a.scale, b.precision - b.scale)
-        return T.DecimalType(min(38, whole + scale), scale)
+        if whole + scale > 38:
+            return Digits()  # no decimal holds both
+        return T.DecimalType(whole + scale, scale)
     return T.StringType()
 
 
@@ -79,6 +85,8 @@ def align(col: Column, src: T.DataType, target: T.DataType) -> Column:
         return F.hex(col)
     if src == target:
         return col
+    if isinstance(target, Digits) and isinstance(src, T.DecimalType) and src.scale > 0:
+        return F.when(col == 0, F.lit("0")).otherwise(F.regexp_replace(col.cast("string"), r"\.?0+$", ""))
     if isinstance(src, T.FloatType) and isinstance(target, T.DoubleType):
         return col.cast("string").cast(target)  # 0.1 as a float is 0.1, not the nearest float's many digits
     return col.cast(target)
@@ -158,11 +166,16 @@ def display(col: Column) -> Column:
 
 
 def record_id(keys_struct: Column, key_names) -> Column:
-    """Printable record id: key values joined by ``|`` (``NULL`` for NULLs)."""
-    parts = [display(keys_struct[k]) for k in key_names]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.concat(out, F.lit("|"), p)
-    return out
+    """Printable record id: key values joined by ``|``, ``NULL`` for NULLs; different keys have different ids.
+
+    In keys of several columns, ``\\`` and ``|`` inside a value are preceded by
+    ``\\``; a value that is ``NULL`` by its letters (after any ``\\``) is too.
+    """
+    parts = []
+    for k in key_names:
+        text = keys_struct[k].cast("string")
+        if len(key_names) > 1:
+            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        text = F.when(text.rlike(r"^\\*NULL$"), F.concat(F.lit("\\"), text)).otherwise(text)
+        parts.append(F.coalesce(text, F.lit("NULL")))
+    return F.concat_ws("|", *parts)
