@@ -10,8 +10,11 @@ digits or parts, a gazetteer, the words before it, and its edges. Votes are
 Expectation-maximisation over the counts of vote patterns, kind by kind,
 estimates how reliable each labeler is and how likely each pattern is personal
 data. Those likelihoods are the soft labels of a logistic span classifier over
-votes and shape; candidates that it accepts are added. The counted table has
-at most 3 ** 5 vote patterns and 12 shapes per kind, whatever the corpus.
+votes, length, character shape and the word before the span; candidates that it
+accepts are added. What words and shapes say is counted over the whole corpus:
+hashed to BUCKETS, each bucket tells how often its spans are personal data.
+Every counted table is bounded by votes, shapes, buckets and levels, whatever
+the corpus.
 
 Positions are code points. A pattern is applied by splitting the text at its
 matches: the lengths of the pieces and of the matches add up to the positions,
@@ -20,6 +23,7 @@ so the work is linear in the text.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -66,20 +70,76 @@ CONTEXT = 24
 ROUNDS = 60
 
 
+#: Elements of an array that are gone through one by one; longer arrays are gone through in blocks of so many.
+BLOCK = 64
+
+
+def before(xs: Column, zero: Column, merge, depth: int = 2) -> Column:
+    """For every element of ``xs``, ``zero`` merged with all elements before it.
+
+    Results are appended within blocks only, and the blocks' totals are merged
+    in the same way, so the work is linear up to BLOCK ** (depth + 1) elements.
+    """
+    def appended(v):
+        return F.aggregate(
+            v, F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out")),
+            lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+
+    def joined(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda x, y: merge(x, y)))
+        return F.flatten(F.zip_with(blocks, before(totals, zero, merge, depth - 1),
+                                    lambda b, base: F.transform(appended(b), lambda x: merge(base, x))))
+
+    def whole(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(v) <= BLOCK, appended(v)).otherwise(F.element_at(F.transform(F.array(blocks), joined), 1))
+
+    # arrays are bound once: every block looks at them
+    return F.element_at(F.transform(F.array(xs), whole if depth else appended), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (s, e, m): the pattern's leftmost non-overlapping matches with their places."""
+    """Array of (s, e, m, l, r): the pattern's leftmost non-overlapping matches with their places.
+
+    l is what stands before a match, CONTEXT code points at most and not
+    beyond the match before it; r is the code point after it. Both come from
+    the pieces between matches, so that the text is never gone through again.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    sized = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
-                       lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.aggregate(
-        sized, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["n"]).alias("e"),
-                                                  x["m"].alias("m")))).alias("out")),
-        lambda acc: acc["out"])
+
+    def with_gaps(both):
+        xs, gs = both["found"], both["gaps"]
+        n = F.size(xs)
+        lefts = F.zip_with(F.slice(F.concat(F.array(F.lit("")), xs), F.lit(1), n), F.slice(gs, F.lit(1), n),
+                           lambda m, g: F.struct(F.length(g).alias("g"), F.right(F.concat(m, g), F.lit(CONTEXT)).alias("l")))
+        rights = F.zip_with(F.slice(gs, F.lit(2), n), F.slice(F.concat(xs, F.array(F.lit(""))), F.lit(2), n),
+                            lambda g, m: F.left(F.concat(F.left(g, F.lit(1)), F.left(m, F.lit(1))), F.lit(1)))
+        sides = F.zip_with(lefts, rights, lambda a, r: F.struct(a["g"].alias("g"), a["l"].alias("l"), r.alias("r")))
+        starts = before(F.zip_with(xs, lefts, lambda m, a: F.length(m) + a["g"]), F.lit(0), lambda a, b: a + b)
+        placed = F.zip_with(sides, starts, lambda a, at: F.struct((at + a["g"]).alias("s"), a["l"].alias("l"), a["r"].alias("r")))
+        return F.zip_with(xs, placed, lambda m, a: F.struct(
+            a["s"].alias("s"), (a["s"] + F.length(m)).alias("e"), m.alias("m"), a["l"].alias("l"), a["r"].alias("r")))
+
+    return F.element_at(F.transform(F.array(F.struct(found.alias("found"), gaps.alias("gaps"))), with_gaps), 1)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans (s, k, e, key)`` that overlap none of ``others (s, e)``, by one merge in order of starts."""
+    last = F.lit(2 ** 31 - 1)
+
+    def merged(u):
+        reach = before(F.transform(u, lambda x: F.when(x["f"] == 0, x["e"]).otherwise(0)), F.lit(0), F.greatest)
+        follows = F.reverse(before(F.transform(F.reverse(u), lambda x: F.when(x["f"] == 0, x["s"]).otherwise(last)), last, F.least))
+        free = F.zip_with(F.zip_with(u, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), follows, lambda a, n: F.when(
+            (a["x"]["f"] == 1) & (a["r"] <= a["x"]["s"]) & (n >= a["x"]["e"]),
+            F.struct(*[a["x"][c].alias(c) for c in ("s", "k", "e", "key")])))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    both = F.sort_array(F.concat(*[F.transform(a, lambda x: F.struct(
+        x["s"].alias("s"), F.lit(f).alias("f"), x["e"].alias("e"), x["k"].alias("k"), x["key"].alias("key"))) for f, a in enumerate((others, spans))]))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.element_at(F.transform(F.array(both), merged), 1))
 
 
 def _digits(m: Column) -> Column:
@@ -111,22 +171,20 @@ def valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(10, 15)
 
 
-def _votes(kind: str, text: Column, x: Column, strict: bool) -> Column:
+def _votes(kind: str, x: Column, strict: bool) -> Column:
     """Votes of the labelers, joined by commas."""
-    m = x["m"]
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["s"])))
-    behind = F.substring(text, x["e"] + 1, F.lit(1))
+    m, ahead, behind = x["m"], F.lower(x["l"]), x["r"]
     regex = F.lit("1" if strict else "0")
     if kind == "email":
-        check = F.when(m.rlike(r"\.\.|^[.-]|[.-]@|-$"), "-1").otherwise("1")
+        check = F.when(m.rlike(r"\.\.|^[.-]|[.-]@|-$|[^A-Za-z0-9][0-9]+$"), "-1").otherwise("1")
     elif kind == "ip":
         check = F.when(m.contains(":") | _octets(m), "1").otherwise("-1")
     else:
         check = F.when(valid(kind, m), "1").otherwise("-1")
     gazette = F.when((_digits(m) if kind == "card" else m).rlike(GAZETTEER[kind]), "1").otherwise("-1" if kind == "card" else "0")
-    cue = F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{CUES[kind]})[^\p{{L}}]*$"), "1").when(
-        before.rlike(rf"(?:^|[^\p{{L}}])(?:{AGAINST})[^\p{{L}}]*$"), "-1").otherwise("0")
-    edges = F.when(before.rlike(r"[\p{L}\p{N}=]$") | behind.rlike(r"^[\p{L}\p{N}@]"), "-1").otherwise("1")
+    cue = F.when(ahead.rlike(rf"(?:^|[^\p{{L}}])(?:{CUES[kind]})[^\p{{L}}]*$"), "1").when(
+        ahead.rlike(rf"(?:^|[^\p{{L}}])(?:{AGAINST})[^\p{{L}}]*$"), "-1").otherwise("0")
+    edges = F.when(ahead.rlike(r"[\p{L}\p{N}=]$") | behind.rlike(r"^[\p{L}\p{N}@]"), "-1").otherwise("1")
     return F.concat_ws(",", regex, check, gazette, cue, edges)
 
 
@@ -137,13 +195,24 @@ def _shape(m: Column) -> Column:
     return (size * 3 + kind).cast("string")
 
 
+#: Buckets of words before a span, and of spans' character shapes; levels of their evidence on either side of none.
+BUCKETS, LEVELS = 256, 3
+
+
+def _signs(x: Column) -> tuple[Column, Column]:
+    """Buckets of the word before a span and of its characters' shape (letters, digits and runs of them told apart)."""
+    word = F.regexp_extract(F.lower(x["l"]), r"(\p{L}+)[^\p{L}]*$", 1)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(x["m"], r"\p{L}+", "a"), "[0-9]{5,}", "9"), "[0-9]", "9")
+    return tuple(F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("string") for v in (word, shape))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, base, more)``: arrays of (s, k, e, key); key names kind, votes and shape."""
+    """``(doc_id, base, more)``: arrays of (s, k, e, key); key names kind, votes, shape and the buckets of word and characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     need = {"email": text.contains("@"), "phone": text.contains("+")}
     passes = lambda k: lambda x: valid(k, x["m"])
     out = docs.select("doc_id", text.alias("text"))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    empty = F.array().cast("array<struct<s:int,e:int,m:string,l:string,r:string>>")
     out = out.select("doc_id", "text", *[
         (F.when(need[k], matches(F.col("text"), BASE[k])).otherwise(empty) if k in need else matches(F.col("text"), BASE[k])).alias(f"b_{k}")
         for k in KINDS], *[matches(F.col("text"), WIDE[k]).alias(f"w_{k}") for k in KINDS])
@@ -152,15 +221,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def keyed(k, at, strict):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(at).alias("k"), x["e"].alias("e"), F.concat_ws(
-            "|", F.lit(k), _votes(k, F.col("text"), x, strict), _shape(x["m"])).alias("key"))
+            "|", F.lit(k), _votes(k, x, strict), _shape(x["m"]), *_signs(x)).alias("key"))
 
     base = F.concat(*[F.transform(f"b_{k}", keyed(k, i, True)) for i, k in enumerate(KINDS)])
-    wide = F.concat(*[F.transform(f"w_{k}", keyed(k, i, False)) for i, k in enumerate(KINDS)])
-    out = out.select("doc_id", base.alias("base"), wide.alias("wide"))
+    out = out.select("doc_id", base.alias("base"), *[F.transform(f"w_{k}", keyed(k, i, False)).alias(f"w_{k}") for i, k in enumerate(KINDS)])
     # a candidate that overlaps a base span, or an earlier kind's candidate, is another reading of it
-    clash = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    return out.select("doc_id", F.sort_array("base").alias("base"), F.filter(
-        "wide", lambda w: ~F.exists("base", lambda b: clash(w, b)) & ~F.exists("wide", lambda v: (v["k"] < w["k"]) & clash(w, v))).alias("more"))
+    more = [apart(F.col(f"w_{k}"), F.concat("base", *[f"w_{x}" for x in KINDS[:i]])) for i, k in enumerate(KINDS)]
+    return out.select("doc_id", F.sort_array("base").alias("base"), F.concat(*more).alias("more"))
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = ROUNDS) -> tuple[dict, float, list]:
@@ -192,9 +259,9 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = ROU
 
 
 def train(rows: list[tuple[tuple[int, ...], int, float, float]], rounds: int = 300) -> list[float]:
-    """Logistic weights over votes and shape for rows (votes, shape, count, soft label)."""
-    def vector(votes, shape):
-        return [1.0, *(float(x) for x in votes), *(float(shape == i) for i in range(12))]
+    """Logistic weights over features and shape for rows (features, shape, count, soft label)."""
+    def vector(features, shape):
+        return [1.0, *(float(x) for x in features), *(float(shape == i) for i in range(12))]
 
     total = sum(c for _, _, c, _ in rows)
     data = [(vector(v, s), c / total, y) for v, s, c, y in rows]
@@ -210,29 +277,51 @@ def train(rows: list[tuple[tuple[int, ...], int, float, float]], rounds: int = 3
     return w
 
 
-def accepted(found: DataFrame) -> list[str]:
-    """Keys (kind, votes, shape) that the trained classifier takes for personal data."""
-    every = F.explode(F.concat("base", "more"))
-    counts = found.select(every.alias("x")).groupBy("x.key").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 * 3**5 * 12
+def _level(n: float, yes: float, share: float) -> int:
+    """Evidence of a bucket in which ``yes`` of ``n`` spans are personal data, against the kind's share: whole steps, LEVELS at most."""
+    odds = math.log((yes + 2 * share) / (n - yes + 2 * (1 - share))) - math.log(share / (1 - share))
+    return max(-LEVELS, min(LEVELS, round(odds)))
+
+
+def classes(key: Column, levels: dict[str, int]) -> Column:
+    """Kind, votes, shape and the levels of word and characters of a span's key."""
+    parts = F.split(key, r"\|")
+    known = F.from_json(F.lit(json.dumps(levels)), "map<string,int>")
+    at = lambda what, i: F.coalesce(F.element_at(known, F.concat_ws("|", F.lit(what), parts[0], parts[i])), F.lit(0)).cast("string")
+    return F.concat_ws("|", parts[0], parts[1], parts[2], at("word", 3), at("shape", 4))
+
+
+def accepted(found: DataFrame) -> tuple[dict[str, int], list[str]]:
+    """Levels of the buckets, and the :func:`classes` that the trained classifier takes for personal data.
+
+    The votes' likelihoods are the soft labels. Words before spans and spans'
+    characters are counted over the whole corpus, weighted by those labels.
+    """
+    every = found.select(F.explode(F.concat("base", "more")).alias("x")).select("x.key", F.split("x.key", r"\|").alias("p"))
+    votes: dict[str, dict[tuple[int, ...], float]] = {}
+    for r in every.groupBy(F.col("p")[0].alias("kind"), F.col("p")[1].alias("votes")).count().collect():  # at most 4 * 3**5
+        votes.setdefault(r["kind"], {})[tuple(map(int, r["votes"].split(",")))] = float(r["count"])
+    posts, shares = {}, {}
+    for kind, counts in votes.items():
+        posts[kind], shares[kind], _ = reliabilities(sorted(counts.items()))
+    if not posts:
+        return {}, []
+    label = F.from_json(F.lit(json.dumps({f"{k}|{','.join(map(str, v))}": p for k, own in posts.items() for v, p in own.items()})), "map<string,double>")
+    labelled = every.withColumn("y", F.element_at(label, F.concat_ws("|", F.col("p")[0], F.col("p")[1])))
+    levels = {}
+    for what, i in (("word", 3), ("shape", 4)):  # at most 4 * BUCKETS rows each
+        for r in labelled.groupBy(F.col("p")[0].alias("kind"), F.col("p")[i].alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect():
+            levels[f"{what}|{r['kind']}|{r['b']}"] = _level(r["n"], min(r["n"], r["y"]), shares[r["kind"]])
+    rows: dict[str, list] = {}
+    for r in every.groupBy(classes(F.col("key"), levels).alias("c")).count().collect():  # at most 4 * 3**5 * 12 * (2 * LEVELS + 1)**2
+        kind, v, shape, word, chars = r["c"].split("|")
+        v = tuple(map(int, v.split(",")))
+        rows.setdefault(kind, []).append(((*v, int(word), int(chars)), int(shape), float(r["count"]), posts[kind][v], r["c"]))
     out = []
-    for kind in KINDS:
-        rows = []
-        for r in counts:
-            k, votes, shape = r["key"].split("|")
-            if k == kind:
-                rows.append((tuple(map(int, votes.split(","))), int(shape), float(r["n"]), r["key"]))
-        if not rows:
-            continue
-        by_votes: dict[tuple[int, ...], float] = {}
-        for v, _, n, _ in rows:
-            by_votes[v] = by_votes.get(v, 0.0) + n
-        post, _, _ = reliabilities(sorted(by_votes.items()))
-        w = train([(v, s, n, post[v]) for v, s, n, _ in rows])
-        for v, s, _, key in rows:
-            z = w[0] + sum(a * b for a, b in zip(w[1:], v)) + w[1 + len(v) + s]
-            if z > 0:
-                out.append(key)
-    return sorted(out)
+    for own in rows.values():
+        w = train([x[:4] for x in own])
+        out += [c for v, s, _, _, c in own if w[0] + sum(a * b for a, b in zip(w[1:], v)) + w[1 + len(v) + s] > 0]
+    return levels, sorted(out)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -245,9 +334,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     give repeated rows, an empty table none; other columns are ignored.
     """
     found = cut(candidates(docs))
-    good = accepted(found)
+    levels, good = accepted(found)
     plain = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    more = F.filter("more", lambda x: x["key"].isin(*good)) if good else F.slice("more", 1, 0)
+    more = F.filter("more", lambda x: classes(x["key"], levels).isin(*good)) if good else F.slice("more", 1, 0)
     return found.select("doc_id", plain("base").alias("base"), F.sort_array(plain(F.concat("base", more))).alias("spans"))
 
 
