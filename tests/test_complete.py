@@ -1,6 +1,5 @@
 """Wide counters, failing tables, duplicate keys and keys of two types."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from concord import Reconciliation, TablePair
