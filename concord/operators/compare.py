@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from concord.functions import canon as C
 from concord.functions import timecols as TC
 from concord.plans.prepare import KEY, SIDE, Prepared
+from concord.sources.schema import quoted
 
 MISSING_IN_RIGHT = "missing_in_right"
 MISSING_IN_LEFT = "missing_in_left"
@@ -164,18 +165,16 @@ def single_rows(prep: Prepared, duplicates: DataFrame | None, totals: Row | None
             rows = split_by_keys(prep, rows, duplicates, totals, inside=False)
         if only is not None:
             rows = rows.join(only, same_key(prep), "left_semi")
-        return rows.select(*[F.col(k).alias(f"{letter}{k}") for k in prep.flat_keys()], F.lit(1).cast("long").alias(f"n_{letter}"),
-                           *[F.col(f"v_{j}").alias(f"{letter}_{j}") for j in range(n)])
+        return rows.selectExpr(*[f"{k} as {letter}{k}" for k in prep.flat_keys()], f"1L as n_{letter}",
+                               *[f"v_{j} as {letter}_{j}" for j in range(n)])
 
     left, right = side(0, "l"), side(1, "r")
     both = left.join(right, same_key(prep, "l", "r"), "full_outer")
-    key = F.struct(*[F.coalesce(f"l{f}", f"r{f}").alias(k) for f, k in zip(prep.flat_keys(), prep.keys)]).alias(KEY)
-    zero = F.lit(0).cast("long")
-    return both.select(
-        key, F.coalesce("n_l", zero).alias("n_l"), F.coalesce("n_r", zero).alias("n_r"),
-        *[F.col(f"{s}_{j}") for s in "lr" for j in range(n)],
-        *[C.same(value("l", j), value("r", j), prep.aligned[j]).alias(f"e_{j}") for j in range(n)],
-    )
+    key = ", ".join(f"coalesce(l{f}, r{f}) as {quoted(k)}" for f, k in zip(prep.flat_keys(), prep.keys))
+    return both.selectExpr(
+        f"struct({key}) as {KEY}", "coalesce(n_l, 0L) as n_l", "coalesce(n_r, 0L) as n_r",
+        *[f"{s}_{j}" for s in "lr" for j in range(n)],
+        *[f"{C.same_sql(f'l_{j}', f'r_{j}', prep.aligned[j])} as e_{j}" for j in range(n)])
 
 
 def value(side: str, i: int) -> Column:
@@ -198,12 +197,13 @@ def differs(prep: Prepared) -> Column:
 
 def single_counters(prep: Prepared) -> list[Column]:
     """Aggregates over :func:`single_rows`; a joined key is one row pair."""
-    out = [F.count_if(joined()).alias("single_pairs"), F.count_if(joined() & all_equal(prep)).alias("single_matching")]
+    joined, every = "n_l > 0 and n_r > 0", " and ".join(f"e_{i}" for i in range(len(prep.value_cols))) or "true"
+    out = [f"count_if({joined}) as single_pairs", f"count_if({joined} and {every}) as single_matching"]
     for i, t in enumerate(prep.aligned):
-        out += [F.count_if(joined() & F.col(f"e_{i}")).alias(f"m_{i}"),
-                F.count_if(joined() & C.is_null(value("l", i), t)).alias(f"nl_{i}"),
-                F.count_if(joined() & C.is_null(value("r", i), t)).alias(f"nr_{i}")]
-    return out
+        out += [f"count_if({joined} and e_{i}) as m_{i}",
+                f"count_if({joined} and {C.is_null_sql(f'l_{i}', t)}) as nl_{i}",
+                f"count_if({joined} and {C.is_null_sql(f'r_{i}', t)}) as nr_{i}"]
+    return [F.expr(x) for x in out]
 
 
 COUNTS = ("matches", "mismatches", "null_left", "null_right")
@@ -214,13 +214,11 @@ def column_counts(prep: Prepared, totals: DataFrame) -> DataFrame:
     if not prep.value_cols:
         return totals.select(F.lit(0).alias("ci"), F.lit("").alias("column_name"),
                              *[F.lit(0).cast(PAIRS).alias(c) for c in COUNTS]).where(F.lit(False))
-    rows = [
-        F.struct(F.lit(i).alias("ci"), F.lit(c).alias("column_name"), F.col(f"m_{i}").cast(PAIRS).alias("matches"),
-                 (F.col("single_pairs") - F.col(f"m_{i}")).cast(PAIRS).alias("mismatches"),
-                 F.col(f"nl_{i}").cast(PAIRS).alias("null_left"), F.col(f"nr_{i}").cast(PAIRS).alias("null_right"))
-        for i, c in enumerate(prep.value_cols)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+    counts = [f"{i}, cast(m_{i} as {PAIRS}), cast(single_pairs - m_{i} as {PAIRS}), cast(nl_{i} as {PAIRS}), cast(nr_{i} as {PAIRS})"
+              for i in range(len(prep.value_cols))]
+    names = F.lit(prep.value_cols)
+    return (totals.selectExpr(f"stack({len(counts)}, {', '.join(counts)}) as (ci, {', '.join(COUNTS)})")
+            .select("ci", F.get(names, "ci").alias("column_name"), *COUNTS))
 
 
 # -- differences -------------------------------------------------------------------------
@@ -232,16 +230,10 @@ def single_differences(prep: Prepared, rows: DataFrame) -> DataFrame:
     cells never become rows.
     """
     cells = [
-        F.struct(
-            F.lit(i).alias("ci"),
-            F.lit(c).alias("column_name"),
-            (~cell_equal(prep, i)).alias("differs"),
-            C.display(value("l", i)).alias("left_value"),
-            C.display(value("r", i)).alias("right_value"),
-            C.canon_text(value("l", i), prep.aligned[i]).alias("ls"),
-            C.canon_text(value("r", i), prep.aligned[i]).alias("rs"),
-        )
-        for i, c in enumerate(prep.value_cols)
+        f"named_struct('ci', {i}, 'differs', not e_{i}, "
+        f"'left_value', coalesce(cast(l_{i} as string), 'NULL'), 'right_value', coalesce(cast(r_{i} as string), 'NULL'), "
+        f"'ls', {C.canon_text_sql(f'l_{i}', t)}, 'rs', {C.canon_text_sql(f'r_{i}', t)})"
+        for i, t in enumerate(prep.aligned)
     ]
     one = [F.lit(1).cast("long").alias(c) for c in ("left_rows", "right_rows")]
     if not cells:
@@ -250,8 +242,8 @@ def single_differences(prep: Prepared, rows: DataFrame) -> DataFrame:
             KEY, *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in empty], *one, F.lit(1).cast(PAIRS).alias("pairs"))
     return (
         rows.where(joined())
-        .select(KEY, F.inline(F.filter(F.array(*cells), lambda x: x["differs"])))
-        .select(KEY, "ci", "column_name", "left_value", "right_value", "ls", "rs", *one, F.lit(1).cast(PAIRS).alias("pairs"))
+        .selectExpr(KEY, f"inline(filter(array({', '.join(cells)}), x -> x.differs))")
+        .select(KEY, "ci", F.get(F.lit(prep.value_cols), "ci").alias("column_name"), "left_value", "right_value", "ls", "rs", *one, F.lit(1).cast(PAIRS).alias("pairs"))
     )
 
 

@@ -73,6 +73,9 @@ class Prepared:
         ``values`` only the keys are read.
         """
         df, types = (self.left, self.left_types) if side == 0 else (self.right, self.right_types)
+        if values and list(types) == self.aligned and [df.schema[k].dataType for k in self.keys] == self.key_types:
+            return df.selectExpr(*[f"{quoted(k)} as {f}" for k, f in zip(self.keys, self.flat_keys())],
+                                 *[f"{quoted(c)} as v_{i}" for i, c in enumerate(self.value_cols)])
         keys = [C.align(F.col(quoted(k)), df.schema[k].dataType, t).alias(f)
                 for k, t, f in zip(self.keys, self.key_types, self.flat_keys())]
         cells = [C.align(F.col(quoted(c)), src, tgt).alias(f"v_{i}")

@@ -9,7 +9,8 @@ Job count for a pair with window and retention on:
 * comparison: one full outer join of the rows of all other keys. Its counters
   are taken while the rows that differ or are missing -- and no others -- are
   written to the shared ``spark.checkpoint.dir`` (or persisted), where the
-  difference and missing lists read them;
+  difference and missing lists read them (tables of over 100 columns: as bit
+  sets of flags, counted by chunks of columns, see ``operators/wide.py``);
 * duplicate keys (rare): their rows are read once more into one kept table of
   counted value tuples;
 * retention: one scan of the left side with its own pushed-down filter.
@@ -32,6 +33,7 @@ from concord.operators import compare as CMP
 from concord.operators import counts as CNT
 from concord.operators import digest as DIG
 from concord.operators import multiset as MS
+from concord.operators import wide as WD
 from concord.plans.prepare import (EMPTY_BOTH, EMPTY_LEFT, EMPTY_RIGHT, KEY, OK, Prepared,
                                    prepare)
 from concord.sources.sinks import checkpoint_root, delete_path, shared_dir
@@ -116,6 +118,7 @@ class Reconciliation:
         self._drift: Optional[DataFrame] = None
         self._totals: Optional[DataFrame] = None
         self._digests = None
+        self._packed: Optional[DataFrame] = None
         self._tuples: Optional[DataFrame] = None
         self._values: Optional[DataFrame] = None
         self._counts: Optional[DataFrame] = None
@@ -180,6 +183,9 @@ class Reconciliation:
         if self.cfg.digest_prefilter and both:
             self._digests, self._drift, self._totals = DIG.compared(
                 self.prep, self.duplicate_keys(), s, lambda *a: kept_with_counters(*a, mode))
+        elif both and WD.is_wide(self.prep):
+            self._packed = materialize(WD.packed(self.prep, self.rows()), mode)
+            self._drift, self._totals = WD.drifted(self.prep, self._packed), WD.totals(self.prep, self._packed)
         elif both:
             self._drift, self._totals = kept_with_counters(
                 self.rows(), CMP.differs(self.prep), CMP.single_counters(self.prep), mode)
@@ -197,6 +203,8 @@ class Reconciliation:
         if self._totals is None:
             if self.keep or self.cfg.digest_prefilter:
                 self._compared()
+            elif WD.is_wide(self.prep):
+                self._totals = WD.totals(self.prep, WD.packed(self.prep, self.rows()))
             else:
                 self._totals = self.rows().agg(*CMP.single_counters(self.prep)).cache()
         return self._totals
@@ -383,8 +391,8 @@ class Reconciliation:
 
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
-        for df in (self._duplicates, self._drift, self._totals, self._digests, self._tuples, self._values,
+        for df in (self._duplicates, self._drift, self._packed, self._totals, self._digests, self._tuples, self._values,
                    self._key_summary, self._counts):
             release(df)
-        self._duplicates = self._drift = self._totals = self._digests = self._tuples = self._values = None
+        self._duplicates = self._drift = self._packed = self._totals = self._digests = self._tuples = self._values = None
         self._key_summary = self._counts = self._summary = None

@@ -57,6 +57,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # a call site per Column costs more than the Column; it can be set only before the session starts
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("CONCORD_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
