@@ -16,10 +16,16 @@ lengths that such items have.
 Documents keep only fingerprints that a bitmap of the benchmark's hashes
 admits. The bitmap has at most ``MAX_BITS`` bits whatever the benchmark's size;
 a fuller bitmap admits more fingerprints to the join, never fewer.
+
+A long text is hashed in stretches that share ``SPAN - 1`` words, so every
+window lies whole in one of them, and memory beyond the text itself does not
+grow with it (one word longer than ``PIECE`` bytes is still held whole).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +37,8 @@ K = 9
 #: Words of context on either side of a k-gram: all windows of SPAN words around it.
 REACH = SPAN - K
 MAX_BITS = 1 << 26
-#: Bytes of text hashed at a time; a longer text is one piece.
-PIECE = 4 << 20
+#: Bytes of text hashed at a time; a longer text is cut between words.
+PIECE = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -109,20 +115,50 @@ def _context(words: Words, at: int, lo: int, hi: int, k: int) -> list[str | None
     return [words.word(i) if lo <= i < hi else None for i in range(at - REACH, at + k + REACH)]
 
 
-def _pieces(texts: list[bytes]):
-    """Index ranges of at most PIECE bytes, one text at least."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > PIECE:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def _encoded(texts) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass").replace(b"\x00", b" ") if isinstance(t, str) else b"" for t in texts]
+def _encoded(text) -> bytes:
+    return text.encode("utf-8", "surrogatepass").replace(b"\x00", b" ") if isinstance(text, str) else b""
+
+
+#: A byte that is in no word (before A-Z are lower-cased).
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def _stretches(text: bytes):
+    """``(place of its first word, Words)`` of stretches of about PIECE bytes; neighbours share SPAN - 1 words."""
+    at = first = 0
+    while True:
+        size = PIECE
+        while True:
+            gap = _GAP.search(text, at + size)
+            end = gap.start() if gap else len(text)
+            words = Words([text[at:end]])
+            if end == len(text) or len(words.hash) >= 2 * SPAN:
+                break
+            size = 2 * (end - at)
+        yield first, words
+        if end == len(text):
+            return
+        step = len(words.hash) - (SPAN - 1)
+        at, first = at + int(words.start[step]), first + step
+
+
+def _worded(texts):
+    """``(rows, place, Words)``: short texts some at a time, a long one stretch by stretch; place is that of its first word."""
+    rows, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        text = _encoded(text)
+        if len(text) > PIECE:
+            for first, words in _stretches(text):
+                yield [i], first, words
+            continue
+        if rows and size + len(text) > PIECE:
+            yield rows, 0, Words(held)
+            rows, held, size = [], [], 0
+        rows.append(i)
+        held.append(text)
+        size += len(text)
+    if rows:
+        yield rows, 0, Words(held)
 
 
 def benchmark_prints(items: DataFrame) -> DataFrame:
@@ -134,14 +170,14 @@ def benchmark_prints(items: DataFrame) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for item, text in zip(pdf["item"], _encoded(pdf["text"])):
-                w = Words([text])
-                n = len(w.hash)
-                if n >= SPAN:
-                    out += [(item, K, int(h), _context(w, p, 0, n, K)) for p, h in
-                            zip(*(x.tolist() for x in (lambda r: (r[0], r[1].view(np.int64)))(winnow(w))))]
-                elif n:
-                    out.append((item, n, int(w.grams(n).view(np.int64)[0]), [w.word(i) for i in range(n)]))
+            for item, text in zip(pdf["item"], pdf["text"]):
+                for _, w in _stretches(_encoded(text)):
+                    n = len(w.hash)
+                    if n >= SPAN:
+                        at, h = winnow(w)
+                        out += [(item, K, x, _context(w, p, 0, n, K)) for p, x in zip(at.tolist(), h.view(np.int64).tolist())]
+                    elif n:
+                        out.append((item, n, int(w.grams(n).view(np.int64)[0]), [w.word(i) for i in range(n)]))
             yield pd.DataFrame(out, columns=["item", "k", "hash", "ctx"])
 
     src = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
@@ -172,29 +208,34 @@ def document_prints(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
         slot = h >> np.uint64(64 - width)
         return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    def marks(w: Words):
+        """``(text, fingerprint)`` of the admitted fingerprints."""
+        owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        for k in [0, *lengths]:
+            if k:  # the length of short items: every place counts
+                h = w.grams(k)
+                at = np.flatnonzero(admitted(h)) if len(h) else np.zeros(0, np.int64)
+                at = at[owner[at] == owner[at + k - 1]]
+                h = h[at]
+            else:
+                at, h = winnow(w)
+                keep = admitted(h) if len(h) else np.zeros(0, bool)
+                at, h = at[keep], h[keep]
+            for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                i = int(owner[p])
+                lo, hi = int(w.first[i]), int(w.first[i + 1])
+                ctx = [w.word(q) for q in range(p, p + k)] if k else _context(w, p, lo, hi, K)
+                yield i, {"k": k or K, "hash": x, "at": p - lo, "short": bool(k), "ctx": ctx}
+
     def run(batches):
         for pdf in batches:
-            texts = _encoded(pdf.pop("text"))
+            texts = pdf.pop("text")
             found, counts = [[] for _ in texts], np.zeros(len(texts), np.int64)
-            for a, b in _pieces(texts):
-                w = Words(texts[a:b])
-                counts[a:b] = np.diff(w.first)
-                owner = np.repeat(np.arange(b - a), np.diff(w.first))
-                for k in [0, *lengths]:
-                    if k:  # the length of short items: every place counts
-                        h = w.grams(k)
-                        at = np.flatnonzero(admitted(h)) if len(h) else np.zeros(0, np.int64)
-                        at = at[owner[at] == owner[at + k - 1]]
-                        h = h[at]
-                    else:
-                        at, h = winnow(w)
-                        keep = admitted(h) if len(h) else np.zeros(0, bool)
-                        at, h = at[keep], h[keep]
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        i = int(owner[p])
-                        lo, hi = int(w.first[i]), int(w.first[i + 1])
-                        ctx = [w.word(q) for q in range(p, p + k)] if k else _context(w, p, lo, hi, K)
-                        found[a + i].append({"k": k or K, "hash": x, "at": p - lo, "short": bool(k), "ctx": ctx})
+            for rows, place, w in _worded(texts):
+                counts[rows] = place + np.diff(w.first)
+                for i, mark in marks(w):
+                    mark["at"] += place
+                    found[rows[i]].append(mark)
             pdf["n_words"], pdf["found"] = counts, found
             yield pdf
 

@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from concord.llm.decontaminate import Words, contamination, decontaminate, winnow
+from concord.llm import decontaminate as module
+from concord.llm.decontaminate import PIECE, SPAN, Words, _stretches, contamination, decontaminate, winnow
 
 
 def words(text):
@@ -82,3 +83,49 @@ def test_odd_tables(spark):
     assert [r.text for r in decontaminate(docs, items).collect()] == ["other"]
     assert decontaminate(docs, items.limit(0)).count() == 4
     assert contamination(docs.limit(0), items).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of several stretches, passages at and across every cut, a word longer than a piece, a long item."""
+    rng = random.Random(3)
+    item = " ".join(f"q{i}" for i in range(30))
+    long = []
+    while len(long) < 40_000:
+        long += [f"w{rng.randint(0, 9999)}" * 14 for _ in range(200)]
+        at = rng.randint(0, 17)
+        long += item.split()[at:at + rng.randint(5, 30)]
+    text = " ".join(long)
+    assert len(text) > 2 * PIECE
+    cuts = [first for first, _ in _stretches(text.encode())][1:]
+    for c in cuts:  # a passage over each cut
+        long[c - 8:c + 22] = item.split()
+    edges = " ".join(long)
+    giant = "x" * (PIECE + 5) + " " + item + " " + "y" * (PIECE + 7) + " " + item
+    docs = [(1, text), (2, edges), (3, giant), (4, item), (5, "x" * (PIECE + 5))]
+    items = [(1, item), (2, "q3 q4"), (3, " ".join(long[1000:21_000]))]
+    assert run(spark, docs, items[:2]) == plain(docs, items[:2])
+    got = run(spark, docs, items)
+    assert got[2] == (len(long), got[2][1], ["1", "2", "3"], True) and got[2][1] >= 20_000
+
+
+def test_stretches_hold_every_window():
+    text = " ".join(f"w{i}" for i in range(300_000)).encode()
+    whole, seen, end = Words([text]), 0, 0
+    for first, w in _stretches(text):
+        assert first == max(0, end - (SPAN - 1)) and list(w.hash[:5]) == list(whole.hash[first:first + 5])
+        end, seen = first + len(w.hash), seen + 1
+    assert end == len(whole.hash) and seen > 1
+
+
+def test_memory_does_not_grow_with_a_long_text():
+    import tracemalloc
+
+    peaks = []
+    for n in (4, 16):
+        text = b"some words, of a long text. " * (n * 40_000)
+        tracemalloc.start()
+        for _, w in module._stretches(text):
+            winnow(w)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.1 * peaks[0] < 150e6
