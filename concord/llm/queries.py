@@ -72,7 +72,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(table(spark, sf_dir, "documents"))
     of = lambda i: lambda x: x["k"] == i
-    return out.select("doc_id", *[F.size(F.filter("spans", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+    return out.select("doc_id", *[F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
                       F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 

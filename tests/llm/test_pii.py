@@ -1,9 +1,11 @@
+import hashlib
 import re
 from itertools import product
 
 import pytest
 
 from concord.llm.pii import KINDS, personal_data, reliabilities, train
+from concord.llm.queries import op8_pii
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
          "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -177,3 +179,17 @@ def test_planted_data_of_all_kinds(spark):
         false += sum(not any(a < e and s < b for s, _, e in spans) for a, _, b in out[i])
     print("recall", {KINDS[k]: (hit[k], n[k]) for k in range(4)}, "false", false)
     assert all(h >= 0.9 * m for h, m in zip(hit, n)) and false <= 0.05 * sum(n)
+
+
+def test_query_counts_the_base_spans_as_its_digest_does(spark, tmp_path):
+    rows = [(i, f"call ann{i}@mail.example.com or +1 (212) 555-{1000 + i} now, host 8.8.{i}.4 end") for i in range(60)]
+    rows += [(100, "mail me: joe [at] example [dot] com"), (101, "phone +1 (855) 555-4208 4866351201689520 end"), (102, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    added = 0
+    for r in op8_pii(spark, str(tmp_path)).collect():
+        base = plain(dict(rows)[r.doc_id])
+        listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(x[1] == i for x in base) for i in range(len(KINDS))]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        added += r.spans != listed
+    assert added  # some texts have spans beyond the counted ones
