@@ -100,6 +100,7 @@ def key_summary(prep: Prepared, counts: DataFrame) -> DataFrame:
         F.count_if(duplicate() & joined()).alias("duplicate_joined_keys"),
         # size of the duplicate-key set, measured (sizes its broadcast)
         F.sum(F.when(duplicate(), size + ROW_OVERHEAD_BYTES)).alias("duplicate_key_bytes"),
+        F.max(n_l + n_r).alias("largest_key"),
         *_pairs(joined(), "joined_pairs"),
         *_pairs(joined() & duplicate(), "duplicate_pairs"),
     )

@@ -46,7 +46,11 @@ def product(a: str, b: Column | str, narrow: bool) -> Column:
 
 def tuple_counts(prep: Prepared, duplicates: DataFrame, totals: Row) -> DataFrame:
     """(flat key, n_l, n_r, canonical values c_i) -> (cl, cr) of duplicate keys on both sides."""
-    rows = split_by_keys(prep, prep.both_tagged(), duplicates.where(joined()), totals, inside=True)
+    return counted(prep, split_by_keys(prep, prep.both_tagged(), duplicates.where(joined()), totals, inside=True))
+
+
+def counted(prep: Prepared, rows: DataFrame) -> DataFrame:
+    """Tagged ``rows`` with ``n_l`` and ``n_r``, grouped by key and canonical values."""
     s = F.col(SIDE)
     cells = [C.canon(F.col(f"v_{i}"), t).alias(f"c_{i}") for i, t in enumerate(prep.aligned)]
     own = rows.select(*prep.flat_keys(), "n_l", "n_r", SIDE, *cells)

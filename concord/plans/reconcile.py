@@ -12,7 +12,8 @@ Job count for a pair with window and retention on:
   difference and missing lists read them (tables of over 100 columns: as bit
   sets of flags, counted by chunks of columns, see ``operators/wide.py``);
 * duplicate keys (rare): their rows are read once more into one kept table of
-  counted value tuples;
+  counted value tuples; where they are too many to broadcast, each list or
+  count takes one pass over the rows instead, see ``operators/dealt.py``;
 * retention: one scan of the left side with its own pushed-down filter.
 
 Only one-row summaries reach the driver.
@@ -31,6 +32,7 @@ from concord.functions import canon as C
 from concord.functions import format as FM
 from concord.operators import compare as CMP
 from concord.operators import counts as CNT
+from concord.operators import dealt as DLT
 from concord.operators import digest as DIG
 from concord.operators import multiset as MS
 from concord.operators import wide as WD
@@ -115,6 +117,9 @@ class Reconciliation:
         self._key_summary: Optional[DataFrame] = None
         self._summary = None
         self._duplicates: Optional[DataFrame] = None
+        self._heavy: Optional[DataFrame] = None
+        self._light_totals: Optional[DataFrame] = None
+        self._first: Optional[DataFrame] = None
         self._drift: Optional[DataFrame] = None
         self._totals: Optional[DataFrame] = None
         self._digests = None
@@ -168,6 +173,32 @@ class Reconciliation:
             self._duplicates = materialize(CMP.key_counts(self.prep).where(CMP.duplicate()), self.cfg.materialize)
         return self._duplicates
 
+    # -- many duplicate keys --------------------------------------------------------
+    def dealt(self) -> bool:
+        """Many keys are duplicates: rows are dealt out by key once for each result, whatever their key's copies."""
+        return not self.cfg.digest_prefilter and DLT.fits(self.prep, self.summary())
+
+    def heavy_keys(self) -> Optional[DataFrame]:
+        """Counts of the heavy duplicate keys (kept once), or None without any."""
+        if self.summary()["largest_key"] < DLT.least_heavy(self.summary()):
+            return None
+        if self._heavy is None:
+            self._heavy = materialize(DLT.heavy_keys(self.prep, self.summary()), self.cfg.materialize)
+        return self._heavy
+
+    def light_rows(self, only: Optional[DataFrame] = None) -> DataFrame:
+        return DLT.light_rows(self.prep, self.summary(), self.heavy_keys(), only)
+
+    def light_totals(self, columns: bool = True, record: bool = True) -> DataFrame:
+        """One row: the counters of light keys, all of them where rows are kept for several results."""
+        if self._light_totals is not None:
+            return self._light_totals
+        every = self.keep or (columns and record)
+        out = DLT.counters(self.prep, self.light_rows(), int(self.summary()["joined_pairs"]), columns or every, record or every)
+        if every:
+            out = self._light_totals = out.cache()
+        return out
+
     # -- rows ---------------------------------------------------------------------
     def rows(self) -> DataFrame:
         """One row per key with at most one row a side, with both sides' values (not kept)."""
@@ -213,7 +244,9 @@ class Reconciliation:
     def tuples(self) -> DataFrame:
         """Counted value tuples of duplicate keys (kept once)."""
         if self._tuples is None:
-            self._tuples = materialize(MS.tuple_counts(self.prep, self.duplicate_keys(), self.summary()), self.cfg.materialize)
+            found = (MS.counted(self.prep, DLT.heavy_rows(self.prep, self.heavy_keys())) if self.dealt()
+                     else MS.tuple_counts(self.prep, self.duplicate_keys(), self.summary()))
+            self._tuples = materialize(found, self.cfg.materialize)
         return self._tuples
 
     def values(self) -> DataFrame:
@@ -223,7 +256,15 @@ class Reconciliation:
             self._values = materialize(MS.value_counts(self.prep, self.tuples()), mode)
         return self._values
 
+    def counted_apart(self) -> bool:
+        """Some joined keys are counted by their value tuples: the duplicates, or where rows are dealt out the heavy ones."""
+        return self.heavy_keys() is not None if self.dealt() else self.has_duplicates()
+
     def duplicate_pairs(self) -> int:
+        """Row pairs of the keys that are counted by their value tuples."""
+        if self.dealt():
+            n = F.col("n_l").cast("decimal(19,0)") * F.col("n_r").cast("decimal(19,0)")
+            return int(self.heavy_keys().agg(F.sum(n)).first()[0] or 0)
         return int(self.summary()["duplicate_pairs"])
 
     # -- counts ---------------------------------------------------------------
@@ -241,8 +282,8 @@ class Reconciliation:
 
     # -- field comparison -----------------------------------------------------------
     def _column_counts(self) -> DataFrame:
-        counts = CMP.column_counts(self.prep, self.totals())
-        if self.has_duplicates() and self.prep.value_cols:
+        counts = CMP.column_counts(self.prep, self.light_totals(record=False) if self.dealt() else self.totals())
+        if self.counted_apart() and self.prep.value_cols:
             more = MS.column_counts(self.prep, self.values(), self.duplicate_pairs())
             counts = counts.unionByName(more).groupBy("ci", "column_name").agg(
                 *[F.sum(c).cast(CMP.PAIRS).alias(c) for c in CMP.COUNTS])
@@ -268,8 +309,9 @@ class Reconciliation:
 
     def _matching(self) -> DataFrame:
         """One row: row pairs that match on every column."""
-        m = self.totals().select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"))
-        if self.has_duplicates():
+        totals = self.light_totals(columns=False) if self.dealt() else self.totals()
+        m = totals.select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"))
+        if self.counted_apart():
             m = m.union(MS.matching_pairs(self.tuples(), self.duplicate_pairs())).agg(F.sum("matching").cast(CMP.PAIRS).alias("matching"))
         return m
 
@@ -298,8 +340,11 @@ class Reconciliation:
         duplicate key whose rows hold one value a side; otherwise each value
         has its line (:func:`concord.operators.multiset.differences`).
         """
-        d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
-        if self.has_duplicates() and self.prep.value_cols:
+        if self.dealt():
+            d = DLT.differences(self.prep, DLT.values(self.prep, self.light_rows())).select(*self._LINE)
+        else:
+            d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
+        if self.counted_apart() and self.prep.value_cols:
             d = d.unionByName(MS.differences(self.prep, self.values()).select(*self._LINE))
         return self._listed(d)
 
@@ -309,8 +354,13 @@ class Reconciliation:
         For a duplicate key, a line per differing combination of values.
         """
         limit = self.cfg.max_differences if limit is None else limit
-        d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
-        if self.has_duplicates() and self.prep.value_cols:
+        if self.dealt():
+            release(self._first)
+            first = self._first = DLT.first_keys(self.prep, DLT.values(self.prep, self.light_rows()), limit).persist()  # few keys a column
+            d = DLT.combinations(self.prep, DLT.values(self.prep, self.light_rows(only=first)), first, limit).select(*self._LINE)
+        else:
+            d = CMP.single_differences(self.prep, self.drift()).select(*self._LINE)
+        if self.counted_apart() and self.prep.value_cols:
             d = d.unionByName(MS.first_differences(self.prep, self.values(), self.duplicate_pairs(), limit).select(*self._LINE))
         w = Window.partitionBy("column_name").orderBy(
             F.col(KEY).asc_nulls_first(), F.col("ls").asc_nulls_first(), F.col("rs").asc_nulls_first())
@@ -319,8 +369,8 @@ class Reconciliation:
 
     def record_verdicts(self) -> DataFrame:
         """One row per joined key: its pairs and the columns in which any pair differs."""
-        v = CMP.record_verdicts(self.prep, self.rows())
-        if self.has_duplicates():
+        v = DLT.verdicts(self.prep, self.light_rows()) if self.dealt() else CMP.record_verdicts(self.prep, self.rows())
+        if self.counted_apart():
             if self.prep.value_cols:
                 more = MS.verdicts(self.prep, self.values(), self.duplicate_pairs())
             else:
@@ -337,9 +387,9 @@ class Reconciliation:
         """One row: row, pair and missing totals and the matches of every column, all keys included."""
         s = self.summary()
         names = [f"m_{i}" for i in range(len(self.prep.value_cols))]
-        parts = self.totals().select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"),
+        parts = (self.light_totals() if self.dealt() else self.totals()).select(F.col("single_matching").cast(CMP.PAIRS).alias("matching"),
                                      *[F.col(m).cast(CMP.PAIRS).alias(m) for m in names])
-        if self.has_duplicates():
+        if self.counted_apart():
             parts = parts.unionByName(MS.matching_pairs(self.tuples(), self.duplicate_pairs()).toDF("matching"), allowMissingColumns=True)
             if names:
                 per_col = MS.column_counts(self.prep, self.values(), self.duplicate_pairs()).agg(*[
@@ -391,8 +441,8 @@ class Reconciliation:
 
     # -- lifecycle ------------------------------------------------------------------
     def close(self) -> None:
-        for df in (self._duplicates, self._drift, self._packed, self._totals, self._digests, self._tuples, self._values,
-                   self._key_summary, self._counts):
+        for df in (self._duplicates, self._heavy, self._light_totals, self._first, self._drift, self._packed, self._totals, self._digests,
+                   self._tuples, self._values, self._key_summary, self._counts):
             release(df)
-        self._duplicates = self._drift = self._packed = self._totals = self._digests = self._tuples = self._values = None
+        self._duplicates = self._heavy = self._light_totals = self._first = self._drift = self._packed = self._totals = self._digests = self._tuples = self._values = None
         self._key_summary = self._counts = self._summary = None

@@ -102,3 +102,43 @@ def test_copies_differing_in_one_column(spark):
     assert ("1", "x", "10", "11", 6) in diffs
     assert ("3", "x", "30", "31", 1) in diffs
     assert not any(c == "s" for _, c, *_ in diffs)
+
+
+def _every_result(rec):
+    frames = [rec.column_stats(), rec.record_stats(), rec.fused(), rec.record_verdicts(), rec.all_differences(), rec.top_differences(4)]
+    out = [sorted(map(repr, df.collect())) for df in frames]
+    rec.close()
+    return out
+
+
+def test_many_duplicate_keys_give_the_same_in_one_pass(spark, monkeypatch):
+    """More duplicate keys than a broadcast takes: light keys (of one row a side too) in one pass, heavy ones by their tuples."""
+    from concord.operators import compare as CMP
+    from concord.operators import dealt as DLT
+    from test_plans import plan_of
+    monkeypatch.setattr(CMP, "HEAVY", 8)
+    rng = random.Random(11)
+    words, numbers = ["a", " a", "b", "", None, "NULL"], [0.0, -0.0, 1.5, float("nan"), None]
+
+    def side(singles):
+        rows = [(rng.choice([5, 6, 7, None]), "x", rng.choice(words), rng.choice(numbers), rng.choice([1, 2, None])) for _ in range(40)]
+        rows += [(9, "hot", rng.choice(words), rng.choice(numbers), 3) for _ in range(60)]
+        return rows + [(i, None, rng.choice(words), rng.choice(numbers), rng.choice([1, None])) for i in singles]
+
+    schema = "id int, part string, w string, d double, n int"
+    p = TablePair("t", spark.createDataFrame(side(range(100, 130)), schema), spark.createDataFrame(side(range(110, 140)), schema), keys=("id", "part"))
+    p2 = TablePair("t", p.left.where("id <> 9"), p.right.where("id <> 9"), keys=("id", "part"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for pair, heavy, keep in ((p, 1, True), (p2, 0, False)):
+        monkeypatch.setattr(CMP, "HEAVY", 8 if heavy else 2)
+        want = _every_result(Reconciliation(pair, cfg()))
+        assert all(want)
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+            rec = Reconciliation(pair, cfg(), keep=keep)
+            assert rec.dealt() and (rec.heavy_keys().count() if heavy else rec.heavy_keys() is None)
+            for df in (rec.light_totals(), DLT.verdicts(rec.prep, rec.light_rows()), DLT.differences(rec.prep, DLT.values(rec.prep, rec.light_rows()))):
+                assert plan_of(df, "simple").count("Exchange hashpartitioning") == 1  # rows meet once
+            assert _every_result(rec) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
