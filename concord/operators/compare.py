@@ -9,7 +9,8 @@ Plan, in two steps:
 
 * **Key counts.** The keys alone of both sides are grouped (a hash aggregate
   of two counters, combined on the map side, so a key holding a third of all
-  rows arrives as one buffer per task). That gives row and key totals, both
+  rows arrives as one buffer per task; of many rows, the light keys are dealt
+  out uncombined, so that a task's memory is bounded). That gives row and key totals, both
   missing totals, the number of row pairs, and which keys are *duplicate*
   (two rows or more on a side).
 * **Rows.** All other keys have one row a side: one full outer join on the
@@ -43,17 +44,52 @@ MISSING_IN_LEFT = "missing_in_left"
 PAIRS = "decimal(38,0)"
 #: Most keys that are broadcast for their weight alone: those with rows / HEAVY rows at least.
 HEAVY = 1000
+#: Rows whose keys Spark groups in tasks of its own choice; of more rows, a task gets so many at most, on average.
+ROWS_A_TASK = 2_000_000
+#: Hash buckets by which heavy keys are looked for before keys are counted.
+BUCKETS = 1 << 16
 #: Per-row overhead added to the measured key bytes when sizing a broadcast.
 ROW_OVERHEAD_BYTES = 32
 
 
 # -- key counts -------------------------------------------------------------------
 
-def key_counts(prep: Prepared) -> DataFrame:
-    """One row per distinct key (NULL-safe) over both sides: ``n_l``, ``n_r`` rows."""
-    s = F.col(SIDE)
-    return prep.both_tagged(values=False).groupBy(*prep.flat_keys()).agg(
-        F.count_if(s == 0).alias("n_l"), F.count_if(s == 1).alias("n_r"))
+def _bucket(prep: Prepared) -> Column:
+    return F.pmod(F.xxhash64(*prep.flat_keys()), F.lit(BUCKETS)).cast("int")
+
+
+def key_weights(prep: Prepared) -> tuple[int, list[int]]:
+    """Rows of both sides and, where they are many, the buckets that hold rows / HEAVY of them at least (HEAVY at most); taken once."""
+    if prep.key_weights is None:
+        keys = prep.both_tagged(values=False)
+        n, heavy = keys.count(), []
+        if n > ROWS_A_TASK:
+            found = keys.groupBy(_bucket(prep).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            heavy = sorted(r["b"] for r in found.where(F.col("n") * HEAVY >= n).collect())
+        prep.key_weights = n, heavy
+    return prep.key_weights
+
+
+def key_counts(prep: Prepared, heavy_only: bool = False) -> DataFrame:
+    """One row per distinct key (NULL-safe) over both sides: ``n_l``, ``n_r`` rows.
+
+    Of many rows, those in light buckets are dealt to so many tasks that the
+    keys a task holds don't grow with the table; keys in heavy buckets are
+    combined before their shuffle. With ``heavy_only``, keys of fewer than
+    rows / HEAVY rows may be left out.
+    """
+    s, flat = F.col(SIDE), prep.flat_keys()
+    grouped = lambda rows: rows.groupBy(*flat).agg(F.count_if(s == 0).alias("n_l"), F.count_if(s == 1).alias("n_r"))
+    rows = prep.both_tagged(values=False)
+    n, heavy = key_weights(prep)
+    if n <= ROWS_A_TASK:
+        return grouped(rows)
+    weighty = _bucket(prep).isin(heavy)
+    if heavy_only:
+        return grouped(rows.where(weighty))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK))
+    light = grouped(rows.where(~weighty).repartition(tasks, *flat))
+    return light.unionByName(grouped(rows.where(weighty))) if heavy else light
 
 
 def joined() -> Column:

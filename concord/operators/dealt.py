@@ -45,7 +45,7 @@ def least_heavy(totals: Row) -> int:
 
 def heavy_keys(prep: Prepared, totals: Row) -> DataFrame:
     """Key counts of the heavy keys."""
-    return CMP.key_counts(prep).where(CMP.duplicate() & (F.col("n_l") + F.col("n_r") >= least_heavy(totals)))
+    return CMP.key_counts(prep, heavy_only=True).where(CMP.duplicate() & (F.col("n_l") + F.col("n_r") >= least_heavy(totals)))
 
 
 def _named(prep: Prepared, keys: DataFrame) -> DataFrame:

@@ -55,6 +55,7 @@ class Prepared:
     status: str = OK
     window_status: str = DISABLED
     key_types: list[T.DataType] = field(default_factory=list)  # aligned type per key column
+    key_weights: Optional[tuple[int, list[int]]] = field(default=None, init=False)  # see compare.key_weights
 
     # -- expressions ------------------------------------------------------
     def flat_keys(self) -> list[str]:

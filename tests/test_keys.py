@@ -142,3 +142,34 @@ def test_many_duplicate_keys_give_the_same_in_one_pass(spark, monkeypatch):
             assert _every_result(rec) == want
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_keys_of_many_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    """A task counts so many keys at most, however large the table (before, all of these met in one); heavy keys are combined first."""
+    from concord.operators import compare as CMP
+    from test_plans import plan_of
+    left = spark.range(20_000).selectExpr("if(id % 4 = 0, 7, if(id % 50 = 1, null, id div 2)) as id", "cast(id % 3 as double) as d", "1 as v")
+    p = TablePair("t", left, left.where("id is null or id % 5 <> 0"), keys=("id", "d"))
+
+    def summary(rec):
+        out = rec.summary().asDict(), sorted(map(repr, CMP.key_counts(rec.prep).collect()))
+        rec.close()
+        return out
+
+    want = summary(Reconciliation(p, cfg()))
+    monkeypatch.setattr(CMP, "ROWS_A_TASK", 1000)
+    for heavy in (20, 1):  # some buckets hold a twentieth of the rows; none holds all
+        monkeypatch.setattr(CMP, "HEAVY", heavy)
+        rec = Reconciliation(p, cfg())
+        counts = CMP.key_counts(rec.prep)
+        n, buckets = rec.prep.key_weights
+        assert bool(buckets) == (heavy == 20) and plan_of(counts, "simple").count("Union") == (2 * 1 + 1 if buckets else 1)
+        counts.collect()
+        sizes = [len(part) for part in counts.rdd.glom().collect()]
+        assert len(sizes) >= n // 1000 and max(sizes) < 1000
+        assert summary(rec) == want
+    monkeypatch.setattr(CMP, "HEAVY", 20)
+    prep = Reconciliation(p, cfg()).prep
+    at_least = -(-(want[0]["left_rows"] + want[0]["right_rows"]) // 20)
+    whole, some = ({repr(r) for r in CMP.key_counts(prep, h).where(f"n_l + n_r >= {at_least}").collect()} for h in (False, True))
+    assert some == whole and whole
