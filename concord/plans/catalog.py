@@ -262,10 +262,12 @@ def q_dup_key_search(spark, d):
 
 
 def q_dup_key_export(spark, d):
-    """Every difference of the hot-key pair, written as CSV and read again."""
+    """Every difference of the hot-key pair, written as compressed CSV and read again."""
     ensure_checkpoint_dir(spark)
     path = sinks.shared_dir(spark, "differences")
-    sinks.export_differences_csv(Reconciliation(FX.lineitem_hot_pair(spark, d), cfg()).all_differences(), path)
+    rec = Reconciliation(FX.lineitem_hot_pair(spark, d), cfg())
+    sinks.export_differences_csv(rec.all_differences(), path, compression="gzip")
+    rec.close()  # the rows come from the files: nothing else need stay on disk
     return sinks.read_differences_csv(spark, path, counts=True)
 
 
